@@ -17,6 +17,7 @@ from gapline.operators.folds import fold_bounds, time_series_folds
 from gapline.operators.latest import latest_rounds
 from gapline.operators.rank import with_global_rank
 from gapline.operators.sessionize import round_bounds, sessionize
+from gapline.operators.sessions import session_rounds
 from gapline.plans.demo import add_target, run_demo
 from gapline.plans.etl import run_etl
 from gapline.plans.forecasting import forecast
@@ -59,6 +60,7 @@ __all__ = [
     "round_features",
     "run_demo",
     "run_etl",
+    "session_rounds",
     "sessionize",
     "split_rejects",
     "stream_rounds",
