@@ -33,7 +33,7 @@ EDGES = {
 BASELINE_MAE = 0.3
 FEATURES = ["event_count", "duration_seconds", *LABELS, "gap_since_prev_seconds"]
 # Few and shallow trees: the queries show the whole path, not the best model.
-TRAINING = {"max_iter": 4, "max_depth": 3, "n_splits": 5}
+TRAINING = {"max_iter": 4, "max_depth": 3, "n_splits": 5, "parallelism": 5}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +41,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, sf_dir: str, gap: float = GAP) -> DataFrame:
-    return gl.round_features(_table(spark, sf_dir, "events"), USER, TIME, gap)
+    return gl.round_features(_table(spark, sf_dir, "events"), USER, TIME, gap, labels=LABELS)
 
 
 def _sessionized(spark: SparkSession, sf_dir: str, gap: float = GAP) -> DataFrame:
@@ -95,7 +95,7 @@ def distinct_rounds(spark, sf_dir):
 
 
 def round_features(spark, sf_dir):
-    return _features(spark, sf_dir)
+    return gl.round_features(_table(spark, sf_dir, "events"), USER, TIME, GAP)
 
 
 def round_features_of_sessionized(spark, sf_dir):

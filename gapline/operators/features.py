@@ -107,7 +107,7 @@ def round_features(
     """
     require_columns(df, user_col, ts_col)
     reject_names(ROUND_COLUMNS, df.columns, "input columns")
-    events = parse_time(df, ts_col)
+    events = parse_time(df, ts_col).where(F.col(f"`{user_col}`").isNotNull())
     labels = _resolve_labels(events, labels, user_col, prefix)
     if missing_times is None:
         missing_times = has_missing_times(events, ts_col)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapline.operators.folds import DEFAULT_SPLITS, fold_bounds
+from gapline.operators.folds import DEFAULT_SPLITS, Fold, fold_bounds
 from gapline.operators.rank import with_global_rank
 from gapline.schema import USER, numeric_columns, require_columns
 from gapline.sources.scratch import scratch_dir
@@ -110,13 +113,16 @@ def train_baseline(
     seed: int = 42,
     max_depth: int = 5,
     min_rows: int = 20,
+    parallelism: int = 1,
 ) -> dict:
     """Cross-validate, save the last fold's model and return its scores.
 
     Returns ``cv_maes`` per fold, their mean ``cv_mae_mean``, and
     ``best_iterations``. The model directory holds a ``PipelineModel`` of
     assembler and trees. Rows are ordered by ``round_start``, ties by
-    ``round_id``.
+    ``round_id``. ``parallelism`` folds are fitted at the same time, each with
+    its training rows cached by the learner: raise it where the jobs of one fold
+    leave cores idle.
     """
     require_columns(features, target_col, *ORDER)
     cols = feature_columns(features, target_col, user_col, features_exclude)
@@ -130,18 +136,20 @@ def train_baseline(
     table = feature_matrix(ranked, cols, target_col).select("rn", "features", "label")
     settings = dict(seed=seed, max_depth=max_depth, min_rows=min_rows)
 
-    maes, sizes = [], []
-    for fold in folds:
+    def fit(fold: Fold) -> tuple[GBTRegressionModel, int, float]:
         train, test = table.where(fold.train(rank)), table.where(fold.test(rank))
-        model, size, mae = _fit_with_patience(train, test, max_iter, patience, **settings)
-        maes.append(mae)
-        sizes.append(size)
+        return _fit_with_patience(train, test, max_iter, patience, **settings)
+
+    with ThreadPool(min(parallelism, len(folds))) as pool:
+        fitted = pool.map(inheritable_thread_target(features.sparkSession)(fit), folds, chunksize=1)
+    model, size, _ = fitted[-1]
+    maes = [mae for _, _, mae in fitted]
     # Only the last fold's model is kept, so only it is cut back to its best size.
     if model.getNumTrees != size:
-        model = _learner(size, **settings).fit(train)
+        model = _learner(size, **settings).fit(table.where(folds[-1].train(rank)))
     PipelineModel(stages=[assembler(cols), model]).write().overwrite().save(model_out)
     return {
         "cv_mae_mean": sum(maes) / len(maes),
         "cv_maes": maes,
-        "best_iterations": sizes,
+        "best_iterations": [size for _, size, _ in fitted],
     }

@@ -18,6 +18,10 @@ _DEFAULTS = {
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
 }
 
+# Recording the Python call site of every expression doubles the time it takes to
+# build a plan. Can only be set when the session is made; give "true" to debug.
+_DEBUGGING = "spark.python.sql.dataFrameDebugging.enabled"
+
 
 def make_session(
     app_name: str = "gapline",
@@ -37,7 +41,7 @@ def make_session(
     given = dict(conf or {})
     if shuffle_partitions:
         given.setdefault("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    for key, value in given.items():
+    for key, value in ({_DEBUGGING: "false"} | given).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     explicit = {key for key, _ in spark.sparkContext.getConf().getAll()} | given.keys()
