@@ -59,10 +59,12 @@ class CellSpec:
         return micros - F.pmod(micros, F.lit(self.width))
 
 
-def build_cells(events: DataFrame, spec: CellSpec, aggregates: list[Column]) -> DataFrame:
+def build_cells(
+    events: DataFrame, spec: CellSpec, aggregates: list[Column], split_by: list[Column] | None = None
+) -> DataFrame:
     """One row per non-empty cell: ``user, cell, first_ts, last_ts, n`` and ``aggregates``.
 
-    ``n`` counts the events that have a time.
+    ``n`` counts the events that have a time. ``split_by`` adds grouping columns.
 
     Events without a user are left out. Events without a time form one cell of
     their own (``cell`` null) per user.
@@ -70,7 +72,11 @@ def build_cells(events: DataFrame, spec: CellSpec, aggregates: list[Column]) ->
     ts = F.col(f"`{spec.ts_col}`")
     return (
         events.where(F.col(f"`{spec.user_col}`").isNotNull())
-        .groupBy(F.col(f"`{spec.user_col}`").alias("user"), spec.cell(events).alias("cell"))
+        .groupBy(
+            F.col(f"`{spec.user_col}`").alias("user"),
+            spec.cell(events).alias("cell"),
+            *(split_by or []),
+        )
         .agg(
             F.min(ts).alias("first_ts"),
             F.max(ts).alias("last_ts"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gapline.functions.time import MICROS, elapsed_seconds, epoch_micros, gap_micros, parse_time
 from gapline.operators.cells import SINGLE_TASK_GAP_MICROS, CellSpec, build_cells, number_rounds
-from gapline.operators.sessionize import has_missing_times, round_id
+from gapline.operators.sessionize import round_id
 from gapline.schema import (
     DEFAULT_GAP_MINUTES,
     FEATURE_COLUMNS,
@@ -18,6 +18,7 @@ from gapline.schema import (
     reject_names,
     require_columns,
 )
+from gapline.sources.scratch import written
 
 _BLOCK = 100_000
 
@@ -98,32 +99,63 @@ def round_features(
     labels: list[str] | None = None,
     prefix: str = "",
     missing_times: bool | None = None,
+    single_scan: bool = False,
 ) -> DataFrame:
     """Feature rows straight from raw events.
 
     The same rows as ``compute_round_features(sessionize(df))``, but only
-    pre-aggregated cells are shuffled, never events. ``missing_times`` as in
-    :func:`gapline.sessionize`.
+    pre-aggregated cells are shuffled, never events.
+
+    What is not given of ``labels`` and ``missing_times`` (see
+    :func:`gapline.sessionize`) is looked up first, which is cheap on Parquet.
+    Where reading the input again is not, as with CSV, ``single_scan`` reads it
+    once, writes cells per event type to the shared folder, and takes everything
+    from there.
     """
     require_columns(df, user_col, ts_col)
     reject_names(ROUND_COLUMNS, df.columns, "input columns")
+    spec = CellSpec(user_col, ts_col, gap_micros(gap_minutes))
     events = parse_time(df, ts_col).where(F.col(f"`{user_col}`").isNotNull())
+    if single_scan:
+        events = written(_typed_cells(events, spec), "cells")
+        untimed, rows = F.col("cell").isNull(), F.col("rows")
+    else:
+        untimed, rows = F.col(f"`{ts_col}`").isNull(), F.lit(1)
     labels = _resolve_labels(events, labels, user_col, prefix)
     if missing_times is None:
-        missing_times = has_missing_times(events, ts_col)
-    spec = CellSpec(user_col, ts_col, gap_micros(gap_minutes))
+        missing_times = not events.where(untimed).isEmpty()
     if not missing_times:
-        events = events.where(F.col(f"`{ts_col}`").isNotNull())
+        events = events.where(~untimed)
+
     # Internal names, so that labels cannot meet the columns of the cells.
-    counts = {f"label_{i}": c for i, c in enumerate(label_counts(events, labels))}
-    aggregates = [c.alias(n) for n, c in counts.items()]
+    names = {f"label_{i}": prefix + v for i, v in enumerate(labels)}
+    if single_scan:
+        label = F.col(LABEL)
+        counts = [F.sum(F.when(label == F.lit(v), rows).otherwise(0)) for v in labels]
+        untimed_rows = F.sum(F.when(untimed, rows).otherwise(0))
+    else:
+        counts, untimed_rows = label_counts(events, labels), F.count_if(untimed)
+    aggregates = [c.alias(n) for n, c in zip(names, counts)]
     if missing_times:
-        aggregates.append(F.count_if(F.col(f"`{ts_col}`").isNull()).alias("untimed"))
-    cells = build_cells(events, spec, aggregates)
-    names = dict(zip(counts, [prefix + v for v in labels]))
+        aggregates.append(untimed_rows.alias("untimed"))
+    if single_scan:
+        cells = events.groupBy("user", "cell").agg(
+            F.min("first_ts").alias("first_ts"),
+            F.max("last_ts").alias("last_ts"),
+            F.sum("n").alias("n"),
+            *aggregates,
+        )
+    else:
+        cells = build_cells(events, spec, aggregates)
     return features_from_cells(cells, spec, names, missing_times)
 
 
+def _typed_cells(events: DataFrame, spec: CellSpec) -> DataFrame:
+    """Cells split by event type, so that types need not be known beforehand."""
+    label = [F.col(LABEL).cast("string").alias(LABEL)] if LABEL in events.columns else []
+    return build_cells(events, spec, [F.count("*").alias("rows")], label)
+
+
 def features_from_cells(
     cells: DataFrame, spec: CellSpec, names: dict[str, str], untimed: bool = False
 ) -> DataFrame:

@@ -31,8 +31,7 @@ def run_etl(
 
     A null user or a malformed time fails the run, unless ``rejects`` names a
     path to write such rows to. ``mode='ignore'`` skips the run if ``out``
-    exists. With ``labels`` and ``missing_times`` given the source is scanned
-    once, otherwise a narrow scan looks for them first.
+    exists. A CSV source is parsed once, if its ``schema`` is given.
     """
     if mode == "ignore":
         try:
@@ -49,8 +48,15 @@ def run_etl(
         failed = F.raise_error(F.lit(f"{user_col} is null; give a rejects path to set such rows aside"))
         checked = F.coalesce(user, failed.cast(events.schema[user_col].dataType))
         events = events.withColumn(user_col, checked)
+    unknown = labels is None or missing_times is None
     features = round_features(
-        events, user_col, ts_col, gap_minutes, labels=labels, missing_times=missing_times
+        events,
+        user_col,
+        ts_col,
+        gap_minutes,
+        labels=labels,
+        missing_times=missing_times,
+        single_scan=unknown and fmt == "csv",
     )
     write_features(features, out, mode=mode)
     return read_features(spark, out)

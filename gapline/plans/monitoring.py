@@ -71,7 +71,8 @@ def feature_drift(
     of_feature = Window.partitionBy("feature")
 
     def share(rows: str) -> Column:
-        return F.col(rows) / F.max(F.when(whole, F.col(rows))).over(of_feature)
+        total = F.max(F.when(whole, F.col(rows))).over(of_feature)
+        return F.try_divide(F.col(rows), total)  # a period may be empty
 
     b, c = F.col("base_share"), F.col("current_share")
     both = ~whole & (F.col("base_rows") > 0) & (F.col("current_rows") > 0)
