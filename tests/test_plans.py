@@ -158,7 +158,7 @@ def test_hot_cell_of_the_event_join_is_split(spark, no_broadcast):
         even = F.col("id") % 2 == 0
         events = spark.range(100_000, numPartitions=8).select(
             F.when(even, 0).otherwise(F.col("id")).alias("user_id"),
-            F.timestamp_seconds(F.lit(1_700_000_000)).alias("ts"),
+            F.timestamp_seconds(F.lit(1_700_000_000) + F.when(even, 0).otherwise(F.col("id"))).alias("ts"),
             F.sha2(F.col("id").cast("string"), 256).alias("payload"),
         )
         df = gl.sessionize(events, ts_col="ts", missing_times=False)
