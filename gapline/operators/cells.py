@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gapline.functions.time import MICROS, epoch_micros
@@ -59,15 +59,12 @@ class CellSpec:
         return micros - F.pmod(micros, F.lit(self.width))
 
 
-def build_cells(
-    events: DataFrame, spec: CellSpec, aggregates: list[Column], split_by: list[Column] | None = None
-) -> DataFrame:
-    """One row per non-empty cell: ``user, cell, first_ts, last_ts, n`` and ``aggregates``.
-
-    ``n`` counts the events that have a time. ``split_by`` adds grouping columns.
+def build_cells(events: DataFrame, spec: CellSpec, split_by: Column | None = None) -> DataFrame:
+    """One row per non-empty cell: ``user, cell, first_ts, last_ts, n``.
 
     Events without a user are left out. Events without a time form one cell of
-    their own (``cell`` null) per user.
+    their own (``cell`` and times null) per user. ``split_by`` splits each cell by
+    one more column, ``label``: rows stay narrow however many labels there are.
     """
     ts = F.col(f"`{spec.ts_col}`")
     return (
@@ -75,40 +72,45 @@ def build_cells(
         .groupBy(
             F.col(f"`{spec.user_col}`").alias("user"),
             spec.cell(events).alias("cell"),
-            *(split_by or []),
-        )
-        .agg(
-            F.min(ts).alias("first_ts"),
-            F.max(ts).alias("last_ts"),
-            F.count(ts).alias("n"),
-            *aggregates,
+            *([] if split_by is None else [split_by.alias("label")]),
         )
+        .agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("n"))
     )
 
 
 def number_rounds(cells: DataFrame, spec: CellSpec) -> DataFrame:
-    """Add ``round_index``, ``opens`` (first cell of its round) and ``prev_ts``.
+    """Add ``round_index``, ``opens`` (first row of its round) and ``prev_ts``.
 
-    ``prev_ts`` is the last time of the user's previous cell, so on an opening
-    cell it is the end of the previous round. The cell of events without a time
-    comes last and joins the user's last round, or opens one if there is none.
+    ``prev_ts`` is the user's latest time before the row, so on an opening row it
+    is the end of the previous round. Rows without a time come last and join the
+    user's last round, or open one if there is none. Split cells need no care:
+    in order of ``first_ts`` the rows of a cell follow each other, and only the
+    earliest can open a round.
     """
     return _number_by_user(cells, spec) if spec.single_task else _number_by_chunk(cells, spec)
 
 
-def _opens(cells: DataFrame, spec: CellSpec, first_ts: Column, prev_ts: Column) -> Column:
+def _too_far(cells: DataFrame, spec: CellSpec, first_ts: Column, prev_ts: Column) -> Column:
     distance = epoch_micros(cells, first_ts, "first_ts") - epoch_micros(cells, prev_ts, "first_ts")
-    return prev_ts.isNull() | F.coalesce(distance > F.lit(spec.gap), F.lit(False))
+    return F.coalesce(distance > F.lit(spec.gap), F.lit(False))
 
 
-def _number_by_user(cells: DataFrame, spec: CellSpec) -> DataFrame:
-    in_time = Window.partitionBy("user").orderBy(F.col("cell").asc_nulls_last())
+def _in_time(*keys: str) -> tuple[WindowSpec, WindowSpec, WindowSpec]:
+    """A window in time order, its rows so far, and its rows before."""
+    in_time = Window.partitionBy(*keys).orderBy(F.col("first_ts").asc_nulls_last())
     so_far = in_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        cells.withColumn("prev_ts", F.lag("last_ts").over(in_time))
-        .withColumn("opens", _opens(cells, spec, F.col("first_ts"), F.col("prev_ts")))
-        .withColumn("round_index", F.sum(F.col("opens").cast("bigint")).over(so_far))
+    return in_time, so_far, in_time.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _number_by_user(cells: DataFrame, spec: CellSpec) -> DataFrame:
+    in_time, so_far, before = _in_time("user")
+    first_ts, prev_ts = F.col("first_ts"), F.col("prev_ts")
+    seen = cells.withColumns(
+        {"prev_ts": F.max("last_ts").over(before), "position": F.row_number().over(in_time)}
     )
+    opens = (F.col("position") == 1) | _too_far(cells, spec, first_ts, prev_ts)
+    index = F.sum(F.col("opens").cast("bigint")).over(so_far)
+    return seen.select(*cells.columns, "prev_ts", opens.alias("opens")).withColumn("round_index", index)
 
 
 def _number_by_chunk(cells: DataFrame, spec: CellSpec) -> DataFrame:
@@ -116,44 +118,47 @@ def _number_by_chunk(cells: DataFrame, spec: CellSpec) -> DataFrame:
     chunk = F.coalesce(
         F.col("cell") - F.pmod(F.col("cell"), F.lit(spec.chunk_width)), F.lit(2**63 - 1)
     )
-    local = Window.partitionBy("user", "chunk").orderBy(F.col("cell").asc_nulls_last())
-    so_far = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inner = F.col("local_prev").isNotNull() & _opens(
-        cells, spec, F.col("first_ts"), F.col("local_prev")
-    )
-    chunked = (
-        cells.withColumn("chunk", chunk)
-        .withColumn("local_prev", F.lag("last_ts").over(local))
-        .withColumn("inner_opens", inner)
+    in_time, so_far, before = _in_time("user", "chunk")
+    local = cells.withColumn("chunk", chunk).withColumns(
+        {"local_prev": F.max("last_ts").over(before), "position": F.row_number().over(in_time)}
     )
+    inner = (F.col("position") > 1) & _too_far(cells, spec, F.col("first_ts"), F.col("local_prev"))
+    local = local.withColumn("inner_opens", inner)
+
     by_user = Window.partitionBy("user").orderBy("chunk")
-    before = by_user.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = by_user.rowsBetween(Window.unboundedPreceding, -1)
+    seam_prev = F.col("seam_prev")
+    seam_opens = (F.col("chunk_no") == 1) | _too_far(cells, spec, F.col("chunk_first"), seam_prev)
+    rounds = F.col("inner") + F.col("seam_opens").cast("bigint")
     seams = (
-        chunked.groupBy("user", "chunk")
+        local.groupBy("user", "chunk")
         .agg(
             F.min("first_ts").alias("chunk_first"),
             F.max("last_ts").alias("chunk_last"),
             F.sum(F.col("inner_opens").cast("bigint")).alias("inner"),
         )
-        .withColumn("seam_prev", F.lag("chunk_last").over(by_user))
-        .withColumn("seam_opens", _opens(cells, spec, F.col("chunk_first"), F.col("seam_prev")))
-        .withColumn(
-            "rounds_before",
-            F.coalesce(
-                F.sum(F.col("inner") + F.col("seam_opens").cast("bigint")).over(before), F.lit(0)
-            ),
+        .withColumns(
+            {
+                "seam_prev": F.max("chunk_last").over(earlier),
+                "chunk_no": F.row_number().over(by_user),
+            }
         )
+        .withColumn("seam_opens", seam_opens)
+        .withColumn("rounds_before", F.coalesce(F.sum(rounds).over(earlier), F.lit(0)))
         .select("user", "chunk", "seam_prev", "seam_opens", "rounds_before")
     )
+    head = F.col("position") == 1
     return (
-        chunked.withColumn("local_rounds", F.sum(F.col("inner_opens").cast("bigint")).over(so_far))
-        .withColumn("heads", F.row_number().over(local) == 1)
+        local.withColumn("local_rounds", F.sum(F.col("inner_opens").cast("bigint")).over(so_far))
         .join(seams, ["user", "chunk"])
-        .withColumn("prev_ts", F.when(F.col("heads"), F.col("seam_prev")).otherwise(F.col("local_prev")))
-        .withColumn("opens", F.when(F.col("heads"), F.col("seam_opens")).otherwise(F.col("inner_opens")))
-        .withColumn(
-            "round_index",
-            F.col("rounds_before") + F.col("seam_opens").cast("bigint") + F.col("local_rounds"),
+        .select(
+            *cells.columns,
+            F.when(head, seam_prev).otherwise(F.col("local_prev")).alias("prev_ts"),
+            F.when(head, F.col("seam_opens")).otherwise(F.col("inner_opens")).alias("opens"),
+            (
+                F.col("rounds_before")
+                + F.col("seam_opens").cast("bigint")
+                + F.col("local_rounds")
+            ).alias("round_index"),
         )
-        .select(*cells.columns, "prev_ts", "opens", "round_index")
     )

@@ -116,65 +116,58 @@ def round_features(
     reject_names(ROUND_COLUMNS, df.columns, "input columns")
     spec = CellSpec(user_col, ts_col, gap_micros(gap_minutes))
     events = parse_time(df, ts_col).where(F.col(f"`{user_col}`").isNotNull())
+    untimed = F.col(f"`{ts_col}`").isNull()
+    text = F.col(f"`{LABEL}`").cast("string") if LABEL in df.columns else None
     if single_scan:
-        events = written(_typed_cells(events, spec), "cells")
-        untimed, rows = F.col("cell").isNull(), F.col("rows")
-    else:
-        untimed, rows = F.col(f"`{ts_col}`").isNull(), F.lit(1)
+        staged = written(build_cells(events, spec, text), "cells")
+        events, untimed, text = staged.withColumnRenamed("label", LABEL), F.col("cell").isNull(), F.col(LABEL)
     labels = _resolve_labels(events, labels, user_col, prefix)
     if missing_times is None:
         missing_times = not events.where(untimed).isEmpty()
     if not missing_times:
         events = events.where(~untimed)
 
-    # Internal names, so that labels cannot meet the columns of the cells.
-    names = {f"label_{i}": prefix + v for i, v in enumerate(labels)}
-    if single_scan:
-        label = F.col(LABEL)
-        counts = [F.sum(F.when(label == F.lit(v), rows).otherwise(0)) for v in labels]
-        untimed_rows = F.sum(F.when(untimed, rows).otherwise(0))
-    else:
-        counts, untimed_rows = label_counts(events, labels), F.count_if(untimed)
-    aggregates = [c.alias(n) for n, c in zip(names, counts)]
-    if missing_times:
-        aggregates.append(untimed_rows.alias("untimed"))
-    if single_scan:
-        cells = events.groupBy("user", "cell").agg(
-            F.min("first_ts").alias("first_ts"),
-            F.max("last_ts").alias("last_ts"),
-            F.sum("n").alias("n"),
-            *aggregates,
-        )
+    # Cells carry the label's place in the list, 0 for none or one not listed.
+    code = F.coalesce(F.array_position(F.lit(labels), text), F.lit(0)) if labels else None
+    if not single_scan:
+        cells = build_cells(events, spec, code)
     else:
-        cells = build_cells(events, spec, aggregates)
-    return features_from_cells(cells, spec, names, missing_times)
-
-
-def _typed_cells(events: DataFrame, spec: CellSpec) -> DataFrame:
-    """Cells split by event type, so that types need not be known beforehand."""
-    label = [F.col(LABEL).cast("string").alias(LABEL)] if LABEL in events.columns else []
-    return build_cells(events, spec, [F.count("*").alias("rows")], label)
+        cells = events.withColumn("label", F.lit(0) if code is None else code)
+    counts = {
+        prefix + v: F.when(F.col("label") == F.lit(i), F.col("n")).otherwise(F.lit(0))
+        for i, v in enumerate(labels, 1)
+    }
+    return features_from_cells(cells, spec, counts, missing_times)
 
 
 def features_from_cells(
-    cells: DataFrame, spec: CellSpec, names: dict[str, str], untimed: bool = False
+    cells: DataFrame, spec: CellSpec, counts: dict[str, Column], untimed: bool = False
 ) -> DataFrame:
     """Number the cells' rounds and add up each round's cells.
 
-    ``names`` maps the cells' count columns to the label columns of the result.
+    ``counts`` gives, per label column of the result, a cell row's share in it.
+    ``untimed`` says whether there may be rows without a time.
     """
-    timed = F.col("cell").isNotNull()
-    sums = [F.sum(F.when(timed, F.col(n)).otherwise(0)).alias(n) for n in names]
+    # Internal names, so that labels cannot meet the columns of the cells.
+    names = {f"label_{i}": v for i, v in enumerate(counts)}
+    shares = dict(zip(names, counts.values()))
+    timed = F.col("first_ts").isNotNull()
+
+    def total(value: Column, where: Column | None = None) -> Column:
+        return F.sum(value if where is None else F.when(where, value).otherwise(F.lit(0)))
+
+    only = timed if untimed else None
+    sums = [total(F.col("n"), only).alias("event_count")]
+    sums += [total(share, only).alias(n) for n, share in shares.items()]
     if untimed:
-        sums.append(F.sum("untimed").alias("untimed"))
-        sums += [F.sum(F.when(~timed, F.col(n)).otherwise(0)).alias(f"loose_{n}") for n in names]
+        sums.append(total(F.col("n"), ~timed).alias("untimed"))
+        sums += [total(share, ~timed).alias(f"loose_{n}") for n, share in shares.items()]
     rounds = (
         number_rounds(cells, spec)
         .groupBy("user", "round_index")
         .agg(
             F.min("first_ts").alias("round_start"),
             F.max("last_ts").alias("round_end"),
-            F.sum("n").alias("event_count"),
             F.max(F.when(F.col("opens"), F.col("prev_ts"))).alias("prev_round_end"),
             *sums,
         )
@@ -183,7 +176,7 @@ def features_from_cells(
         rounds = _unfold_untimed(rounds, list(names))
     rounds = rounds.withColumn("round_id", round_id(F.col("user"), F.col("round_index")))
     rounds = rounds.withColumnsRenamed({"user": spec.user_col} | names)
-    return _finish(rounds, spec.user_col, "round_id", list(names.values()))
+    return _finish(rounds, spec.user_col, "round_id", list(counts))
 
 
 def _finish(rounds: DataFrame, user_col: str, round_id_col: str, labels: list[str]) -> DataFrame:

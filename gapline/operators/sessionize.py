@@ -58,7 +58,7 @@ def sessionize(
         # Prunes nothing here, but tells the planner and the Parquet reader.
         events = events.where(F.col(f"`{ts_col}`").isNotNull())
 
-    cells = _with_bounds(number_rounds(build_cells(events, spec, []), spec), spec)
+    cells = _with_bounds(number_rounds(build_cells(events, spec), spec), spec)
     timed = _attach(
         events.where(F.col(f"`{ts_col}`").isNotNull()), cells.where(F.col("cell").isNotNull()), spec
     )
@@ -84,7 +84,7 @@ def _with_bounds(cells: DataFrame, spec: CellSpec) -> DataFrame:
     bounds = {
         "round_start": F.min("first_ts"),
         "round_end": F.max("last_ts"),
-        "event_count": F.sum("n"),
+        "event_count": F.sum(F.when(F.col("first_ts").isNotNull(), F.col("n")).otherwise(0)),
     }
     if spec.single_task:
         # The cells already sit with their user.

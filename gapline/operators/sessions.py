@@ -31,7 +31,7 @@ def session_rounds(
         raise ValueError("a session window needs a positive gap")
     events = parse_time(df, ts_col)
     spec = CellSpec(user_col, ts_col, gap)
-    cells = build_cells(events.where(F.col(f"`{ts_col}`").isNotNull()), spec, [])
+    cells = build_cells(events.where(F.col(f"`{ts_col}`").isNotNull()), spec)
     if not spec.single_task:
         rounds = features_from_cells(cells, spec, {})
         return rounds.select(F.col(f"`{user_col}`"), "round_start", "round_end", "event_count")

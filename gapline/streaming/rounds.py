@@ -127,16 +127,16 @@ def index_closed_rounds(
     labels = list(labels or [])
     reject_names(labels, [user_col, *FEATURE_COLUMNS], "labels")
     spec = CellSpec(user_col, "round_start", gap_micros(gap_minutes))
-    names = {f"label_{i}": v for i, v in enumerate(labels)}
     cells = closed.where(F.col(f"`{user_col}`").isNotNull()).select(
         F.col(f"`{user_col}`").alias("user"),
         epoch_micros(closed, "round_start").alias("cell"),
         F.col("round_start").alias("first_ts"),
         F.col("round_end").alias("last_ts"),
         F.col("event_count").alias("n"),
-        *[F.col(f"`{v}`").alias(n) for n, v in names.items()],
+        *[F.col(f"`{v}`").alias(f"closed_{i}") for i, v in enumerate(labels)],
     )
-    return features_from_cells(cells, spec, names)
+    counts = {v: F.col(f"closed_{i}") for i, v in enumerate(labels)}
+    return features_from_cells(cells, spec, counts)
 
 
 __all__ = ["LABEL", "POLL_INTERVAL", "closed_rounds", "index_closed_rounds", "stream_rounds"]
