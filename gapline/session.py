@@ -13,6 +13,9 @@ _DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Splits a hot (user, cell) of the event join over many tasks.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Sizes estimated before a query runs prove nothing. Joins are shuffled; what is
+    # broadcast is marked in the code and bounded by something other than the data.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
     # Lets the event join skip the sort of the wide side, but only where every
     # build partition was measured to be below this size.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
