@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gapline.schema import col
 MICROS = 1_000_000
 _DAY_MICROS = 86_400 * MICROS
 _UTC_NAMES = {"UTC", "Etc/UTC", "GMT", "Z", "+00:00"}
@@ -31,18 +32,18 @@ def parse_time(df: DataFrame, ts_col: str, strict: bool = True) -> DataFrame:
     timestamp raises; with ``strict=False`` it becomes null.
     """
     dtype = df.schema[ts_col].dataType
-    col = F.col(f"`{ts_col}`")
+    raw = col(ts_col)
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return df
     if isinstance(dtype, T.DateType):
-        return df.withColumn(ts_col, col.cast("timestamp"))
+        return df.withColumn(ts_col, raw.cast("timestamp"))
     if isinstance(dtype, T.IntegralType):
-        nanos = col.cast("bigint")
+        nanos = raw.cast("bigint")
         micros = F.call_function("div", nanos - F.pmod(nanos, F.lit(1000)), F.lit(1000))
         return df.withColumn(ts_col, F.timestamp_micros(micros))
     if not isinstance(dtype, T.StringType):
         raise TypeError(f"{ts_col} has type {dtype.simpleString()}, not a timestamp or string")
-    text = F.nullif(F.trim(col), F.lit(""))
+    text = F.nullif(F.trim(raw), F.lit(""))
     parsed = F.try_to_timestamp(text)
     if strict:
         bad = F.raise_error(F.concat(F.lit(f"{ts_col} is not a timestamp: "), text))
@@ -55,19 +56,19 @@ def epoch_micros(df: DataFrame, ts: Column | str, like: str | None = None) -> Co
 
     The kind of timestamp is taken from column ``like`` of ``df`` (default: ``ts``).
     """
-    col = F.col(f"`{ts}`") if isinstance(ts, str) else ts
+    time = col(ts) if isinstance(ts, str) else ts
     dtype = df.schema[like or ts].dataType
     if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(col)
+        return F.unix_micros(time)
     if not isinstance(dtype, T.TimestampNTZType):
         raise TypeError(f"expected a timestamp, got {dtype.simpleString()}")
     if df.sparkSession.conf.get("spark.sql.session.timeZone") in _UTC_NAMES:
-        return F.unix_micros(col.cast("timestamp"))
+        return F.unix_micros(time.cast("timestamp"))
     # A cast would go through the session zone and lose the hour a clock change
     # skips, so count days and time of day instead.
-    second = (F.extract(F.lit("SECOND"), col) * MICROS).cast("bigint")
-    clock = (F.hour(col) * 3600 + F.minute(col) * 60).cast("bigint") * F.lit(MICROS)
-    return F.unix_date(col.cast("date")).cast("bigint") * F.lit(_DAY_MICROS) + clock + second
+    second = (F.extract(F.lit("SECOND"), time) * MICROS).cast("bigint")
+    clock = (F.hour(time) * 3600 + F.minute(time) * 60).cast("bigint") * F.lit(MICROS)
+    return F.unix_date(time.cast("date")).cast("bigint") * F.lit(_DAY_MICROS) + clock + second
 
 
 def elapsed_seconds(

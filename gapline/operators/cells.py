@@ -24,6 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from gapline.schema import col
 from gapline.functions.time import MICROS, epoch_micros
 
 # A user's cells go through one task only if the gap bounds them to one a minute.
@@ -66,11 +67,11 @@ def build_cells(events: DataFrame, spec: CellSpec, split_by: Column | None = Non
     their own (``cell`` and times null) per user. ``split_by`` splits each cell by
     one more column, ``label``: rows stay narrow however many labels there are.
     """
-    ts = F.col(f"`{spec.ts_col}`")
+    ts = col(spec.ts_col)
     return (
-        events.where(F.col(f"`{spec.user_col}`").isNotNull())
+        events.where(col(spec.user_col).isNotNull())
         .groupBy(
-            F.col(f"`{spec.user_col}`").alias("user"),
+            col(spec.user_col).alias("user"),
             spec.cell(events).alias("cell"),
             *([] if split_by is None else [split_by.alias("label")]),
         )

@@ -15,6 +15,7 @@ from gapline.schema import (
     ROUND_COLUMNS,
     TIME,
     USER,
+    col,
     reject_names,
     require_columns,
 )
@@ -30,7 +31,7 @@ def event_type_labels(df: DataFrame, label_col: str = LABEL) -> list[str]:
     as in Spark's own pivot; more is an error.
     """
     most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
-    label = F.col(f"`{label_col}`").cast("string").alias("label")
+    label = col(label_col).cast("string").alias("label")
     rows = df.select(label).where("label is not null").distinct().limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"{label_col} has more than {most} distinct values")
@@ -41,7 +42,7 @@ def label_counts(
     df: DataFrame, labels: list[str], label_col: str = LABEL, prefix: str = ""
 ) -> list[Column]:
     """One counting aggregate per label, in the given order."""
-    label = F.col(f"`{label_col}`").cast("string")
+    label = col(label_col).cast("string")
     return [F.count_if(label == F.lit(v)).alias(prefix + v) for v in labels]
 
 
@@ -80,8 +81,8 @@ def compute_round_features(
     """
     require_columns(sessionized, user_col, round_id_col, ts_col)
     labels = _resolve_labels(sessionized, labels, user_col, prefix)
-    ts = F.col(f"`{ts_col}`")
-    rounds = sessionized.groupBy(F.col(f"`{round_id_col}`"), F.col(f"`{user_col}`")).agg(
+    ts = col(ts_col)
+    rounds = sessionized.groupBy(col(round_id_col), col(user_col)).agg(
         F.min(ts).alias("round_start"),
         F.max(ts).alias("round_end"),
         F.count(ts).alias("event_count"),
@@ -115,9 +116,9 @@ def round_features(
     require_columns(df, user_col, ts_col)
     reject_names(ROUND_COLUMNS, df.columns, "input columns")
     spec = CellSpec(user_col, ts_col, gap_micros(gap_minutes))
-    events = parse_time(df, ts_col).where(F.col(f"`{user_col}`").isNotNull())
-    untimed = F.col(f"`{ts_col}`").isNull()
-    text = F.col(f"`{LABEL}`").cast("string") if LABEL in df.columns else None
+    events = parse_time(df, ts_col).where(col(user_col).isNotNull())
+    untimed = col(ts_col).isNull()
+    text = col(LABEL).cast("string") if LABEL in df.columns else None
     if single_scan:
         staged = written(build_cells(events, spec, text), "cells")
         events, untimed, text = staged.withColumnRenamed("label", LABEL), F.col("cell").isNull(), F.col(LABEL)
@@ -183,13 +184,13 @@ def _finish(rounds: DataFrame, user_col: str, round_id_col: str, labels: list[st
     duration = elapsed_seconds(rounds, "round_end", "round_start")
     gap = elapsed_seconds(rounds, "round_start", "prev_round_end")
     return rounds.select(
-        F.col(f"`{round_id_col}`"),
-        F.col(f"`{user_col}`"),
+        col(round_id_col),
+        col(user_col),
         "round_start",
         "round_end",
         "event_count",
         F.coalesce(duration, F.lit(0.0)).alias("duration_seconds"),
-        *[F.col(f"`{v}`") for v in labels],
+        *[col(v) for v in labels],
         "prev_round_end",
         F.coalesce(gap, F.lit(-1.0)).alias("gap_since_prev_seconds"),
     )
@@ -227,8 +228,8 @@ def _unfold_untimed(rounds: DataFrame, counts: list[str]) -> DataFrame:
 
 def _with_prev_end(rounds: DataFrame, user_col: str, round_id_col: str, gap: int) -> DataFrame:
     """Add the end of the user's previous round."""
-    user = F.col(f"`{user_col}`")
-    order = [F.col("round_start").asc_nulls_last(), F.col(f"`{round_id_col}`")]
+    user = col(user_col)
+    order = [F.col("round_start").asc_nulls_last(), col(round_id_col)]
     # Rounds without a time are kept out of their user's group, spread by their id.
     aside = F.when(F.col("round_start").isNull(), F.pmod(F.xxhash64(round_id_col), F.lit(4096)))
     if gap >= SINGLE_TASK_GAP_MICROS:

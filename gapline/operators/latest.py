@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapline.schema import USER, require_columns
+from gapline.schema import USER, col, require_columns
 
 
 def latest_rounds(features: DataFrame, user_col: str = USER) -> DataFrame:
@@ -15,7 +15,7 @@ def latest_rounds(features: DataFrame, user_col: str = USER) -> DataFrame:
     every mapper sends at most one row per user.
     """
     require_columns(features, user_col, "round_start", "round_id")
-    newest = Window.partitionBy(F.col(f"`{user_col}`")).orderBy(
+    newest = Window.partitionBy(col(user_col)).orderBy(
         F.col("round_start").desc_nulls_last(), F.col("round_id").desc()
     )
     return (

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapline.schema import reject_names, require_columns
+from gapline.schema import col, reject_names, require_columns
 from gapline.sources.scratch import written
 
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row position in the low 33 bits
@@ -32,7 +32,7 @@ def with_global_rank(
     """
     reject_names([rank_col, "rank_part", "rank_pos", "rank_offset"], df.columns, "columns")
     require_columns(df, *[c for c in order_by if isinstance(c, str)])
-    keys = [(F.col(f"`{c}`") if isinstance(c, str) else c) for c in order_by]
+    keys = [(col(c) if isinstance(c, str) else c) for c in order_by]
     order = [k.asc_nulls_last() for k in keys]
     row_id = F.monotonically_increasing_id()
     placed = written(

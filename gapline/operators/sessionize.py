@@ -14,6 +14,7 @@ from gapline.schema import (
     ROUND_COLUMNS,
     TIME,
     USER,
+    col,
     reject_names,
     require_columns,
 )
@@ -25,7 +26,7 @@ def round_id(user: Column, index: Column) -> Column:
 
 def has_missing_times(events: DataFrame, ts_col: str) -> bool:
     """Whether any event lacks a time. Row-group statistics answer this for Parquet."""
-    return not events.where(F.col(f"`{ts_col}`").isNull()).isEmpty()
+    return not events.where(col(ts_col).isNull()).isEmpty()
 
 
 def sessionize(
@@ -56,11 +57,11 @@ def sessionize(
         missing_times = has_missing_times(events, ts_col)
     if not missing_times:
         # Prunes nothing here, but tells the planner and the Parquet reader.
-        events = events.where(F.col(f"`{ts_col}`").isNotNull())
+        events = events.where(col(ts_col).isNotNull())
 
     cells = _with_bounds(number_rounds(build_cells(events, spec), spec), spec)
     timed = _attach(
-        events.where(F.col(f"`{ts_col}`").isNotNull()), cells.where(F.col("cell").isNotNull()), spec
+        events.where(col(ts_col).isNotNull()), cells.where(F.col("cell").isNotNull()), spec
     )
     if not missing_times:
         return timed
@@ -70,8 +71,8 @@ def sessionize(
 def round_bounds(df: DataFrame, user_col: str = USER, ts_col: str = TIME) -> DataFrame:
     """One row per round of a sessionized log: start, end and number of timed events."""
     require_columns(df, user_col, ts_col, "round_id")
-    ts = F.col(f"`{ts_col}`")
-    return df.groupBy("round_id", F.col(f"`{user_col}`")).agg(
+    ts = col(ts_col)
+    return df.groupBy("round_id", col(user_col)).agg(
         F.min(ts).alias("round_start"),
         F.max(ts).alias("round_end"),
         F.count(ts).alias("event_count"),
@@ -103,14 +104,14 @@ def _attach(events: DataFrame, cells: DataFrame, spec: CellSpec) -> DataFrame:
     """
     rounds = cells.withColumnsRenamed({"user": "_user", "cell": "_cell"})
     keyed = events.withColumn("_event_cell", spec.cell(events))
-    on = (F.col(f"`{spec.user_col}`") == F.col("_user")) & (F.col("_event_cell") == F.col("_cell"))
+    on = (col(spec.user_col) == F.col("_user")) & (F.col("_event_cell") == F.col("_cell"))
     return keyed.join(rounds, on).select(*_result(events, spec, F.col("round_index")))
 
 
 def _result(events: DataFrame, spec: CellSpec, index: Column, **replaced: Column) -> list[Column]:
-    made = {"round_index": index, "round_id": round_id(F.col(f"`{spec.user_col}`"), index)}
+    made = {"round_index": index, "round_id": round_id(col(spec.user_col), index)}
     made |= replaced
-    return [F.col(f"`{c}`") for c in events.columns] + [
+    return [col(c) for c in events.columns] + [
         made.get(c, F.col(c)).alias(c) for c in ROUND_COLUMNS
     ]
 
@@ -121,9 +122,9 @@ def _untimed(events: DataFrame, cells: DataFrame, spec: CellSpec) -> DataFrame:
     They can be many and alike for one user, so they are ranked by range with a
     random last key that spreads copies; the written rank table fixes the draw.
     """
-    user = F.col(f"`{spec.user_col}`")
+    user = col(spec.user_col)
     label = [F.col(LABEL)] if LABEL in events.columns else []
-    loose = events.where(F.col(f"`{spec.ts_col}`").isNull() & user.isNotNull())
+    loose = events.where(col(spec.ts_col).isNull() & user.isNotNull())
     ranked, _ = with_global_rank(loose, [user, *label, F.rand(seed=7)], "_rank")
     first = ranked.groupBy(user.alias("_user")).agg(F.min("_rank").alias("_first"))
     last = (

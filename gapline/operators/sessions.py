@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gapline.functions.time import MICROS, epoch_micros, gap_micros, parse_time
 from gapline.operators.cells import CellSpec, build_cells
 from gapline.operators.features import features_from_cells
-from gapline.schema import DEFAULT_GAP_MINUTES, TIME, USER, require_columns
+from gapline.schema import DEFAULT_GAP_MINUTES, TIME, USER, col, require_columns
 
 
 def session_rounds(
@@ -31,10 +31,10 @@ def session_rounds(
         raise ValueError("a session window needs a positive gap")
     events = parse_time(df, ts_col)
     spec = CellSpec(user_col, ts_col, gap)
-    cells = build_cells(events.where(F.col(f"`{ts_col}`").isNotNull()), spec)
+    cells = build_cells(events.where(col(ts_col).isNotNull()), spec)
     if not spec.single_task:
         rounds = features_from_cells(cells, spec, {})
-        return rounds.select(F.col(f"`{user_col}`"), "round_start", "round_end", "event_count")
+        return rounds.select(col(user_col), "round_start", "round_end", "event_count")
     length = epoch_micros(cells, "last_ts") - epoch_micros(cells, "first_ts") + F.lit(gap)
     seconds = (length.cast("decimal(18,0)") / MICROS).cast("decimal(18,6)")
     return (

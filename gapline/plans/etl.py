@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gapline.operators.features import round_features
-from gapline.schema import DEFAULT_GAP_MINUTES, TIME, USER, require_columns
+from gapline.schema import DEFAULT_GAP_MINUTES, TIME, USER, col, require_columns
 from gapline.sources.recordings import read_features, read_recordings, write_features
 from gapline.sources.rejects import split_rejects
 
@@ -44,7 +44,7 @@ def run_etl(
         events, bad = split_rejects(events, user_col, ts_col)
         bad.write.mode(mode).parquet(rejects)
     else:
-        user = F.col(f"`{user_col}`")
+        user = col(user_col)
         failed = F.raise_error(F.lit(f"{user_col} is null; give a rejects path to set such rows aside"))
         checked = F.coalesce(user, failed.cast(events.schema[user_col].dataType))
         events = events.withColumn(user_col, checked)

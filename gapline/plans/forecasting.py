@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapline.operators.latest import latest_rounds
-from gapline.schema import USER, numeric_columns
+from gapline.schema import USER, col, numeric_columns
 
 MODEL_ID = "baseline:spark"
 # Fixed key of the prediction list. The value is a mean: trees fit squared error.
@@ -58,7 +58,7 @@ def forecast(
         model = PipelineModel.load(model)
     scored = score(latest_rounds(features, user_col), model, new_labels)
     return scored.select(
-        F.col(f"`{user_col}`").cast("string").alias("entity_id"),
+        col(user_col).cast("string").alias("entity_id"),
         F.lit(horizon).alias("horizon"),
         F.create_map(F.lit(PREDICTION_KEY), F.array("prediction")).alias("predictions"),
         F.create_map(F.lit("model_id"), F.lit(MODEL_ID)).alias("metadata"),

@@ -10,7 +10,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapline.schema import require_columns
+from gapline.schema import col, require_columns
 
 DRIFT_THRESHOLD = 0.2
 ERROR_THRESHOLD = 1.2
@@ -37,11 +37,11 @@ def feature_drift(
     if not edges:
         raise ValueError("edges must name at least one feature")
     require_columns(features, time_col, *edges)
-    when = F.col(f"`{time_col}`")
+    when = col(time_col)
     border = F.lit(split_at).cast(features.schema[time_col].dataType)
 
     def entry(name: str, limits: list[float]) -> Column:
-        value = F.col(f"`{name}`").cast("double")
+        value = col(name).cast("double")
         bin_no = F.lit(0)
         for limit in limits:
             bin_no = bin_no + (value >= F.lit(float(limit))).cast("int")
@@ -117,8 +117,8 @@ def model_degradation(
         raise ValueError("baseline_mae must be positive")
     require_columns(scored, label_col, prediction_col, time_col)
     dtype = scored.schema[time_col].dataType
-    error = F.abs(F.col(f"`{label_col}`") - F.col(f"`{prediction_col}`"))
-    period = F.date_trunc(unit, F.col(f"`{time_col}`")).cast(dtype)
+    error = F.abs(col(label_col) - col(prediction_col))
+    period = F.date_trunc(unit, col(time_col)).cast(dtype)
     return (
         scored.select(period.alias("period"), error.alias("error"))
         .where("period is not null and error is not null")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gapline.operators.folds import DEFAULT_SPLITS, Fold, fold_bounds
 from gapline.operators.rank import with_global_rank
-from gapline.schema import USER, numeric_columns, require_columns
+from gapline.schema import USER, col, numeric_columns, require_columns
 from gapline.sources.scratch import scratch_dir
 
 MAX_ITER = 1000
@@ -44,7 +44,7 @@ def assembler(features: list[str]) -> VectorAssembler:
 def feature_matrix(df: DataFrame, features: list[str], target_col: str) -> DataFrame:
     """``features`` vector and ``label``, nulls as 0; other columns are kept."""
     filled = df.na.fill(0, subset=features).withColumn(
-        "label", F.coalesce(F.col(f"`{target_col}`").cast("double"), F.lit(0.0))
+        "label", F.coalesce(col(target_col).cast("double"), F.lit(0.0))
     )
     return assembler(features).transform(filled)
 
@@ -130,7 +130,7 @@ def train_baseline(
         raise ValueError("no numeric feature columns are left")
     scratch_dir(features.sparkSession)  # makes sure the learner can checkpoint
     keep = list(dict.fromkeys([*ORDER, *cols, target_col]))
-    ranked, rows = with_global_rank(features.select(*[F.col(f"`{c}`") for c in keep]), ORDER)
+    ranked, rows = with_global_rank(features.select(*[col(c) for c in keep]), ORDER)
     folds = fold_bounds(rows, n_splits)
     rank = F.col("rn")
     table = feature_matrix(ranked, cols, target_col).select("rn", "features", "label")

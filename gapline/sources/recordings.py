@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gapline.schema import col
 # Spellings that mean "missing" in recordings files.
 MISSING_SPELLINGS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -39,7 +40,7 @@ def read_recordings(
 def _blank_to_null(df: DataFrame) -> DataFrame:
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     cleaned = {
-        c: F.when(~F.col(f"`{c}`").isin(MISSING_SPELLINGS), F.col(f"`{c}`")) for c in texts
+        c: F.when(~col(c).isin(MISSING_SPELLINGS), col(c)) for c in texts
     }
     return df.withColumns(cleaned) if cleaned else df
 

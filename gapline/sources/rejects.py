@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapline.functions.time import parse_time
-from gapline.schema import TIME, USER, reject_names, require_columns
+from gapline.schema import TIME, USER, col, reject_names, require_columns
 
 REASON = "reject_reason"
 
@@ -21,14 +21,14 @@ def split_rejects(
     """
     require_columns(df, user_col, ts_col)
     reject_names([REASON, "_raw_time"], df.columns, "input columns")
-    raw, user = F.col("_raw_time"), F.col(f"`{user_col}`")
-    parsed = parse_time(df.withColumn("_raw_time", F.col(f"`{ts_col}`")), ts_col, strict=False)
+    raw, user = F.col("_raw_time"), col(user_col)
+    parsed = parse_time(df.withColumn("_raw_time", col(ts_col)), ts_col, strict=False)
     blank = F.trim(raw.cast("string")) == ""
-    malformed = F.col(f"`{ts_col}`").isNull() & raw.isNotNull() & ~blank
+    malformed = col(ts_col).isNull() & raw.isNotNull() & ~blank
     reason = F.when(user.isNull(), "null user").when(malformed, "malformed time")
     tagged = parsed.withColumn(REASON, reason)
-    good = tagged.where(F.col(REASON).isNull()).select(*[F.col(f"`{c}`") for c in df.columns])
+    good = tagged.where(F.col(REASON).isNull()).select(*[col(c) for c in df.columns])
     bad = tagged.where(F.col(REASON).isNotNull()).select(
-        *[(raw if c == ts_col else F.col(f"`{c}`")).alias(c) for c in df.columns], REASON
+        *[(raw if c == ts_col else col(c)).alias(c) for c in df.columns], REASON
     )
     return good, bad

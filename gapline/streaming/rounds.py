@@ -16,6 +16,7 @@ from gapline.schema import (
     LABEL,
     TIME,
     USER,
+    col,
     reject_names,
     require_columns,
 )
@@ -46,7 +47,7 @@ def closed_rounds(
         raise ValueError("a stream needs a positive gap")
     labels = list(labels or [])
     reject_names(labels, [user_col, *FEATURE_COLUMNS], "labels")
-    user, ts = F.col(f"`{user_col}`"), F.col(f"`{ts_col}`")
+    user, ts = col(user_col), col(ts_col)
     timed = parse_time(events, ts_col, strict=False).withColumn(ts_col, ts.cast("timestamp"))
     usable = timed.observe(
         "rejects",
@@ -127,13 +128,13 @@ def index_closed_rounds(
     labels = list(labels or [])
     reject_names(labels, [user_col, *FEATURE_COLUMNS], "labels")
     spec = CellSpec(user_col, "round_start", gap_micros(gap_minutes))
-    cells = closed.where(F.col(f"`{user_col}`").isNotNull()).select(
-        F.col(f"`{user_col}`").alias("user"),
+    cells = closed.where(col(user_col).isNotNull()).select(
+        col(user_col).alias("user"),
         epoch_micros(closed, "round_start").alias("cell"),
         F.col("round_start").alias("first_ts"),
         F.col("round_end").alias("last_ts"),
         F.col("event_count").alias("n"),
-        *[F.col(f"`{v}`").alias(f"closed_{i}") for i, v in enumerate(labels)],
+        *[col(v).alias(f"closed_{i}") for i, v in enumerate(labels)],
     )
     counts = {v: F.col(f"closed_{i}") for i, v in enumerate(labels)}
     return features_from_cells(cells, spec, counts)
