@@ -90,8 +90,9 @@ def stream_rounds(
     that are dropped: the batch job over the whole log remains the truth.
 
     Without ``poll`` the query takes what is there and stops; with it (for
-    example ``POLL_INTERVAL``) it keeps looking. ``out`` and ``checkpoint`` must
-    be in storage that all executors share.
+    example ``POLL_INTERVAL``) it keeps looking. ``options`` go to the source;
+    give ``maxFilesPerTrigger`` to take a long backlog in bounded steps. ``out``
+    and ``checkpoint`` must be in storage that all executors share.
     """
     given = ({"header": "true"} if fmt == "csv" else {}) | (options or {})
     events = spark.readStream.schema(schema).options(**given).format(fmt).load(source)

@@ -197,6 +197,9 @@ def test_against_brute_force(spark, data, gap):
     fused = gl.round_features(df, gap_minutes=gap)
     assert [r.asDict() for r in fused.orderBy("round_id").collect()] == want
 
+    staged = gl.round_features(df, gap_minutes=gap, single_scan=True)
+    assert [r.asDict() for r in staged.orderBy("round_id").collect()] == want
+
     events = gl.sessionize(df, gap_minutes=gap)
     two_step = gl.compute_round_features(events, gap_minutes=gap)
     assert [r.asDict() for r in two_step.orderBy("round_id").collect()] == want
