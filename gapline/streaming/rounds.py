@@ -13,7 +13,6 @@ from gapline.operators.features import features_from_cells, label_counts
 from gapline.schema import (
     DEFAULT_GAP_MINUTES,
     FEATURE_COLUMNS,
-    LABEL,
     TIME,
     USER,
     col,
@@ -141,4 +140,4 @@ def index_closed_rounds(
     return features_from_cells(cells, spec, counts)
 
 
-__all__ = ["LABEL", "POLL_INTERVAL", "closed_rounds", "index_closed_rounds", "stream_rounds"]
+__all__ = ["POLL_INTERVAL", "closed_rounds", "index_closed_rounds", "stream_rounds"]

@@ -9,7 +9,6 @@ from gapline.streaming.rounds import closed_rounds
 
 T0 = datetime(2024, 1, 1, 9)
 SCHEMA = "user_id string, recorded_at timestamp, event_type string"
-NO_LABELS = []
 
 
 class Stream:
