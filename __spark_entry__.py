@@ -6,6 +6,7 @@ cut at 240 minutes unless the name says otherwise.
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -21,6 +22,12 @@ import gapline as gl  # noqa: E402
 from gapline.plans.forecasting import score  # noqa: E402
 from gapline.sources.scratch import scratch_path, written  # noqa: E402
 
+# The operators of training-data pipelines may be left out; if they are there, they must import.
+LLM = importlib.util.find_spec("gapline.llm") and importlib.util.find_spec("gapline.llm.queries")
+if LLM:
+    from gapline.llm import queries as llm_queries  # noqa: E402
+    import corpus_pipeline  # noqa: E402
+
 GAP = 240
 USER, TIME = "user_id", "ts"
 LABELS = ["click", "error", "purchase", "signup", "view"]
@@ -356,7 +363,10 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in _QUERIES}
+    registered = {q.__name__: q for q in _QUERIES}
+    if LLM:
+        registered |= llm_queries.queries() | {"pipeline": corpus_pipeline.run}
+    return registered
 
 
 # --- SQL ------------------------------------------------------------------
@@ -457,6 +467,15 @@ def _closed_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    statements = _engine_sql()
+    if LLM:
+        statements |= llm_queries.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            statements["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return statements
+
+
+def _engine_sql() -> dict[str, str]:
     features = _features_sql()
     holed = (
         "(SELECT event_id, user_id, CASE WHEN event_type <> 'error' THEN ts END AS ts, "
