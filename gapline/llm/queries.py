@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gapline.llm import license_scan, url_filter
+from gapline.llm import decontaminate, license_scan, quality_rules, url_filter
+from gapline.sources.scratch import written
 
 URL_RULES = [
     ("allow", "com", "/"),
@@ -19,11 +21,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_rules(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    # Without its text a document is a few numbers: read the texts once.
+    features = written(quality_rules.document_features(documents).drop("text"), "features")
+    judged = quality_rules.with_verdicts(features, quality_rules.host_verdicts(features))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op4_license_scan(spark, sf_dir):
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return license_scan.scan_licenses(documents).drop("text")
 
 
+def op5_decontaminate(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_overlaps(documents, _table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["after"] - s["first"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
 def op10_url_filter(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     rules = url_filter.rule_table(spark, URL_RULES)
@@ -33,7 +55,9 @@ def op10_url_filter(spark, sf_dir):
 
 def queries():
     return {
+        "op2_quality_rules": op2_quality_rules,
         "op4_license_scan": op4_license_scan,
+        "op5_decontaminate": op5_decontaminate,
         "op10_url_filter": op10_url_filter,
     }
 
@@ -56,7 +80,61 @@ def _url_sql() -> str:
         FROM parts p LEFT JOIN (SELECT * FROM fits WHERE place = 1) f USING (page_id)"""
 
 
+_QUALITY_SQL = r"""
+    WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+         words AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs),
+         placed AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM words),
+         grams AS (SELECT doc_id, k, word || ' ' || lead(word) OVER d || ' ' || lead(word, 2) OVER d AS g
+                   FROM placed WINDOW d AS (PARTITION BY doc_id ORDER BY k)),
+         twice AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams WHERE g IS NOT NULL),
+         covered AS (SELECT DISTINCT doc_id, k + s AS k FROM twice, (VALUES (0), (1), (2)) AS t(s) WHERE n > 1),
+         repeats AS (SELECT doc_id, count(*) AS n_repeat_words FROM covered GROUP BY doc_id),
+         lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs),
+         worded AS (SELECT doc_id, count(*) AS n_lines, count(DISTINCT line) AS n_distinct FROM lines
+                    WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+         base AS (SELECT doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+                         len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+                         coalesce(n_lines - n_distinct, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines,
+                         coalesce(n_repeat_words, 0) AS n_repeat_words
+                  FROM docs JOIN words USING (doc_id) LEFT JOIN worded USING (doc_id) LEFT JOIN repeats USING (doc_id)),
+         judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
+         fails AS (SELECT doc_id, source, r.name, r.failed FROM judged, LATERAL (VALUES
+                       ('short', n_words < 50), ('repeats', 100 * n_repeat_words > 50 * n_words),
+                       ('symbols', 10 * n_symbols > 5 * word_chars), ('dup', 100 * n_dup_lines > 50 * n_lines)) AS r(name, failed)
+                   WHERE source IS NOT NULL),
+         rates AS (SELECT source, name, count(*) AS n, avg(failed::INT::DOUBLE) AS rate FROM fails GROUP BY source, name),
+         moments AS (SELECT name, avg(rate) AS mean, var_pop(rate) AS spread, avg(1.0::DOUBLE / n) AS noise FROM rates GROUP BY name),
+         priors AS (SELECT name, mean, CASE WHEN spread - mean * (1 - mean) * noise > 0
+                               THEN least(greatest(mean * (1 - mean) / (spread - mean * (1 - mean) * noise) - 1, 1), 1e9)
+                               ELSE 1e9 END AS strength FROM moments),
+         hosts AS (SELECT source, bool_or((rate * n + mean * strength) / (n + strength) >= 0.9) AS host_rejected
+                   FROM rates JOIN priors USING (name) GROUP BY source)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND NOT coalesce(host_rejected, false) AS kept
+    FROM judged LEFT JOIN hosts USING (source)"""
+
+_DECONTAMINATE_SQL = r"""
+    WITH docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+         items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+         wins AS (SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[k : k + least(10, len(w)) - 1], ' ') AS g
+                  FROM (SELECT *, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM items WHERE len(w) > 0)),
+         sizes AS (SELECT DISTINCT size FROM wins),
+         grams AS (SELECT doc_id, size, k, array_to_string(w[k : k + size - 1], ' ') AS g
+                   FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM docs, sizes WHERE len(w) >= size)),
+         found AS (SELECT doc_id, item_id, k, size FROM grams JOIN wins USING (size, g)),
+         hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS p FROM found) GROUP BY doc_id),
+         named AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+                   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM found) GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+    FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
 def oracle_sql():
     return {
+        "op2_quality_rules": _QUALITY_SQL,
+        "op5_decontaminate": _DECONTAMINATE_SQL,
         "op10_url_filter": _url_sql(),
     }

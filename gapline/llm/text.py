@@ -78,14 +78,36 @@ class Hasher:
     def __init__(self) -> None:
         self.values, self.up, self.down = _byte_values(), np.ones(1, np.uint64), np.ones(1, np.uint64)
 
-    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def raw(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if len(self.up) < len(data) + 1:
             n = 2 * len(data) + 1
             self.up = _powers(self.BASE, n)
             self.down = _powers(pow(self.BASE, -1, 1 << 64), n)
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self.values[data] * self.up[: len(data)], out=sums[1:])
-        return mixed((sums[ends] - sums[starts]) * self.down[starts])
+        return (sums[ends] - sums[starts]) * self.down[starts]
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Ranges must be sorted and apart; long texts go piece by piece."""
+        if len(data) <= 2 * SLICE_BYTES or not len(starts):
+            return mixed(self.raw(data, starts, ends)) if len(starts) else np.empty(0, np.uint64)
+        out, first = [], 0
+        while first < len(starts):
+            last = max(first + 1, int(np.searchsorted(ends, starts[first] + SLICE_BYTES, side="right")))
+            low, high = int(starts[first]), int(ends[last - 1])
+            if high - low <= 2 * SLICE_BYTES:
+                out.append(self.raw(data[low:high], starts[first:last] - low, ends[first:last] - low))
+            else:
+                out.append(self._long(data[low:high]))
+            first = last
+        return mixed(np.concatenate(out))
+
+    def _long(self, data: np.ndarray) -> np.ndarray:
+        total, zero = np.zeros(1, np.uint64), np.zeros(1, np.int64)
+        for at in range(0, len(data), SLICE_BYTES):
+            piece = data[at : at + SLICE_BYTES]
+            total += self.raw(piece, zero, zero + len(piece)) * np.uint64(pow(self.BASE, at, 1 << 64))
+        return total
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -96,7 +118,7 @@ def lowered(data: np.ndarray) -> np.ndarray:
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with at most ``limit`` bytes each, or one row."""
-    ends = _offsets(texts)[0]
+    ends = text_bytes(texts)[0]
     first = 0
     while first < len(texts):
         last = int(np.searchsorted(ends, ends[first] + limit, side="right")) - 1
@@ -105,7 +127,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         first = last
 
 
-def _offsets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets of the rows in the bytes, and the bytes."""
     kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
     _, offsets, data = texts.buffers()
@@ -113,6 +135,14 @@ def _offsets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
 
 
+def with_columns(batch: pa.RecordBatch, **added: pa.Array) -> pa.RecordBatch:
+    """The batch with columns appended, after any of the same names are left out."""
+    kept = [k for k, name in enumerate(batch.schema.names) if name not in added]
+    return pa.RecordBatch.from_arrays(
+        [*(batch.column(k) for k in kept), *added.values()], names=[*(batch.schema.names[k] for k in kept), *added]
+    )
+
+
 def column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """A text column with empty texts for nulls."""
     texts = batch.column(batch.schema.get_field_index(name))
@@ -121,7 +151,7 @@ def column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
 
 def words_of(texts: pa.Array, is_word: np.ndarray, hasher: Hasher, lower: bool = True) -> Words:
     """The words of some texts (see ``slices``: one slice at a time)."""
-    offsets, data = _offsets(texts)
+    offsets, data = text_bytes(texts)
     if len(offsets) < 2:
         offsets = np.zeros(1, np.int64)
     data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
@@ -137,23 +167,17 @@ def words_of(texts: pa.Array, is_word: np.ndarray, hasher: Hasher, lower: bool =
         begins[at] |= inside[at]
         ends[at - 1] |= inside[at - 1]
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    hashes = _hashed(data, starts, stops, hasher)
+    hashes = hasher(data, starts, stops)
     rows = np.searchsorted(offsets, starts, side="right") - 1
     counts = np.bincount(rows, minlength=len(texts)) if len(texts) else np.zeros(0, np.int64)
     return Words(hashes, starts, stops, rows, counts, data, offsets)
 
 
-def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hasher: Hasher) -> np.ndarray:
-    """Hashes of sorted, disjoint ranges; long texts go piece by piece, cut between ranges."""
-    if len(data) <= 2 * SLICE_BYTES or not len(starts):
-        return hasher(data, starts, ends) if len(starts) else np.empty(0, np.uint64)
-    out, first = [], 0
-    while first < len(starts):
-        last = max(first + 1, int(np.searchsorted(ends, starts[first] + SLICE_BYTES, side="right")))
-        low, high = starts[first], ends[last - 1]
-        out.append(hasher(data[low:high], starts[first:last] - low, ends[first:last] - low))
-        first = last
-    return np.concatenate(out)
+def summed(per_byte: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of a per-byte quantity between neighbouring offsets."""
+    sums = np.zeros(len(per_byte) + 1, np.int64)
+    np.cumsum(per_byte, out=sums[1:])
+    return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
 def windows(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
