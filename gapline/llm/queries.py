@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.llm import decontaminate, license_scan, quality_rules, url_filter
-from gapline.sources.scratch import written
+from gapline.llm import decontaminate, html_text, language_id, license_scan, quality_rules, token_files, url_filter
+from gapline.llm.frames import crc_remainder
+from gapline.llm.word_bpe import word_encoder
+from gapline.sources.scratch import scratch_path, written
 
 URL_RULES = [
     ("allow", "com", "/"),
@@ -21,6 +23,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(crc_remainder("doc_id", 3) == 1, F.lit(False))
+    model = language_id.train(documents.where(~held_out))
+    found = language_id.identify(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op2_quality_rules(spark, sf_dir):
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     # Without its text a document is a few numbers: read the texts once.
@@ -46,6 +56,22 @@ def op5_decontaminate(spark, sf_dir):
     )
 
 
+def op8_token_files(spark, sf_dir, tokenizer: str | None = None):
+    """``tokenizer``: path of the vocabulary file; by default that of the public tokenizers."""
+    import public_tokenizers
+
+    with open(tokenizer or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        encoder = word_encoder(file.read(), end_id=1)
+    path = scratch_path(spark, "tokens")
+    token_files.write_segments(_table(spark, sf_dir, "documents").select("doc_id", "text"), encoder, path)
+    return token_files.documents_of(token_files.read_segments(spark, path))
+
+
+def op9_html_text(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_url_filter(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     rules = url_filter.rule_table(spark, URL_RULES)
@@ -55,9 +81,12 @@ def op10_url_filter(spark, sf_dir):
 
 def queries():
     return {
+        "op1_language_id": op1_language_id,
         "op2_quality_rules": op2_quality_rules,
         "op4_license_scan": op4_license_scan,
         "op5_decontaminate": op5_decontaminate,
+        "op8_token_files": op8_token_files,
+        "op9_html_text": op9_html_text,
         "op10_url_filter": op10_url_filter,
     }
 
