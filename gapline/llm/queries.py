@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.llm import decontaminate, html_text, language_id, license_scan, quality_rules, token_files, url_filter
+from gapline.llm import decontaminate, html_text, language_id, license_scan, ngram_lm, quality_rules, token_files, url_filter
 from gapline.llm.frames import crc_remainder
 from gapline.llm.word_bpe import word_encoder
 from gapline.sources.scratch import scratch_path, written
@@ -56,6 +56,11 @@ def op5_decontaminate(spark, sf_dir):
     )
 
 
+def op6_ngram_lm(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_lm.score_documents(documents, crc_remainder("doc_id", 10) != 0)
+
+
 def op8_token_files(spark, sf_dir, tokenizer: str | None = None):
     """``tokenizer``: path of the vocabulary file; by default that of the public tokenizers."""
     import public_tokenizers
@@ -85,6 +90,7 @@ def queries():
         "op2_quality_rules": op2_quality_rules,
         "op4_license_scan": op4_license_scan,
         "op5_decontaminate": op5_decontaminate,
+        "op6_ngram_lm": op6_ngram_lm,
         "op8_token_files": op8_token_files,
         "op9_html_text": op9_html_text,
         "op10_url_filter": op10_url_filter,
