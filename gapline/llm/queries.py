@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.llm import decontaminate, html_text, language_id, license_scan, ngram_lm, quality_rules, token_files, url_filter
+from gapline.llm import decontaminate, html_text, language_id, license_scan, near_dedup, ngram_lm, quality_rules, token_files, url_filter
 from gapline.llm.frames import crc_remainder
 from gapline.llm.word_bpe import word_encoder
 from gapline.sources.scratch import scratch_path, written
@@ -41,6 +41,11 @@ def op2_quality_rules(spark, sf_dir):
     )
 
 
+def op3_near_dedup(spark, sf_dir):
+    found = near_dedup.find_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def op4_license_scan(spark, sf_dir):
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return license_scan.scan_licenses(documents).drop("text")
@@ -88,6 +93,7 @@ def queries():
     return {
         "op1_language_id": op1_language_id,
         "op2_quality_rules": op2_quality_rules,
+        "op3_near_dedup": op3_near_dedup,
         "op4_license_scan": op4_license_scan,
         "op5_decontaminate": op5_decontaminate,
         "op6_ngram_lm": op6_ngram_lm,
