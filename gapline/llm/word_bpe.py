@@ -13,14 +13,13 @@ import os
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 
 #: Code points up to here are their own NFC form and are lower-cased alike everywhere.
 LAST = 0x24F
-#: Pieces remembered by a task.
-REMEMBERED = 200_000
+#: Pieces that a task remembers before it starts over.
+REMEMBERED = 400_000
 
 
 def _pattern() -> re.Pattern[str]:
@@ -34,6 +33,44 @@ def _pattern() -> re.Pattern[str]:
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+")
 
 
+class Pieces(dict):
+    """Numbers of pieces, in the order they were first asked for; their ids, end to end."""
+
+    def __init__(self, library, ends: np.ndarray) -> None:
+        super().__init__()
+        self.library, self.ends = library, ends
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.new: list[str] = []
+        self.ids, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        self[piece] = number = len(self)
+        return number
+
+    def learn(self) -> None:
+        """Encode the new pieces, many at a time: a piece's last id is one that ends a word."""
+        lines = [" ".join(self.new[k : k + 500]) for k in range(0, len(self.new), 500)]
+        found = [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(lines, add_special_tokens=False)]
+        if found:
+            ids = np.concatenate(found)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(self.new):
+                raise ValueError("a piece was not encoded as one word")
+            self.starts = np.concatenate((self.starts, self.starts[-1] + ends))
+            self.ids = np.concatenate((self.ids, ids))
+            self.new = []
+
+    def expanded(self, numbers: np.ndarray) -> np.ndarray:
+        """Ids of the pieces, one after the other."""
+        sizes = self.starts[numbers + 1] - self.starts[numbers]
+        shift = self.starts[numbers] - (np.cumsum(sizes) - sizes)
+        return self.ids[np.arange(sizes.sum()) + np.repeat(shift, sizes)]
+
+
 def word_encoder(tokenizer_json: str, end_id: int | None = None) -> Callable[[], Callable[[list[str]], Iterator[np.ndarray]]]:
     """A maker of encoders (see ``write_segments``) for the tokenizer file's contents."""
     special = [t["content"] for t in json.loads(tokenizer_json).get("added_tokens", [])]
@@ -44,24 +81,25 @@ def word_encoder(tokenizer_json: str, end_id: int | None = None) -> Callable[[],
 
         library, pattern = Tokenizer.from_str(tokenizer_json), _pattern()
         plain = re.compile(f"[\\x00-{chr(LAST)}]*")
-        known: dict[str, tuple[int, ...]] = {}
+        vocabulary = library.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[n for piece, n in vocabulary.items() if piece.endswith("</w>")]] = True
+        known = Pieces(library, ends)
         tail = [] if end_id is None else [end_id]
 
+        def numbers_of(text: str) -> np.ndarray | None:
+            if not plain.fullmatch(text) or any(s in text for s in special):
+                return None
+            return np.fromiter(map(known.__getitem__, pattern.findall(text.lower())), np.int64)
+
         def encode(texts: list[str]) -> Iterator[np.ndarray]:
-            for text in texts:
-                if not plain.fullmatch(text) or any(s in text for s in special):
-                    ids = library.encode(text, add_special_tokens=False).ids
-                    yield np.array([*ids, *tail], np.uint32)
-                    continue
-                pieces = pattern.findall(text.lower())
-                new = list({p for p in pieces if p not in known})
-                if new:
-                    if len(known) + len(new) > REMEMBERED:
-                        known.clear()
-                        new = list(set(pieces))
-                    for piece, found in zip(new, library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                        known[piece] = tuple(found.ids)
-                yield np.fromiter(chain(chain.from_iterable(map(known.__getitem__, pieces)), tail), np.uint32)
+            if len(known) > REMEMBERED:
+                known.forget()
+            numbers = [numbers_of(text) for text in texts]
+            known.learn()
+            for text, own in zip(texts, numbers, strict=True):
+                ids = known.expanded(own) if own is not None else library.encode(text, add_special_tokens=False).ids
+                yield np.concatenate((ids, tail)).astype(np.uint32)
 
         return encode
 
