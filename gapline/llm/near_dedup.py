@@ -1,15 +1,19 @@
 """Near-duplicates by a multi-index join of MinHash signatures, confirmed on full sets.
 
-A text is the set of its 5-word shingles. Its signature has 128 slots of 14 bits, each of
+A text is the set of its 5-word shingles. Its signature has 64 slots of 14 bits, each of
 the least shingle under one hash; slots of two sets differ with about one minus their
-similarity. Four slots make a chunk of the index, which has 16 chunks. Signatures that
-differ in at most 31 of its 64 slots have, by pigeonhole, a chunk with at most one error;
-so each chunk is indexed four times, with one slot left out, and all pairs within that
-distance meet. At similarity 0.75 a pair is farther apart about once in 50,000 times.
-
-Pairs that meet are not all made. First every text is compared with one hub, the first text
-that any of its chunks leads to. Links that hold make components; only texts that share a
-chunk key with a text of another component are then compared with each other.
+similarity. Four slots make one of 16 chunks. Signatures that differ in at most 31 slots
+have, by pigeonhole, a chunk with at most one error; so each chunk is indexed four times,
+with one slot left out, and all pairs within that distance meet. At similarity 0.75 a pair
+is farther apart about once in 50,000 times.
+
+A set also has a bitmap of 2048 bits, on which its shingles are hashed. Every bit in which two
+bitmaps differ stands for a shingle that just one of the sets has, and linked sets have
+at most a seventh of their joint size of these. That rules pairs out without an error.
+
+Pairs that meet are not all made. First every text is compared with the hubs of its keys: the
+smallest id of each. Links that hold make components; only texts that share a chunk key with
+a text of another component are then compared with each other.
 """
 
 from __future__ import annotations
@@ -28,12 +32,13 @@ from gapline.sources.scratch import written
 SHINGLE = 5
 #: 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
-SLOTS, BITS, PER_CHUNK = 128, 14, 4
+SLOTS, BITS, PER_CHUNK = 64, 14, 4
 LANE = BITS + 1
-CHUNKS, INDEX_CHUNKS = SLOTS // PER_CHUNK, 16
-#: Farthest signatures: in the index's slots, what pigeonhole guarantees; in all slots, 4.5 standard
-#: deviations above the mean at the threshold.
-INDEX_DISTANCE, DISTANCE = 2 * INDEX_CHUNKS - 1, 54
+CHUNKS = SLOTS // PER_CHUNK
+#: Farthest signatures that pigeonhole makes meet.
+DISTANCE = 2 * CHUNKS - 1
+BITMAP_BITS = 2048
+WORDS = BITMAP_BITS // 64
 
 _LOWS = sum(((1 << BITS) - 1) << (LANE * k) for k in range(PER_CHUNK))
 _TOPS = sum(1 << (LANE * k + BITS) for k in range(PER_CHUNK))
@@ -81,8 +86,15 @@ def _signatures(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _bitmaps(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """A bitmap of each of the rows 0, 1, ..., as 64-bit numbers."""
+    bits = np.zeros((int(rows[-1]) + 1, BITMAP_BITS), bool)
+    bits[rows, (tx.mixed(hashes) % np.uint64(BITMAP_BITS)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, size of its set, two hashes of the set, signature (null for an empty set)."""
+    """doc_id, size of its set, two hashes of the set, its signature's chunks and bitmap (null if empty)."""
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,8 +110,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     some, starts = np.unique(rows, return_index=True)
                     for k, s in enumerate(sums):
                         s[some] = np.add.reduceat(tx.mixed(hashes + np.uint64(k + 1)), starts).view(np.int64)
-                    for row, chunks in zip(some.tolist(), _signatures(hashes, starts), strict=True):
-                        signed[row] = chunks
+                    numbers = np.repeat(np.arange(len(some)), np.diff(np.append(starts, len(hashes))))
+                    found = np.concatenate((_signatures(hashes, starts), _bitmaps(hashes, numbers)), axis=1)
+                    for row, own in zip(some.tolist(), found, strict=True):
+                        signed[row] = own
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, last - first), pa.array(sizes, pa.int64()), *(pa.array(s) for s in sums), pa.array(signed, pa.list_(pa.int64()))],
                     names=["doc_id", "n", "h1", "h2", "sig"],
@@ -108,39 +122,40 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return narrow.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sig array<long>")
 
 
-def _errors(a: Column, b: Column, chunk: int) -> Column:
-    """Slots of a chunk in which two signatures differ: lanes are compared all at once."""
-    differ = F.get(a, F.lit(chunk)).bitwiseXOR(F.get(b, F.lit(chunk)))
-    return F.bit_count((differ + F.lit(_LOWS)).bitwiseAND(F.lit(_TOPS)))
+def _errors(a: Column, b: Column) -> Column:
+    """Per chunk, the slots in which two signatures differ: a chunk's lanes are compared all at once."""
+    chunks = (F.slice(x, 1, CHUNKS) for x in (a, b))
+    return F.zip_with(*chunks, lambda x, y: F.bit_count((x.bitwiseXOR(y) + F.lit(_LOWS)).bitwiseAND(F.lit(_TOPS))))
 
 
-def close(a: Column, b: Column) -> Column:
-    """Within both distances."""
-    errors = [_errors(a, b, k) for k in range(CHUNKS)]
-    near = reduce(lambda x, y: x + y, errors[:INDEX_CHUNKS])
-    return (near <= INDEX_DISTANCE) & (reduce(lambda x, y: x + y, errors[INDEX_CHUNKS:], near) <= DISTANCE)
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda x, y: x + y)
 
 
-def _met_first(a: Column, b: Column, place: Column) -> Column:
-    """Whether this is the first key that the two signatures share."""
-    first = F.coalesce(*(
-        F.when(_errors(a, b, k) == 0, F.lit(PER_CHUNK * k)).when(
-            _errors(a, b, k) == 1, F.lit(PER_CHUNK * k) + _odd_slot(a, b, k))
-        for k in range(INDEX_CHUNKS)
-    ))
-    return first == place
+def close(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
+    """Whether sizes, signatures and bitmaps allow a link.
+
+    Written with functions over arrays: spelled out per chunk, the condition of a join becomes a
+    method too long for the JVM to compile.
+    """
+    words = (F.slice(x, CHUNKS + 1, WORDS) for x in (a, b))
+    apart = _total(F.zip_with(*words, lambda x, y: F.bit_count(x.bitwiseXOR(y))))
+    sized = 100 * F.least(n_a, n_b) >= THRESHOLD * F.greatest(n_a, n_b)
+    return sized & (_total(_errors(a, b)) <= DISTANCE) & ((100 + THRESHOLD) * apart <= (100 - THRESHOLD) * (n_a + n_b))
 
 
-def _odd_slot(a: Column, b: Column, chunk: int) -> Column:
-    differ = F.get(a, F.lit(chunk)).bitwiseXOR(F.get(b, F.lit(chunk)))
-    bit = (differ + F.lit(_LOWS)).bitwiseAND(F.lit(_TOPS))
-    return reduce(lambda rest, k: F.when(bit == F.lit(1 << (LANE * k + BITS)), F.lit(k)).otherwise(rest), range(PER_CHUNK), F.lit(None).cast("int"))
+def _met_first(a: Column, b: Column, place: Column) -> Column:
+    """Of the keys that two signatures share, whether the one at ``place`` is the first."""
+    chunk = F.floor(place / PER_CHUNK).cast("int")
+    meets = F.transform(_errors(a, b), lambda e: e <= 1)
+    equal = F.get(a, chunk) == F.get(b, chunk)  # then all four of the chunk's keys are shared
+    return ((place % PER_CHUNK == 0) | ~equal) & (F.array_position(meets, F.lit(True)) == chunk + 1)
 
 
 def index_keys(sig: Column) -> Column:
     """Array of (place, key): a chunk without one of its slots, for all index chunks and slots."""
     keys = []
-    for chunk in range(INDEX_CHUNKS):
+    for chunk in range(CHUNKS):
         for slot in range(PER_CHUNK):
             rest = ((1 << (LANE * PER_CHUNK)) - 1) & ~(((1 << LANE) - 1) << (LANE * slot))
             place = PER_CHUNK * chunk + slot
@@ -245,7 +260,8 @@ def _links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     involved = members.select("rep").distinct()
     texts = docs.join(involved, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text")
     texts = written(texts, "texts")
-    star = members.where("rep <> hub").groupBy("rep").agg(F.min("hub").alias("hub")).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    star = members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    star = written(_close_pairs(star, sets), "star")
     first = written(_confirmed(star, texts), "links")
     found = components(first)
     # Keys that lead to more than one component, with their members' signatures.
@@ -261,14 +277,20 @@ def _links(docs: DataFrame, sets: DataFrame) -> DataFrame:
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.component") != F.col("y.component"))
         & ((F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
-        & (100 * F.least("x.n", "y.n") >= THRESHOLD * F.greatest("x.n", "y.n"))
         & _met_first(F.col("x.sig"), F.col("y.sig"), F.col("x.place"))
-        & close(F.col("x.sig"), F.col("y.sig"))
+        & close(*map(F.col, ("x.sig", "y.sig", "x.n", "y.n")))
     )
     rest = written(x.join(y, met).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")), "pairs")
     return first.union(_confirmed(rest, texts))
 
 
+def _close_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures and sizes allow a link."""
+    x = sets.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a"))
+    y = sets.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b"))
+    return pairs.join(x, "a").join(y, "b").where(close(*map(F.col, ("sig_a", "sig_b", "n_a", "n_b")))).select("a", "b")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     a = texts.select(F.col("rep").alias("ra"), F.col("text").alias("text_a"))
     b = texts.select(F.col("rep").alias("rb"), F.col("text").alias("text_b"))
