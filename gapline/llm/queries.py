@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.llm import decontaminate, html_text, language_id, license_scan, near_dedup, ngram_lm, quality_rules, token_files, url_filter
+from gapline.llm import decontaminate, html_text, language_id, license_scan, near_dedup, ngram_lm, piece_codec, quality_rules, token_files, url_filter
 from gapline.llm.frames import crc_remainder
 from gapline.llm.word_bpe import word_encoder
 from gapline.sources.scratch import scratch_path, written
@@ -66,6 +66,24 @@ def op6_ngram_lm(spark, sf_dir):
     return ngram_lm.score_documents(documents, crc_remainder("doc_id", 10) != 0)
 
 
+def piece_model(path: str | None = None) -> bytes:
+    """A SentencePiece model file; by default that of the public tokenizers."""
+    import public_tokenizers
+
+    with open(path or public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        return file.read()
+
+
+def op7_piece_codec(spark, sf_dir, model: str | None = None):
+    vocabulary = piece_model(model)
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = piece_codec.decode(piece_codec.encode(documents, vocabulary), vocabulary)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.md5(F.array_join("ids", ",").cast("binary")).alias("ids_md5"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op8_token_files(spark, sf_dir, tokenizer: str | None = None):
     """``tokenizer``: path of the vocabulary file; by default that of the public tokenizers."""
     import public_tokenizers
@@ -97,6 +115,7 @@ def queries():
         "op4_license_scan": op4_license_scan,
         "op5_decontaminate": op5_decontaminate,
         "op6_ngram_lm": op6_ngram_lm,
+        "op7_piece_codec": op7_piece_codec,
         "op8_token_files": op8_token_files,
         "op9_html_text": op9_html_text,
         "op10_url_filter": op10_url_filter,
