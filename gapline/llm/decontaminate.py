@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gapline.llm import text as tx
-from gapline.llm.frames import unused_name
+from gapline.llm.frames import unused_name, without
 
 WINDOW = 10
 #: Words of one automaton. More items are split into several, each of which sees all texts.
@@ -117,7 +117,7 @@ class Matcher:
         w = tx.words_of(texts, tx.ALPHANUMERIC, self.hasher)
         self.vocabulary = np.unique(w.hashes)
         numbers = np.searchsorted(self.vocabulary, w.hashes)
-        parts = np.split(numbers, np.cumsum(w.counts)[:-1])
+        parts = np.split(numbers, np.cumsum(w.counts)[:-1])[: len(items)]
         named = [(name, part.tolist()) for (name, _), part in zip(items, parts, strict=True) if len(part)]
         self.least = min((min(len(p), window) for _, p in named), default=0)
         together = w.texts[1:] == w.texts[:-1]
@@ -208,7 +208,7 @@ def find_overlaps(
     documents in one pass that shuffles nothing.
     """
     added = ("n_words", "spans", "items")
-    docs = docs.select(*(f"`{c}`" for c in docs.columns if c not in added))
+    docs = docs.select(*(f"`{c}`" for c in without(docs.columns, added)))
     fields = [T.StructField("n_words", T.LongType()), T.StructField("spans", _SPANS), T.StructField("items", T.ArrayType(T.StringType()))]
     schema = T.StructType([*docs.schema.fields, *fields])
 

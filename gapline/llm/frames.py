@@ -18,6 +18,12 @@ def unused_name(wish: str, taken: Iterable[str]) -> str:
     return wish
 
 
+def without(columns: Iterable[str], names: Iterable[str]) -> list[str]:
+    """The columns that are called like none of the names, in any case."""
+    left_out = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in left_out]
+
+
 def crc_remainder(doc_id: str, modulus: int) -> Column:
     """Remainder of the CRC-32 of an id written as text; null for a null id."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gapline.llm.frames import unused_name
+from gapline.llm.frames import unused_name, without
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>|[^<]+|<", re.S
@@ -93,6 +93,8 @@ def _nodes(page: str) -> Iterator[tuple[int, Path, str, bool]]:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
+        if tag == "br":
+            yield block, tuple(s[1] for s in stack), "\n", False
         if tag not in INLINE and tag not in VOID or tag == "hr":
             block += 1
             closed = CLOSED_BY.get(tag, set()) | {"p"}
@@ -152,7 +154,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", into: str = "text") -
     notices, comments, hidden elements) is known by tag, class, id and role. Null and empty
     pages, and pages without any other text, give an empty text. Pages do not depend on each other.
     """
-    columns = [c for c in pages.columns if c != into]
+    columns = without(pages.columns, [into])
     kept = pages.select(*(f"`{c}`" for c in columns))
     made = unused_name("_text", columns)
     schema = T.StructType([*kept.schema.fields, T.StructField(made, T.StringType())])

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gapline.llm.frames import without
+
 UNKNOWN = "und"
 BUCKETS = 1 << 16
 #: Log-probability that a change of language costs.
@@ -231,7 +233,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: flo
     no learned language uses has all languages as candidates. Columns of the three names are replaced.
     """
     added = ("lang_pred", "score", "spans")
-    kept = docs.select(*(f"`{c}`" for c in docs.columns if c not in added))
+    kept = docs.select(*(f"`{c}`" for c in without(docs.columns, added)))
     span = T.StructType([T.StructField("lang", T.StringType()), T.StructField("letters", T.LongType())])
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))]
     schema = T.StructType([*kept.schema.fields, *fields])

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapline.llm.frames import LOWER, UPPER, unused_name
+from gapline.llm.frames import LOWER, UPPER, unused_name, without
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A start is one number: template * SPAN + place, so that sets of starts are hashed.
@@ -113,7 +113,7 @@ def scan_licenses(
         for place, word, _ in ranked[:1] if template.exact else ranked:
             postings.setdefault(word, []).append((n, place))
     results = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
-    kept = [c for c in docs.columns if c.lower() not in results]
+    kept = without(docs.columns, results)
     words, starts, shares = (unused_name(c, docs.columns) for c in ("_words", "_starts", "_shares"))
     if not postings:
         raise ValueError("no template has a word")

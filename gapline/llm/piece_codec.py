@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from gapline.llm.frames import unused_name
+from gapline.llm.frames import unused_name, without
 from gapline.sources.scratch import written
 
 SPACE = "▁"
@@ -301,7 +301,7 @@ def encode(
     Texts of at most ``chunk`` characters are encoded where they are; longer ones are cut (``chunk`` must be
     no less than the longest piece) and their chunks are spread over all tasks.
     """
-    columns = [c for c in docs.columns if c != ids_col]
+    columns = without(docs.columns, [ids_col])
     kept = docs.select(*(f"`{c}`" for c in columns))
     ids_field = T.StructField(ids_col, T.ArrayType(T.IntegerType()))
     schema = T.StructType([*kept.schema.fields, ids_field])
@@ -356,7 +356,7 @@ def encode(
 
 def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """Add the text that ids spell; null ids give null. A column of that name is replaced."""
-    columns = [c for c in rows.columns if c != text_col]
+    columns = without(rows.columns, [text_col])
     kept = rows.select(*(f"`{c}`" for c in columns))
     schema = T.StructType([*kept.schema.fields, T.StructField(text_col, T.StringType())])
     place = columns.index(ids_col)

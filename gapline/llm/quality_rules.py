@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gapline.llm import text as tx
-from gapline.llm.frames import unused_name
+from gapline.llm.frames import unused_name, without
 from gapline.sources.scratch import written
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -97,7 +97,7 @@ def document_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     ``n_dup_lines`` those equal to an earlier one, ``n_repeat_words`` words in 3-word windows
     that the text has twice or more. All are 0 for a null or empty text.
     """
-    kept = docs.select(*(f"`{c}`" for c in docs.columns if c not in FEATURES))
+    kept = docs.select(*(f"`{c}`" for c in without(docs.columns, FEATURES)))
     schema = T.StructType([*kept.schema.fields, *(T.StructField(c, T.LongType()) for c in FEATURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

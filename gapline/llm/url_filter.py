@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gapline.llm.frames import unused_name
+from gapline.llm.frames import unused_name, without
 
 Rule = tuple[str, str, str]  # verdict, host, path
 
@@ -108,7 +108,7 @@ def filter_urls(
     stacks = _with_stacks(rules)
     depths = sorted(r[0] for r in stacks.select("depth").distinct().collect())  # at most 127 in host names
     results = ("host", "path", "rule", "verdict")
-    kept = [c for c in pages.columns if c.lower() not in results]
+    kept = without(pages.columns, results)
     row = unused_name("_row", kept)
     pages = pages.select(
         F.struct(*(F.col(f"`{c}`") for c in kept)).alias(row) if kept else F.struct(F.lit(0).alias("none")).alias(row),
