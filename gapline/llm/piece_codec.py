@@ -1,8 +1,7 @@
 """SentencePiece encoding by Viterbi, with a max-plus scan over giant documents.
 
 A text is encoded as the pieces of the largest total score that spell it. Ordinary texts
-fall into parts that no piece crosses (a space begins a part), which are encoded one by one
-and remembered. A giant document is cut into chunks of equal length. What a chunk does to
+fall into parts that no piece crosses, such as words, which are searched once and remembered. A giant document is cut into chunks of equal length. What a chunk does to
 the scores of the states at its border (how far the last piece reaches across) is a matrix;
 products of such matrices, with max for sum and sum for product, are associative and are
 combined group by group. With the scores before it known, each chunk says from which
@@ -12,17 +11,18 @@ right. Then every chunk is traced back on its own.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
+from gapline.llm import text as tx
 from gapline.llm.frames import unused_name, without
 from gapline.sources.scratch import written
 
@@ -31,8 +31,10 @@ SPACE = "▁"
 OWN_SPACE = "\udc81"
 #: Characters of a chunk; matrices combined by one task.
 CHUNK, GROUP = 1 << 16, 64
-#: Parts up to this length are remembered, up to so many.
-SHORT, REMEMBERED = 64, 300_000
+#: Stands between texts.
+BETWEEN = "\udc82"
+#: Parts that a task remembers before it starts over; characters encoded at once.
+REMEMBERED, CHARS = 400_000, 1 << 19
 UNKNOWN_PENALTY = 10.0
 NEVER = -np.inf
 
@@ -57,29 +59,38 @@ class Vocabulary:
             elif p.type in (kinds.NORMAL, kinds.USER_DEFINED):
                 self.pieces[p.piece] = (n, float(p.score))
                 self.spelled[n] = p.piece.replace(SPACE, " ").encode()
-        self.prefixes = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
+        #: All that a piece begins with; with id and score, if it is a piece itself.
+        self.prefixes = {p[:k]: self.pieces.get(p[:k]) for p in self.pieces for k in range(1, len(p) + 1)}
         self.longest = max(map(len, self.pieces), default=1)
         self.unknown = min((s for _, s in self.pieces.values()), default=0.0) - UNKNOWN_PENALTY
-        #: Whether a space always begins a part: no piece has one behind another character.
-        self.parts = all(SPACE not in p[1:] or not p.strip(SPACE) for p in self.pieces)
+        # Which characters ever follow each other within a piece: between all others a text can be cut.
+        inner = sorted({c for p in self.pieces if len(p) > 1 for c in p})
+        self.kind = np.zeros(0x110000, np.int32)
+        self.kind[[ord(c) for c in inner]] = np.arange(1, len(inner) + 1)
+        self.follows = np.zeros((len(inner) + 1, len(inner) + 1), bool)
+        for p in self.pieces:
+            codes = self.kind[[ord(c) for c in p]]
+            self.follows[codes[:-1], codes[1:]] = True
+        sizes = np.array([len(b) for b in self.spelled], np.int64)
+        self.spelled_starts = np.concatenate(([0], np.cumsum(sizes)))
+        self.spelled_bytes = np.frombuffer(b"".join(self.spelled), np.uint8)
 
     def spelling(self, text: str) -> str:
         """The text as pieces spell it: spaces marked, one put in front."""
         return SPACE + text.replace(SPACE, OWN_SPACE).replace(" ", SPACE) if text else ""
 
-    def starting(self, text: str, at: int) -> Iterator[tuple[int, int, float]]:
+    def starting(self, text: str, at: int) -> list[tuple[int, int, float]]:
         """(end, id, score) of pieces at a place, the shortest first; id -1 for a character of bytes."""
-        single = False
+        found, prefixes = [], self.prefixes
         for end in range(at + 1, min(at + self.longest, len(text)) + 1):
-            part = text[at:end]
-            found = self.pieces.get(part)
-            if found:
-                single |= end == at + 1
-                yield end, *found
-            if part not in self.prefixes:
+            piece = prefixes.get(text[at:end], NEVER)
+            if piece is NEVER:
                 break
-        if not single:
-            yield at + 1, -1, self.unknown
+            if piece is not None:
+                found.append((end, *piece))
+        if not found or found[0][0] > at + 1:
+            found.append((at + 1, -1, self.unknown))
+        return found
 
     def ids_of(self, text: str, path: list[tuple[int, int, int]]) -> list[int]:
         ids: list[int] = []
@@ -116,9 +127,28 @@ class Vocabulary:
         return path[::-1], end
 
     def encoded(self, text: str) -> list[int]:
-        """Ids of a spelled text, from one end to the other."""
-        _, back = self.forward(text, len(text), [0.0])
-        return self.ids_of(text, self.traced(back, len(text))[0])
+        """Ids of a spelled text, from one end to the other: ``forward`` and ``traced`` in one, for short texts."""
+        size, longest, get, unknown = len(text), self.longest, self.prefixes.get, self.unknown
+        best, back = [0.0] + [NEVER] * size, [(0, 0)] * (size + 1)
+        for at in range(size):
+            own, single = best[at], False
+            for end in range(at + 1, min(at + longest, size) + 1):
+                piece = get(text[at:end], NEVER)
+                if piece is NEVER:
+                    break
+                if piece is not None:
+                    single |= end == at + 1
+                    score = own + piece[1]
+                    if score > best[end]:
+                        best[end], back[end] = score, (at, piece[0])
+            if not single and own + unknown > best[at + 1]:
+                best[at + 1], back[at + 1] = own + unknown, (at, -1)
+        path, end = [], size
+        while end:
+            start, n = back[end]
+            path.append((start, end, n))
+            end = start
+        return self.ids_of(text, path[::-1])
 
     def matrix(self, text: str, size: int) -> np.ndarray:
         """Best score from each border state before the chunk to each behind it."""
@@ -140,8 +170,25 @@ class Vocabulary:
         out = np.array(scores[size - at : size - at + states])
         return np.where(np.isneginf(alive)[:, None], NEVER, alive[:, None] + out[None, :])
 
-    def decoded(self, ids: list[int]) -> str:
-        return b"".join(map(self.spelled.__getitem__, ids)).decode()[1:]
+    def decoded(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """Texts of ids that stand end to end, so many per text."""
+        data, sizes = _gathered(self.spelled_bytes, self.spelled_starts, ids)
+        ends = np.cumsum(np.concatenate(([0], sizes)))[np.cumsum(counts)]
+        offsets = np.concatenate(([0], ends))
+        spaces = offsets[:-1][counts > 0]  # the one put in front of each text
+        kept = np.ones(len(data), bool)
+        kept[spaces] = False
+        shift = np.concatenate(([0], np.cumsum(counts > 0)))
+        return pa.StringArray.from_buffers(
+            len(counts), pa.py_buffer((offsets - shift).astype(np.int32).tobytes()), pa.py_buffer(data[kept].tobytes())
+        )
+
+
+def _gathered(store: np.ndarray, starts: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of a store, by their numbers, end to end; and their lengths."""
+    sizes = starts[numbers + 1] - starts[numbers]
+    shift = starts[numbers] - (np.cumsum(sizes) - sizes)
+    return store[np.arange(sizes.sum()) + np.repeat(shift, sizes)], sizes
 
 
 def _shift(window: np.ndarray) -> tuple[int, np.ndarray] | None:
@@ -165,27 +212,50 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes ordinary texts, remembering short parts."""
+    """Encodes ordinary texts, many at a time.
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        self.vocabulary, self.known = vocabulary, {}
-        self.part = re.compile(f"{SPACE}+[^{SPACE}]*")
+    Texts are cut between characters that never follow each other in a piece. The parts are
+    known by 64-bit hashes, and each is searched just once as long as it is remembered.
+    """
 
-    def __call__(self, text: str) -> np.ndarray:
-        spelled = self.vocabulary.spelling(text)
-        if not self.vocabulary.parts:
-            return np.array(self.vocabulary.encoded(spelled), np.int32)
-        ids: list[int] = []
-        for part in self.part.findall(spelled):
-            found = self.known.get(part)
-            if found is None:
-                found = self.vocabulary.encoded(part)
-                if len(part) <= SHORT:
-                    if len(self.known) >= REMEMBERED:
-                        self.known.clear()
-                    self.known[part] = found
-            ids += found
-        return np.array(ids, np.int32)
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary, self.hasher = vocabulary, tx.Hasher()
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.ids, self.starts = np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, end to end, and how many each has."""
+        v = self.vocabulary
+        spelled = [v.spelling(t) for t in texts]
+        joined = BETWEEN.join(["", *spelled, ""])
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = v.kind[codes]
+        cut = np.flatnonzero(~v.follows[kind[:-1], kind[1:]]) + 1
+        starts = np.concatenate(([0], cut))
+        ends = np.concatenate((cut, [len(codes)]))
+        real = codes[starts] != ord(BETWEEN)
+        texts_of = np.cumsum(~real)[real] - 1
+        starts, ends = starts[real], ends[real]
+        hashes = self.hasher.of_values(tx.mixed(codes.astype(np.uint64) + np.uint64(1)), starts, ends)
+        distinct, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        numbers, new = np.empty(len(distinct), np.int64), []
+        for k, h in enumerate(distinct.tolist()):
+            n = self.known.get(h)
+            if n is None:
+                n = self.known[h] = len(self.known)
+                new.append(v.encoded(joined[starts[first[k]] : ends[first[k]]]))
+            numbers[k] = n
+        if new:
+            sizes = np.array([len(x) for x in new], np.int64)
+            self.ids = np.concatenate((self.ids, np.array([n for x in new for n in x], np.int32)))
+            self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes)))
+        ids, sizes = _gathered(self.ids, self.starts, numbers[at])
+        return ids, np.bincount(texts_of, weights=sizes, minlength=len(texts)).astype(np.int64)
 
 
 _CHUNKS = pa.schema([("row", pa.int64()), ("k", pa.int64()), ("text", pa.string()), ("ahead", pa.string())])
@@ -311,10 +381,12 @@ def encode(
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Vocabulary(model))
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                few = batch.slice(at, 256)
-                found = [encoder(t.as_py() or "") for t in few.column(place)]
-                yield pa.RecordBatch.from_arrays([*few.columns, pa.array(found, pa.list_(pa.int32()))], names=names)
+            texts = tx.column(batch, text_col)
+            for first, last in tx.slices(texts, CHARS):
+                ids, counts = encoder(texts.slice(first, last - first).to_pylist())
+                offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, last - first).columns, found], names=names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, number = Vocabulary(model), TaskContext.get().partitionId() << 33
@@ -366,8 +438,12 @@ def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", text_col: str =
         for batch in batches:
             for at in range(0, len(batch), 256):
                 few = batch.slice(at, 256)
-                texts = [None if x is None else vocabulary.decoded(x) for x in few.column(place).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*few.columns, pa.array(texts, pa.string())], names=schema.names)
+                lists = few.column(place)
+                counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                texts = vocabulary.decoded(lists.flatten().to_numpy(zero_copy_only=False), counts)
+                if lists.null_count:
+                    texts = pa.compute.if_else(lists.is_null(), pa.scalar(None, pa.string()), texts)
+                yield pa.RecordBatch.from_arrays([*few.columns, texts], names=schema.names)
 
     return kept.mapInArrow(run, schema)
 

@@ -78,15 +78,25 @@ class Hasher:
     def __init__(self) -> None:
         self.values, self.up, self.down = _byte_values(), np.ones(1, np.uint64), np.ones(1, np.uint64)
 
-    def raw(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if len(self.up) < len(data) + 1:
-            n = 2 * len(data) + 1
+    def _powers_for(self, size: int) -> None:
+        if len(self.up) < size + 1:
+            n = 2 * size + 1
             self.up = _powers(self.BASE, n)
             self.down = _powers(pow(self.BASE, -1, 1 << 64), n)
+
+    def raw(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        self._powers_for(len(data))
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self.values[data] * self.up[: len(data)], out=sums[1:])
         return (sums[ends] - sums[starts]) * self.down[starts]
 
+    def of_values(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of ranges of any 64-bit values."""
+        self._powers_for(len(values))
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * self.up[: len(values)], out=sums[1:])
+        return mixed((sums[ends] - sums[starts]) * self.down[starts])
+
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Ranges must be sorted and apart; long texts go piece by piece."""
         if len(data) <= 2 * SLICE_BYTES or not len(starts):
