@@ -185,6 +185,22 @@ def rejected_events(spark, sf_dir):
     return gl.split_rejects(_damaged(spark, sf_dir))[1]
 
 
+def rejected_lines(spark, sf_dir):
+    """Errors have one field too many, sign-ups a text where the value stands."""
+    source, out, rejects = (scratch_path(spark, n) for n in ("damaged", "features", "rejects"))
+    kind = F.col("event_type")
+    value = F.when(kind == "signup", "oops").otherwise(F.col("event_id").cast("string"))
+    fields = [F.col(USER).cast("string"), F.col(TIME).cast("string"), kind, value, F.when(kind == "error", "extra")]
+    # Written as one column whose name is the header line.
+    line = F.concat_ws(",", *fields).alias("user_id,recorded_at,event_type,value")
+    plain = {"header": "true", "sep": "\u0001", "quote": "\u0000"}
+    _table(spark, sf_dir, "events").select(line).write.options(**plain).csv(source)
+    schema = "user_id bigint, recorded_at string, event_type string, value double"
+    gl.run_etl(spark, source, out, gap_minutes=GAP, schema=schema, rejects=rejects)
+    written_rejects = spark.read.parquet(rejects)
+    return written_rejects.groupBy("reject_reason").agg(F.count("*").alias("lines"), F.count("malformed_line").alias("kept"))
+
+
 def rounds_without_rejects(spark, sf_dir):
     good, _ = gl.split_rejects(_damaged(spark, sf_dir))
     features = gl.round_features(good, gap_minutes=GAP)
@@ -258,6 +274,64 @@ def demo_run(spark, sf_dir):
     return forecasts
 
 
+# A tree of depth 1 on a feature of 0 and 1 predicts the mean target of its group, which SQL can state.
+STUMP = {"max_iter": 1, "max_depth": 1, "min_rows": 1, "n_splits": 5, "parallelism": 5}
+
+
+def _stump_table(spark, sf_dir):
+    busy = (F.col("event_count") > 1).cast("int").alias("busy")
+    return _features(spark, sf_dir).select("*", busy)
+
+
+def _stump_excludes(table, *kept):
+    return [c for c in table.columns if c not in kept]
+
+
+def _stump(spark, sf_dir):
+    table, model = written(_stump_table(spark, sf_dir), "features"), scratch_path(spark, "model")
+    excluded = _stump_excludes(table, "busy")
+    return table, model, gl.train_baseline(table, "duration_seconds", model, excluded, USER, **STUMP)
+
+
+def train_cv_stump(spark, sf_dir):
+    scores = _stump(spark, sf_dir)[2]
+    rows = [(k, round(m, 6), round(scores["cv_mae_mean"], 6)) for k, m in enumerate(scores["cv_maes"])]
+    return spark.createDataFrame(rows, "fold int, mae double, cv_mae_mean double")
+
+
+def _flat(forecasts):
+    return forecasts.select(
+        "entity_id", "horizon", F.explode("predictions").alias("key", "values"), F.col("metadata")["model_id"].alias("model_id")
+    ).select("entity_id", "horizon", "key", F.round(F.col("values")[0], 6).alias("prediction"), "model_id")
+
+
+def forecast_stump(spark, sf_dir):
+    table, model, _ = _stump(spark, sf_dir)
+    return _flat(gl.forecast(table, model, horizon=3, user_col=USER))
+
+
+def demo_stump(spark, sf_dir):
+    """Run twice in one folder: the second run finds the features there and uses them."""
+    work = scratch_path(spark, "demo")
+    etl = {"user_col": USER, "ts_col": TIME, "gap_minutes": GAP, "fmt": "parquet", "labels": LABELS}
+    kept = [c for c in gl.schema.FEATURE_COLUMNS if c != "event_count"] + LABELS + [USER]
+    training = STUMP | {"features_exclude": kept, "max_depth": 1}
+    for source in (f"{sf_dir}/events.parquet", f"{sf_dir}/no-such-table.parquet"):
+        _, forecasts = gl.run_demo(spark, source, work, etl=etl, training=training)
+    return forecasts.select("entity_id", "horizon", F.size("predictions").alias("predictions"), F.col("metadata")["model_id"].alias("model_id"))
+
+
+def early_stop_stump(spark, sf_dir):
+    """The target is the feature: the first tree is exact, no later one is better, patience runs out."""
+    table, model = written(_stump_table(spark, sf_dir), "features"), scratch_path(spark, "model")
+    table = table.withColumn("target", F.col("busy").cast("double"))
+    training = STUMP | {"max_iter": 12, "patience": 2}
+    scores = gl.train_baseline(table, "target", model, _stump_excludes(table, "busy"), USER, **training)
+    trees = PipelineModel.load(model).stages[1].getNumTrees
+    rows = [(k, round(m, 6), b, trees) for k, (m, b) in enumerate(zip(scores["cv_maes"], scores["best_iterations"]))]
+    return spark.createDataFrame(rows, "fold int, mae double, best_iteration int, trees int")
+
+
 # --- streaming and monitoring ---------------------------------------------
 
 
@@ -266,7 +340,7 @@ def _streamed(spark, sf_dir):
     out = scratch_path(spark, "closed-rounds")
     query = gl.stream_rounds(
         spark,
-        sf_dir,
+        f"{sf_dir}/{{events.parquet}}",  # a glob, for a stream reads folders, and the table may be a file
         events.schema,
         out,
         scratch_path(spark, "stream-state"),
@@ -275,7 +349,6 @@ def _streamed(spark, sf_dir):
         GAP,
         delay_minutes=10,
         labels=LABELS,
-        options={"pathGlobFilter": "events.parquet"},
     )
     query.awaitTermination()
     rounds = spark.read.parquet(out)
@@ -283,6 +356,21 @@ def _streamed(spark, sf_dir):
     return rounds.withColumns({c: F.col(c).cast("timestamp_ntz") for c in times})
 
 
+def stream_late_events(spark, sf_dir):
+    """Two runs over one checkpoint; the second finds views older than the watermark, and drops them."""
+    events = _table(spark, sf_dir, "events").select("event_id", USER, TIME, "event_type")
+    source, out, state = (scratch_path(spark, n) for n in ("arriving", "closed-rounds", "stream-state"))
+    newest = events.agg(F.max(TIME)).first()[0]
+    views = F.col("event_type") == "view"
+    far = F.lit(newest).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")
+    mark = events.limit(1).select("event_id", F.lit(-1).cast(events.schema[USER].dataType).alias(USER), far.alias(TIME), F.lit("click").alias("event_type"))
+    for part in (events.where(~views).union(mark), events.where(views)):
+        part.write.mode("append").parquet(source)
+        query = gl.stream_rounds(spark, source, events.schema, out, state, USER, TIME, GAP, labels=LABELS)
+        query.awaitTermination()
+    return spark.read.parquet(out).select(USER, "event_count", *LABELS)
+
+
 def stream_closed_rounds(spark, sf_dir):
     return _streamed(spark, sf_dir)
 
@@ -349,6 +437,12 @@ _QUERIES = [
     forecast_batch,
     model_scores,
     demo_run,
+    train_cv_stump,
+    forecast_stump,
+    demo_stump,
+    early_stop_stump,
+    rejected_lines,
+    stream_late_events,
     stream_closed_rounds,
     stream_round_features,
     feature_drift,
@@ -441,9 +535,11 @@ def _drift_sql() -> str:
                        stddev_pop(value) FILTER (NOT cur) AS base_stddev,
                        stddev_pop(value) FILTER (cur) AS current_stddev
                 FROM ({values}) AS v) AS s,
-               (SELECT coalesce(sum((c - b) * ln(c / b)) FILTER (c > 0 AND b > 0), 0) AS stability_index
-                FROM (SELECT count(*) FILTER (NOT cur) / sum(count(*) FILTER (NOT cur)) OVER () AS b,
-                             count(*) FILTER (cur) / sum(count(*) FILTER (cur)) OVER () AS c
+               (SELECT sum((c - b) * ln(c / b)) AS stability_index
+                FROM (SELECT CASE WHEN sum(count(*) FILTER (NOT cur)) OVER () > 0 THEN
+                                  greatest(count(*) FILTER (NOT cur) / sum(count(*) FILTER (NOT cur)) OVER (), 1e-4) END AS b,
+                             CASE WHEN sum(count(*) FILTER (cur)) OVER () > 0 THEN
+                                  greatest(count(*) FILTER (cur) / sum(count(*) FILTER (cur)) OVER (), 1e-4) END AS c
                       FROM (SELECT cur, {bin_no} AS bin FROM ({values}) AS v) AS binned
                       GROUP BY bin) AS shares) AS b""")
     return f"WITH feats AS ({_features_sql()}) " + " UNION ALL ".join(parts)
@@ -466,6 +562,16 @@ def _closed_sql() -> str:
       WHERE round_end + INTERVAL {gap_and_delay} SECOND <= (SELECT max({TIME}) FROM events)"""
 
 
+def _stump_sql(target: str) -> str:
+    """Error per fold of the mean target of rounds with one event and of rounds with more."""
+    return f"""
+      SELECT fold, avg(abs(y - mean)) AS mae
+      FROM (SELECT *, {target} AS y, event_count > 1 AS busy FROM ({_folds_sql()}) AS f) AS tested
+      JOIN (SELECT fold, event_count > 1 AS busy, avg({target}) AS mean FROM ({_folds_sql()}) AS f
+            WHERE role = 'train' GROUP BY fold, busy) AS means USING (fold, busy)
+      WHERE role = 'test' GROUP BY fold"""
+
+
 def oracle_sql() -> dict[str, str]:
     statements = _engine_sql()
     if LLM:
@@ -542,6 +648,30 @@ def _engine_sql() -> dict[str, str]:
                            FROM folds WHERE role = 'train' GROUP BY fold)
             SELECT fold, round(avg(abs(duration_seconds - (slope * event_count + intercept))), 6) AS mae
             FROM folds JOIN lines USING (fold) WHERE role = 'test' GROUP BY fold""",
+        "train_cv_stump": f"""
+            WITH maes AS ({_stump_sql("duration_seconds")})
+            SELECT fold, round(mae, 6) AS mae, round(avg(mae) OVER (), 6) AS cv_mae_mean FROM maes""",
+        "forecast_stump": f"""
+            WITH folds AS ({_folds_sql()}),
+                 groups AS (SELECT event_count > 1 AS busy, avg(duration_seconds) AS mean FROM folds
+                            WHERE fold = 4 AND role = 'train' GROUP BY busy),
+                 latest AS (SELECT * FROM ({features}) AS f
+                            QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round_start DESC, round_id DESC) = 1)
+            SELECT CAST(user_id AS VARCHAR) AS entity_id, 3 AS horizon, '0.5' AS key, round(mean, 6) AS prediction,
+                   'baseline:spark' AS model_id
+            FROM latest JOIN groups ON busy = (event_count > 1)""",
+        "demo_stump": """
+            SELECT DISTINCT CAST(user_id AS VARCHAR) AS entity_id, 1 AS horizon, 1 AS predictions, 'baseline:spark' AS model_id
+            FROM events WHERE user_id IS NOT NULL""",
+        "early_stop_stump": f"""
+            WITH maes AS ({_stump_sql("CASE WHEN event_count > 1 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END")})
+            SELECT fold, round(mae, 6) AS mae, 1 AS best_iteration, 1 AS trees FROM maes""",
+        "rejected_lines": """
+            SELECT 'malformed line' AS reject_reason, count(*) AS lines, count(*) AS kept
+            FROM events WHERE event_type IN ('error', 'signup')""",
+        "stream_late_events": f"""
+            SELECT user_id, event_count, {labels}
+            FROM ({_features_sql("(SELECT * FROM events WHERE event_type <> 'view')")}) AS f""",
         "stream_closed_rounds": _closed_sql(),
         "stream_round_features": f"""
             SELECT * FROM ({features}) AS f

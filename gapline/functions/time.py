@@ -23,13 +23,14 @@ def gap_micros(gap_minutes: float) -> int:
     return round(gap_minutes * 60 * 1000 * MICROS) // 1000
 
 
-def parse_time(df: DataFrame, ts_col: str, strict: bool = True) -> DataFrame:
+def parse_time(df: DataFrame, ts_col: str, strict: bool = True, time_format: str | None = None) -> DataFrame:
     """Make ``ts_col`` a timestamp.
 
     Strings are read as ISO timestamps, with an offset (normalised to the
     instant) or without (taken in the session time zone). Integers are
     nanoseconds since the epoch. Blank strings are null. A string that is no
-    timestamp raises; with ``strict=False`` it becomes null.
+    timestamp raises; with ``strict=False`` it becomes null. ``time_format`` is a
+    pattern of Spark's (``MM/dd/yyyy HH:mm``) for strings that are not ISO; none is guessed.
     """
     dtype = df.schema[ts_col].dataType
     raw = col(ts_col)
@@ -44,7 +45,7 @@ def parse_time(df: DataFrame, ts_col: str, strict: bool = True) -> DataFrame:
     if not isinstance(dtype, T.StringType):
         raise TypeError(f"{ts_col} has type {dtype.simpleString()}, not a timestamp or string")
     text = F.nullif(F.trim(raw), F.lit(""))
-    parsed = F.try_to_timestamp(text)
+    parsed = F.try_to_timestamp(text, F.lit(time_format)) if time_format else F.try_to_timestamp(text)
     if strict:
         bad = F.raise_error(F.concat(F.lit(f"{ts_col} is not a timestamp: "), text))
         parsed = F.when(parsed.isNull() & text.isNotNull(), bad.cast("timestamp")).otherwise(parsed)

@@ -61,7 +61,7 @@ def compute_round_features(
     ts_col: str = TIME,
     labels: list[str] | None = None,
     prefix: str = "",
-    gap_minutes: float = DEFAULT_GAP_MINUTES,
+    gap_minutes: float | None = None,
 ) -> DataFrame:
     """Feature rows from a sessionized event log.
 
@@ -73,7 +73,7 @@ def compute_round_features(
 
     ``gap_minutes`` does not change the result. It says how close rounds of one
     user can lie, and so how many there can be: from a minute up they are few
-    enough to be ordered per user directly, below they are ordered per hour first.
+    enough to be ordered per user directly, below and for ``None`` they are ordered per hour first.
 
     Rounds without any time have no place in time: their ``prev_round_end`` is
     null and their gap -1. To go from raw events to features use
@@ -88,7 +88,8 @@ def compute_round_features(
         F.count(ts).alias("event_count"),
         *label_counts(sessionized, labels, prefix=prefix),
     )
-    rounds = _with_prev_end(rounds, user_col, round_id_col, gap_micros(gap_minutes))
+    gap = 0 if gap_minutes is None else gap_micros(gap_minutes)
+    rounds = _with_prev_end(rounds, user_col, round_id_col, gap)
     return _finish(rounds, user_col, round_id_col, [prefix + v for v in labels])
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,21 @@ _OFFSETS = T.StructType(
 )
 
 
+class RankParts(NamedTuple):
+    """First rank of every part of a ranked table, in order, and the number of rows."""
+
+    parts: list[tuple[int, int]]
+    rows: int
+
+    def holding(self, low: int, high: int) -> Column:
+        """Whether ``rank_part`` can hold ranks of ``[low, high)``: a range that scans can skip files by."""
+        ends = [first for _, first in self.parts[1:]] + [self.rows]
+        held = [part for (part, first), end in zip(self.parts, ends) if first < high and end > low]
+        if not held:
+            return F.lit(False)
+        return F.col("rank_part").between(min(held), max(held))
+
+
 def with_global_rank(
     df: DataFrame, order_by: list[str | Column], rank_col: str = "rn"
 ) -> tuple[DataFrame, int]:
@@ -30,6 +47,14 @@ def with_global_rank(
     position; the row counts per partition (one small row each) then give the
     offset of each partition.
     """
+    ranked, parts = with_rank_parts(df, order_by, rank_col)
+    return ranked.drop("rank_part"), parts.rows
+
+
+def with_rank_parts(
+    df: DataFrame, order_by: list[str | Column], rank_col: str = "rn"
+) -> tuple[DataFrame, RankParts]:
+    """As :func:`with_global_rank`, with the column ``rank_part`` kept and its ranges given."""
     reject_names([rank_col, "rank_part", "rank_pos", "rank_offset"], df.columns, "columns")
     require_columns(df, *[c for c in order_by if isinstance(c, str)])
     keys = [(col(c) if isinstance(c, str) else c) for c in order_by]
@@ -54,6 +79,6 @@ def with_global_rank(
     ranked = (
         placed.join(F.broadcast(offset_table), "rank_part")
         .withColumn(rank_col, F.col("rank_pos") + F.col("rank_offset"))
-        .select(*df.columns, rank_col)
+        .select(*df.columns, "rank_part", rank_col)
     )
-    return ranked, total
+    return ranked, RankParts(offsets, total)

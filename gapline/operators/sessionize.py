@@ -17,6 +17,7 @@ from gapline.schema import (
     col,
     reject_names,
     require_columns,
+    unused,
 )
 
 
@@ -99,12 +100,12 @@ def _attach(events: DataFrame, cells: DataFrame, spec: CellSpec) -> DataFrame:
     """Join events to their cell's round.
 
     The cell side has one row per key, so a hot cell is heavy on the event side
-    only, and adaptive execution splits it over tasks; a small cell side is
-    broadcast once its size has been measured.
+    only, and adaptive execution splits it over tasks.
     """
-    rounds = cells.withColumnsRenamed({"user": "_user", "cell": "_cell"})
-    keyed = events.withColumn("_event_cell", spec.cell(events))
-    on = (col(spec.user_col) == F.col("_user")) & (F.col("_event_cell") == F.col("_cell"))
+    user, cell, own = (unused(c, events, cells) for c in ("_user", "_cell", "_event_cell"))
+    rounds = cells.withColumnsRenamed({"user": user, "cell": cell})
+    keyed = events.withColumn(own, spec.cell(events))
+    on = (col(spec.user_col) == F.col(user)) & (F.col(own) == F.col(cell))
     return keyed.join(rounds, on).select(*_result(events, spec, F.col("round_index")))
 
 
@@ -125,17 +126,18 @@ def _untimed(events: DataFrame, cells: DataFrame, spec: CellSpec) -> DataFrame:
     user = col(spec.user_col)
     label = [F.col(LABEL)] if LABEL in events.columns else []
     loose = events.where(col(spec.ts_col).isNull() & user.isNotNull())
-    ranked, _ = with_global_rank(loose, [user, *label, F.rand(seed=7)], "_rank")
-    first = ranked.groupBy(user.alias("_user")).agg(F.min("_rank").alias("_first"))
+    rank, first_rank, owner = (unused(c, events, cells) for c in ("_rank", "_first", "_user"))
+    ranked, _ = with_global_rank(loose, [user, *label, F.rand(seed=7)], rank)
+    first = ranked.groupBy(user.alias(owner)).agg(F.min(rank).alias(first_rank))
     last = (
         cells.where(F.col("cell").isNull())
         .drop("cell")
-        .withColumnRenamed("user", "_user")
-        .join(first, "_user")
+        .withColumnRenamed("user", owner)
+        .join(first, owner)
     )
-    extra = F.col("_rank") - F.col("_first")
+    extra = F.col(rank) - F.col(first_rank)
     joins = extra == 0
-    return ranked.join(last, user == F.col("_user")).select(
+    return ranked.join(last, user == F.col(owner)).select(
         *_result(
             events,
             spec,

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gapline.functions.time import parse_time
 from gapline.operators.features import round_features
 from gapline.schema import DEFAULT_GAP_MINUTES, TIME, USER, col, require_columns
 from gapline.sources.recordings import read_features, read_recordings, write_features
-from gapline.sources.rejects import split_rejects
+from gapline.sources.rejects import split_lines, split_rejects
+from gapline.sources.scratch import cleared, exists
 
 
 def run_etl(
@@ -26,37 +27,45 @@ def run_etl(
     labels: list[str] | None = None,
     missing_times: bool | None = None,
     mode: str = "overwrite",
+    time_format: str | None = None,
 ) -> DataFrame:
     """Read recordings, compute round features, write them and read them back.
 
     A null user or a malformed time fails the run, unless ``rejects`` names a
     path to write such rows to. ``mode='ignore'`` skips the run if ``out``
-    exists. A CSV source is parsed once, if its ``schema`` is given.
+    exists. A CSV source is parsed once, if its ``schema`` is given, and once more for
+    ``rejects``, where lines that do not fit the schema go as well. ``time_format`` reads
+    times that are not ISO (see :func:`gapline.parse_time`). Tables written on the way are deleted.
     """
     if mode == "ignore":
-        try:
+        if exists(spark, out):
             return read_features(spark, out)
-        except AnalysisException:
-            pass  # not there yet
-    events = read_recordings(spark, source, schema, fmt)
+    events = read_recordings(spark, source, schema, fmt, malformed="keep" if rejects else "fail")
     require_columns(events, user_col, ts_col)
     if rejects:
-        events, bad = split_rejects(events, user_col, ts_col)
+        events, lines = split_lines(events)
+        events, bad = split_rejects(events, user_col, ts_col, time_format)
+        if lines is not None:
+            # What could be read of a line joins the raw columns, whose time is still as it was written.
+            kinds = {f.name: f.dataType for f in bad.schema.fields if f.name in lines.columns}
+            lines = lines.withColumns({c: col(c).cast(t) for c, t in kinds.items()})
+            bad = bad.unionByName(lines, allowMissingColumns=True)
         bad.write.mode(mode).parquet(rejects)
     else:
         user = col(user_col)
         failed = F.raise_error(F.lit(f"{user_col} is null; give a rejects path to set such rows aside"))
         checked = F.coalesce(user, failed.cast(events.schema[user_col].dataType))
-        events = events.withColumn(user_col, checked)
+        events = parse_time(events.withColumn(user_col, checked), ts_col, time_format=time_format)
     unknown = labels is None or missing_times is None
-    features = round_features(
-        events,
-        user_col,
-        ts_col,
-        gap_minutes,
-        labels=labels,
-        missing_times=missing_times,
-        single_scan=unknown and fmt == "csv",
-    )
-    write_features(features, out, mode=mode)
+    with cleared(spark):
+        features = round_features(
+            events,
+            user_col,
+            ts_col,
+            gap_minutes,
+            labels=labels,
+            missing_times=missing_times,
+            single_scan=unknown and fmt == "csv",
+        )
+        write_features(features, out, mode=mode)
     return read_features(spark, out)

@@ -14,6 +14,8 @@ from gapline.schema import col, require_columns
 
 DRIFT_THRESHOLD = 0.2
 ERROR_THRESHOLD = 1.2
+# A bin that one period lacks counts as this share, so that total drift is large, not endless.
+LEAST_SHARE = 1e-4
 
 
 def feature_drift(
@@ -27,8 +29,8 @@ def feature_drift(
     Per feature in ``edges``: mean and population standard deviation of both
     periods; ``mean_shift = (current_mean - base_mean) / base_stddev``, null if
     that deviation is 0; and ``stability_index``, the sum over bins of
-    ``(c - b) * ln(c / b)`` with ``b`` and ``c`` the bin's share of each period,
-    over bins that occur in both. ``edges`` are ascending inner bin limits; a
+    ``(c - b) * ln(c / b)`` with ``b`` and ``c`` the bin's share of each period, at least
+    ``LEAST_SHARE``, over bins that occur in either. It is null if a period is empty. ``edges`` are ascending inner bin limits; a
     value equal to a limit falls above it. Null values are left out.
 
     One scan: rows turn into (feature, bin) partial sums on the mapper, and only
@@ -74,8 +76,8 @@ def feature_drift(
         total = F.max(F.when(whole, F.col(rows))).over(of_feature)
         return F.try_divide(F.col(rows), total)  # a period may be empty
 
-    b, c = F.col("base_share"), F.col("current_share")
-    both = ~whole & (F.col("base_rows") > 0) & (F.col("current_rows") > 0)
+    # Null if the period is empty: greatest() would skip that.
+    b, c = (F.when(F.col(x) < LEAST_SHARE, LEAST_SHARE).otherwise(F.col(x)) for x in ("base_share", "current_share"))
     kept = [
         "base_rows", "current_rows", "base_mean", "current_mean", "base_stddev", "current_stddev",
     ]
@@ -85,9 +87,7 @@ def feature_drift(
         .groupBy("feature")
         .agg(
             *[F.max(F.when(whole, F.col(k))).alias(k) for k in kept],
-            F.coalesce(F.sum(F.when(both, (c - b) * F.ln(c / b))), F.lit(0.0)).alias(
-                "stability_index"
-            ),
+            F.sum(F.when(~whole & b.isNotNull() & c.isNotNull(), (c - b) * F.ln(c / b))).alias("stability_index"),
         )
         .withColumn(
             "mean_shift",
@@ -137,11 +137,12 @@ def retrain_decision(
     """One row: ``should_retrain`` and the sorted ``reasons``.
 
     A reason is a feature whose stability index is above ``drift_threshold``
-    (``drift: <feature>``), or an error ratio of the latest period above
+    (``drift: <feature>``) or null, as one period has no value (``no data: <feature>``), or an error ratio of the latest period above
     ``error_threshold`` (``error``). It decides only; it starts nothing.
     """
-    drifted = drift.where(F.col("stability_index") > drift_threshold).select(
-        F.concat(F.lit("drift: "), F.col("feature")).alias("reason")
+    index = F.col("stability_index")
+    drifted = drift.where(index.isNull() | (index > drift_threshold)).select(
+        F.concat(F.when(index.isNull(), F.lit("no data: ")).otherwise(F.lit("drift: ")), F.col("feature")).alias("reason")
     )
     worse = (
         degradation.agg(F.max_by("mae_ratio", "period").alias("ratio"))

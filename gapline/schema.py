@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,9 +47,28 @@ def require_columns(df: DataFrame, *names: str) -> None:
 
 
 def reject_names(names: Iterable[str], taken: Iterable[str], what: str) -> None:
-    clash = sorted(set(names) & set(taken))
+    """Raise if a name is taken, or two names are one, by the session's rule on upper and lower case."""
+    spark = SparkSession.getActiveSession()
+    strict = spark is not None and spark.conf.get("spark.sql.caseSensitive") == "true"
+
+    def key(name: str) -> str:
+        return name if strict else name.lower()
+
+    names, used = list(names), {key(t) for t in taken}
+    clash = sorted(n for n in names if key(n) in used)
     if clash:
         raise ValueError(f"{what} {clash} would collide with columns of the result")
+    alike = sorted(n for n in set(names) if sum(key(m) == key(n) for m in set(names)) > 1)
+    if alike:
+        raise ValueError(f"{what} {alike} differ in upper and lower case only, and would be one column")
+
+
+def unused(wish: str, *tables: DataFrame) -> str:
+    """``wish``, made longer until no column of the tables is called so."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

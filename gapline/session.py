@@ -31,17 +31,21 @@ def make_session(
     master: str | None = None,
     shuffle_partitions: int | None = None,
     conf: dict[str, str] | None = None,
+    scratch: str | None = None,
 ) -> SparkSession:
     """Build a session.
 
     ``shuffle_partitions`` is the count before adaptive coalescing: leave it to
     the cluster's setting, or give about 2-3 times the total number of cores,
-    more if the shuffled data exceeds ~200 MB per partition.
+    more if the shuffled data exceeds ~200 MB per partition. ``scratch`` is the folder
+    for intermediate tables and checkpoints, in storage that all executors share.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     given = dict(conf or {})
+    if scratch:
+        given.setdefault("spark.checkpoint.dir", scratch)
     if shuffle_partitions:
         given.setdefault("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in ({_DEBUGGING: "false"} | given).items():

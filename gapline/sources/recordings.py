@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gapline.schema import col
+
+# A header that differs from the schema and a line that does not fit it are errors. A scan of
+# some columns only would not see such lines, so all are parsed.
+CSV_OPTIONS = {"header": "true", "enforceSchema": "false", "mode": "FAILFAST", "columnPruning": "false"}
+MALFORMED = "malformed_line"
 # Spellings that mean "missing" in recordings files.
 MISSING_SPELLINGS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -19,6 +24,7 @@ def read_recordings(
     source: str | list[str],
     schema: T.StructType | str | None = None,
     fmt: str = "csv",
+    malformed: str = "fail",
 ) -> DataFrame:
     """Scan recordings from CSV files with a header, or from Parquet.
 
@@ -26,19 +32,32 @@ def read_recordings(
     files one more time; at scale give one (``gapline.schema.RECORDINGS_SCHEMA``).
     Keep the time column a string there, so that malformed times are seen rather
     than read as null.
+
+    A CSV line with too many or too few fields, or a field that is not of its column's type, fails
+    the scan; with ``malformed="keep"`` it has the line in a column ``malformed_line``, null elsewhere
+    (see :func:`gapline.sources.rejects.split_lines`). That takes a ``schema``.
     """
     if fmt == "parquet":
         reader = spark.read.schema(schema) if schema else spark.read
         return reader.parquet(*([source] if isinstance(source, str) else source))
     if fmt != "csv":
         raise ValueError(f"unknown recordings format {fmt!r}")
-    reader = spark.read.option("header", True).option("enforceSchema", False)
+    reader = spark.read.options(**CSV_OPTIONS)
+    if malformed == "keep":
+        if schema is None:
+            raise ValueError("malformed lines can be kept with a schema only")
+        fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        schema = T.StructType([*fields.fields, T.StructField(MALFORMED, T.StringType())])
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", MALFORMED)
+    elif malformed != "fail":
+        raise ValueError(f"malformed is {malformed!r}, neither 'fail' nor 'keep'")
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    return _blank_to_null(reader.csv(source))
+    return blank_to_null(reader.csv(source))
 
 
-def _blank_to_null(df: DataFrame) -> DataFrame:
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+def blank_to_null(df: DataFrame) -> DataFrame:
+    """Texts that are spellings of "missing" as null."""
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != MALFORMED]
     cleaned = {
         c: F.when(~col(c).isin(MISSING_SPELLINGS), col(c)) for c in texts
     }

@@ -7,12 +7,26 @@ from pyspark.sql import functions as F
 
 from gapline.functions.time import parse_time
 from gapline.schema import TIME, USER, col, reject_names, require_columns
+from gapline.sources.recordings import MALFORMED
 
 REASON = "reject_reason"
 
 
+def split_lines(df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Split recordings read with ``malformed="keep"`` into rows and lines that do not fit.
+
+    The second table has these with what could be read of them, the line as it was in
+    ``malformed_line``, and the reason ``malformed line``; it is None for recordings that were read another way.
+    """
+    if MALFORMED not in df.columns:
+        return df, None
+    bad = F.col(MALFORMED).isNotNull()
+    lines = df.where(bad).withColumn(REASON, F.lit("malformed line"))
+    return df.where(~bad).drop(MALFORMED), lines
+
+
 def split_rejects(
-    df: DataFrame, user_col: str = USER, ts_col: str = TIME
+    df: DataFrame, user_col: str = USER, ts_col: str = TIME, time_format: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Split into events with a user and a readable time, and the rest.
 
@@ -22,7 +36,7 @@ def split_rejects(
     require_columns(df, user_col, ts_col)
     reject_names([REASON, "_raw_time"], df.columns, "input columns")
     raw, user = F.col("_raw_time"), col(user_col)
-    parsed = parse_time(df.withColumn("_raw_time", col(ts_col)), ts_col, strict=False)
+    parsed = parse_time(df.withColumn("_raw_time", col(ts_col)), ts_col, strict=False, time_format=time_format)
     blank = F.trim(raw.cast("string")) == ""
     malformed = col(ts_col).isNull() & raw.isNotNull() & ~blank
     reason = F.when(user.isNull(), "null user").when(malformed, "malformed time")

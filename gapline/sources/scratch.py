@@ -4,24 +4,33 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder.
 
-    Only where none is set, as in tests on one machine, is a temporary folder
-    made, and it is then set for the rest of the session.
+    Where none is set, a session on one machine (master ``local[...]``) gets a temporary
+    folder; on a cluster that is an error, for executors would not see it.
     """
-    folder = spark.conf.get(_CONF, None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    folder = spark.conf.get(_CONF, None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="gapline-")
-        spark.conf.set(_CONF, folder)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError(
+                f"no folder for intermediate tables: set {_CONF}, give make_session(scratch=...), "
+                "or call SparkContext.setCheckpointDir, with a folder that all executors share"
+            )
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return folder
 
 
@@ -33,8 +42,36 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    The result has no lineage: losing an executor cannot change or recompute it.
+    The result has no lineage: losing an executor cannot change or recompute it. The table stays
+    until the folder is cleared, as lazy results need it, unless it is made within ``cleared``.
     """
     path = scratch_path(df.sparkSession, name)
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables written within, once nothing reads them any more."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for path in made:
+            _at(spark, path)[0].delete(_at(spark, path)[1], True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at ``path``, in whatever file system it names."""
+    system, where = _at(spark, path)
+    return system.exists(where)
+
+
+def _at(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where

@@ -19,6 +19,7 @@ from gapline.schema import (
     reject_names,
     require_columns,
 )
+from gapline.sources.recordings import CSV_OPTIONS, blank_to_null
 
 POLL_INTERVAL = "60 seconds"
 # Merges the events of a round on the mapper, before the shuffle by user.
@@ -36,8 +37,7 @@ def closed_rounds(
     """Streaming aggregate: one row per round that can no longer grow.
 
     Columns: user, ``round_start, round_end, event_count`` and one count per
-    label. Times without a zone are taken as UTC instants, which needs a UTC
-    session. Rows without a user or a readable time are counted in the query
+    label. Times without a zone are taken as UTC instants, whatever the session's zone. Rows without a user or a readable time are counted in the query
     progress (observed metric ``rejects``) and left out.
     """
     require_columns(events, user_col, ts_col)
@@ -47,7 +47,10 @@ def closed_rounds(
     labels = list(labels or [])
     reject_names(labels, [user_col, *FEATURE_COLUMNS], "labels")
     user, ts = col(user_col), col(ts_col)
-    timed = parse_time(events, ts_col, strict=False).withColumn(ts_col, ts.cast("timestamp"))
+    timed = parse_time(events, ts_col, strict=False)
+    # A cast would take times without a zone in the session's zone, and bend them at clock changes.
+    instant = F.timestamp_micros(epoch_micros(timed, ts_col))
+    timed = timed.withColumn(ts_col, instant)
     usable = timed.observe(
         "rejects",
         F.count_if(user.isNull()).alias("null_user"),
@@ -83,7 +86,8 @@ def stream_rounds(
 ) -> StreamingQuery:
     """Start a query that appends closed rounds to Parquet at ``out``.
 
-    Files that appear under ``source`` are taken up once. A round is closed when
+    Files that appear under ``source`` are taken up once; CSV files follow the rules of
+    :func:`gapline.read_recordings`, and a line or header that does not fit fails the query. A round is closed when
     the watermark (latest time seen less ``delay_minutes``) has passed its last
     event by the gap; rounds still open stay in the state. Events later than
     that are dropped: the batch job over the whole log remains the truth.
@@ -93,8 +97,10 @@ def stream_rounds(
     give ``maxFilesPerTrigger`` to take a long backlog in bounded steps. ``out``
     and ``checkpoint`` must be in storage that all executors share.
     """
-    given = ({"header": "true"} if fmt == "csv" else {}) | (options or {})
+    given = (CSV_OPTIONS if fmt == "csv" else {}) | (options or {})
     events = spark.readStream.schema(schema).options(**given).format(fmt).load(source)
+    if fmt == "csv":
+        events = blank_to_null(events)
     rounds = closed_rounds(events, user_col, ts_col, gap_minutes, delay_minutes, labels)
     writer = (
         rounds.writeStream.outputMode("append")
@@ -138,6 +144,3 @@ def index_closed_rounds(
     )
     counts = {v: F.col(f"closed_{i}") for i, v in enumerate(labels)}
     return features_from_cells(cells, spec, counts)
-
-
-__all__ = ["POLL_INTERVAL", "closed_rounds", "index_closed_rounds", "stream_rounds"]

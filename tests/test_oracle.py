@@ -1,3 +1,5 @@
+import re
+
 import __spark_entry__ as entry
 import oracle
 import pytest
@@ -13,12 +15,17 @@ def con():
     return oracle.connect(SF_DIR)
 
 
+def of_the_engine(names):
+    """Without the queries of a subpackage that may be left out, which has tests of its own."""
+    return {n for n in names if not re.match(r"op\d+_|pipeline$", n)}
+
+
 def test_every_query_has_sql_or_a_reason():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == WITHOUT_SQL
+    assert of_the_engine(entry.queries()) - set(entry.oracle_sql()) == WITHOUT_SQL
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(of_the_engine(entry.oracle_sql())))
 def test_query_matches_sql(spark, con, name):
     df = entry.queries()[name](spark, SF_DIR)
     assert oracle.compare(df, con, entry.oracle_sql()[name]) is None
