@@ -8,9 +8,8 @@ from pyspark.sql import types as T
 
 from gapline.schema import col
 
-# A header that differs from the schema and a line that does not fit it are errors. A scan of
-# some columns only would not see such lines, so all are parsed.
-CSV_OPTIONS = {"header": "true", "enforceSchema": "false", "mode": "FAILFAST", "columnPruning": "false"}
+# A header that differs from the schema and a line that does not fit it are errors.
+CSV_OPTIONS = {"header": "true", "enforceSchema": "false", "mode": "FAILFAST"}
 MALFORMED = "malformed_line"
 # Spellings that mean "missing" in recordings files.
 MISSING_SPELLINGS = [
@@ -52,7 +51,12 @@ def read_recordings(
     elif malformed != "fail":
         raise ValueError(f"malformed is {malformed!r}, neither 'fail' nor 'keep'")
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    return blank_to_null(reader.csv(source))
+    return blank_to_null(whole_lines(reader.csv(source)))
+
+
+def whole_lines(df: DataFrame) -> DataFrame:
+    """The rows, with all columns read: a scan of some would not see damage in the others."""
+    return df.where(F.size(F.array(*[col(c).isNull() for c in df.columns])) > 0)
 
 
 def blank_to_null(df: DataFrame) -> DataFrame:

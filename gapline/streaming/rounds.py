@@ -19,7 +19,7 @@ from gapline.schema import (
     reject_names,
     require_columns,
 )
-from gapline.sources.recordings import CSV_OPTIONS, blank_to_null
+from gapline.sources.recordings import CSV_OPTIONS, blank_to_null, whole_lines
 
 POLL_INTERVAL = "60 seconds"
 # Merges the events of a round on the mapper, before the shuffle by user.
@@ -100,7 +100,7 @@ def stream_rounds(
     given = (CSV_OPTIONS if fmt == "csv" else {}) | (options or {})
     events = spark.readStream.schema(schema).options(**given).format(fmt).load(source)
     if fmt == "csv":
-        events = blank_to_null(events)
+        events = blank_to_null(whole_lines(events))
     rounds = closed_rounds(events, user_col, ts_col, gap_minutes, delay_minutes, labels)
     writer = (
         rounds.writeStream.outputMode("append")
