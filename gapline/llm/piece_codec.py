@@ -172,7 +172,7 @@ class Vocabulary:
 
     def decoded(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
         """Texts of ids that stand end to end, so many per text."""
-        data, sizes = _gathered(self.spelled_bytes, self.spelled_starts, ids)
+        data, sizes = tx.gathered(self.spelled_bytes, self.spelled_starts, ids)
         ends = np.cumsum(np.concatenate(([0], sizes)))[np.cumsum(counts)]
         offsets = np.concatenate(([0], ends))
         spaces = offsets[:-1][counts > 0]  # the one put in front of each text
@@ -184,13 +184,6 @@ class Vocabulary:
         )
 
 
-def _gathered(store: np.ndarray, starts: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of a store, by their numbers, end to end; and their lengths."""
-    sizes = starts[numbers + 1] - starts[numbers]
-    shift = starts[numbers] - (np.cumsum(sizes) - sizes)
-    return store[np.arange(sizes.sum()) + np.repeat(shift, sizes)], sizes
-
-
 def _shift(window: np.ndarray) -> tuple[int, np.ndarray] | None:
     """If all states' scores differ by a constant: a state to stand for all, and the constants."""
     alive = (window > NEVER).any(0)
@@ -254,7 +247,7 @@ class Encoder:
             sizes = np.array([len(x) for x in new], np.int64)
             self.ids = np.concatenate((self.ids, np.array([n for x in new for n in x], np.int32)))
             self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes)))
-        ids, sizes = _gathered(self.ids, self.starts, numbers[at])
+        ids, sizes = tx.gathered(self.ids, self.starts, numbers[at])
         return ids, np.bincount(texts_of, weights=sizes, minlength=len(texts)).astype(np.int64)
 
 

@@ -183,6 +183,13 @@ def words_of(texts: pa.Array, is_word: np.ndarray, hasher: Hasher, lower: bool =
     return Words(hashes, starts, stops, rows, counts, data, offsets)
 
 
+def gathered(store: np.ndarray, starts: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of a store, by their numbers, end to end; and their lengths."""
+    sizes = starts[numbers + 1] - starts[numbers]
+    shift = starts[numbers] - (np.cumsum(sizes) - sizes)
+    return store[np.arange(sizes.sum()) + np.repeat(shift, sizes)], sizes
+
+
 def summed(per_byte: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of a per-byte quantity between neighbouring offsets."""
     sums = np.zeros(len(per_byte) + 1, np.int64)

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gapline.llm import text as tx
+
 LEVELS = 4
 RANK_BITS = 512
 #: Ids of a segment; a longer document has a segment of its own.
@@ -117,8 +119,8 @@ def write_segments(
 
         size = 0
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                few = batch.slice(at, 64)
+            for at, after in tx.slices(batch.column(1)):
+                few = batch.slice(at, after - at)
                 for name, ids in zip(few.column(0).to_pylist(), encode(few.column(1).to_pylist()), strict=True):
                     if held and size + len(ids) > segment_ids:
                         yield segment()

@@ -1,9 +1,9 @@
-"""Encoding with a lower-casing word BPE of the tokenizers library, word by word.
+"""Encoding with a lower-casing word BPE of the tokenizers library, piece by piece.
 
 The vocabulary's own pre-tokenizer cuts a text into pieces that are encoded independently,
-so pieces that were seen before need not be encoded again. Texts of Latin letters are cut
-here; all others, and texts that spell a special token, go to the library whole. Both ways
-give the library's ids.
+so a piece that was seen before need not be encoded again. Texts of Latin letters are cut
+here, many at once by numpy, and pieces are known by 64-bit hashes; all other texts, and
+texts that spell a special token, go to the library whole. Both ways give the library's ids.
 """
 
 from __future__ import annotations
@@ -16,59 +16,108 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
+from gapline.llm import text as tx
+
 #: Code points up to here are their own NFC form and are lower-cased alike everywhere.
 LAST = 0x24F
 #: Pieces that a task remembers before it starts over.
 REMEMBERED = 400_000
-
-
-def _pattern() -> re.Pattern[str]:
-    kinds = {"L": "", "N": ""}
-    for c in map(chr, range(LAST + 1)):
-        kind = unicodedata.category(c)[0]
-        if kind in kinds:
-            kinds[kind] += re.escape(c)
-    letters, numbers, space = kinds["L"], kinds["N"], r"\t-\r \x85\xa0"
-    # The vocabulary's pre-tokenizer.
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+")
-
-
-class Pieces(dict):
-    """Numbers of pieces, in the order they were first asked for; their ids, end to end."""
+SPACE, LETTER, NUMBER, OTHER = range(4)
+# What the vocabulary's pre-tokenizer takes off after an apostrophe.
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+
+
+def _kinds() -> np.ndarray:
+    """Kind of each code point that lower-cased Latin text can hold."""
+    kinds = np.full(0x370, OTHER, np.int8)
+    for c in range(LAST + 1):
+        kinds[c] = {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(c))[0], OTHER)
+    kinds[[0x20, *range(0x09, 0x0E), 0x85, 0xA0]] = SPACE
+    return kinds
+
+
+class Cutter:
+    """Cuts lower-cased texts as the vocabulary does.
+
+    Pieces are runs of letters, single numbers, and runs of other characters; an apostrophe
+    that is a run of its own takes one of ``ENDINGS`` from the letters behind it.
+    """
+
+    def __init__(self) -> None:
+        self.kinds = _kinds()
+
+    def __call__(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the pieces of code points that begin and end with a space."""
+        kind = self.kinds[codes]
+        new = np.ones(len(codes), bool)
+        new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(codes))
+        starts, ends = starts[kind[starts] != SPACE], ends[kind[starts] != SPACE]
+        alone = (codes[starts] == ord("'")) & (ends - starts == 1)
+        followed = np.flatnonzero(alone[:-1] & (starts[1:] == ends[:-1]) & (kind[starts[1:]] == LETTER))
+        if not len(followed):
+            return starts, ends
+        taken = np.zeros(len(followed), np.int64)
+        first = starts[followed + 1]
+        room = ends[followed + 1] - first
+        for ending in ENDINGS:  # no ending begins with another
+            fits = room >= len(ending)
+            for k, c in enumerate(ending):
+                fits &= codes[np.minimum(first + k, len(codes) - 1)] == ord(c)
+            taken[fits] = len(ending)
+        starts, ends = starts.copy(), ends.copy()
+        ends[followed] += taken
+        starts[followed + 1] += taken
+        kept = ends > starts
+        return starts[kept], ends[kept]
+
+
+class Pieces:
+    """Ids of the pieces of many texts, each piece encoded by the library just once."""
 
     def __init__(self, library, ends: np.ndarray) -> None:
-        super().__init__()
         self.library, self.ends = library, ends
+        self.cut, self.hasher = Cutter(), tx.Hasher()
         self.forget()
 
     def forget(self) -> None:
-        self.clear()
-        self.new: list[str] = []
+        self.known: dict[int, int] = {}
         self.ids, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-    def __missing__(self, piece: str) -> int:
-        self.new.append(piece)
-        self[piece] = number = len(self)
-        return number
-
-    def learn(self) -> None:
-        """Encode the new pieces, many at a time: a piece's last id is one that ends a word."""
-        lines = [" ".join(self.new[k : k + 500]) for k in range(0, len(self.new), 500)]
-        found = [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(lines, add_special_tokens=False)]
-        if found:
-            ids = np.concatenate(found)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(self.new):
-                raise ValueError("a piece was not encoded as one word")
-            self.starts = np.concatenate((self.starts, self.starts[-1] + ends))
-            self.ids = np.concatenate((self.ids, ids))
-            self.new = []
-
-    def expanded(self, numbers: np.ndarray) -> np.ndarray:
-        """Ids of the pieces, one after the other."""
-        sizes = self.starts[numbers + 1] - self.starts[numbers]
-        shift = self.starts[numbers] - (np.cumsum(sizes) - sizes)
-        return self.ids[np.arange(sizes.sum()) + np.repeat(shift, sizes)]
+    def _learn(self, new: list[str]) -> None:
+        """Encode new pieces, many at a time: a piece's last id is one that ends a word."""
+        lines = [" ".join(new[k : k + 500]) for k in range(0, len(new), 500)]
+        ids = np.concatenate([np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(lines, add_special_tokens=False)])
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(new):
+            raise ValueError("a piece was not encoded as one word")
+        self.starts = np.concatenate((self.starts, self.starts[-1] + ends))
+        self.ids = np.concatenate((self.ids, ids))
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        lowered = [t.lower() for t in texts]
+        joined = "\n".join(["", *lowered, ""])
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        starts, ends = self.cut(codes)
+        begins = np.cumsum([1, *(len(t) + 1 for t in lowered)])[:-1]
+        owner = np.searchsorted(begins, starts, side="right") - 1
+        hashes = self.hasher.of_values(tx.mixed(codes.astype(np.uint64) + np.uint64(1)), starts, ends)
+        distinct, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        numbers, new = np.empty(len(distinct), np.int64), []
+        for k, h in enumerate(distinct.tolist()):
+            n = self.known.get(h)
+            if n is None:
+                n = self.known[h] = len(self.known)
+                new.append(joined[starts[first[k]] : ends[first[k]]])
+            numbers[k] = n
+        if new:
+            self._learn(new)
+        ids, sizes = tx.gathered(self.ids, self.starts, numbers[at])
+        counts = np.bincount(owner, weights=sizes, minlength=len(texts)).astype(np.int64)
+        return np.split(ids, np.cumsum(counts)[:-1])
 
 
 def word_encoder(tokenizer_json: str, end_id: int | None = None) -> Callable[[], Callable[[list[str]], Iterator[np.ndarray]]]:
@@ -79,26 +128,19 @@ def word_encoder(tokenizer_json: str, end_id: int | None = None) -> Callable[[],
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        library, pattern = Tokenizer.from_str(tokenizer_json), _pattern()
+        library = Tokenizer.from_str(tokenizer_json)
         plain = re.compile(f"[\\x00-{chr(LAST)}]*")
         vocabulary = library.get_vocab()
         ends = np.zeros(max(vocabulary.values()) + 1, bool)
         ends[[n for piece, n in vocabulary.items() if piece.endswith("</w>")]] = True
-        known = Pieces(library, ends)
+        pieces = Pieces(library, ends)
         tail = [] if end_id is None else [end_id]
 
-        def numbers_of(text: str) -> np.ndarray | None:
-            if not plain.fullmatch(text) or any(s in text for s in special):
-                return None
-            return np.fromiter(map(known.__getitem__, pattern.findall(text.lower())), np.int64)
-
         def encode(texts: list[str]) -> Iterator[np.ndarray]:
-            if len(known) > REMEMBERED:
-                known.forget()
-            numbers = [numbers_of(text) for text in texts]
-            known.learn()
-            for text, own in zip(texts, numbers, strict=True):
-                ids = known.expanded(own) if own is not None else library.encode(text, add_special_tokens=False).ids
+            here = [bool(plain.fullmatch(t)) and not any(s in t for s in special) for t in texts]
+            found = iter(pieces([t for t, own in zip(texts, here, strict=True) if own]) if any(here) else [])
+            for text, own in zip(texts, here, strict=True):
+                ids = next(found) if own else library.encode(text, add_special_tokens=False).ids
                 yield np.concatenate((ids, tail)).astype(np.uint32)
 
         return encode
