@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gapline.llm import text as tx
-from gapline.llm.frames import unused_name, without
+from gapline.llm.frames import map_arrow, unused_name, without
 
 WINDOW = 10
 #: Words of one automaton. More items are split into several, each of which sees all texts.
@@ -238,8 +238,8 @@ def find_overlaps(
 
     blocks = 0
     for block in _blocks(items, item_id, item_text, block_words):
-        docs, blocks = docs.mapInArrow(pass_over(block), schema), blocks + 1
-    return docs if blocks else docs.mapInArrow(pass_over([]), schema)
+        docs, blocks = map_arrow(docs, pass_over(block), schema), blocks + 1
+    return docs if blocks else map_arrow(docs, pass_over([]), schema)
 
 
 def decontaminate(
@@ -283,4 +283,4 @@ def decontaminate(
             arrays = [texts if k == place else batch.column(k) for k in range(len(columns))]
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return found.mapInArrow(run, schema)
+    return map_arrow(found, run, schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gapline.llm.frames import unused_name, without
+from gapline.llm.frames import map_arrow, unused_name, without
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>|[^<]+|<", re.S
@@ -167,4 +167,4 @@ def extract_text(pages: DataFrame, html_col: str = "html", into: str = "text") -
                 texts = pa.array([main_text(x.as_py() or "") for x in part.column(place)], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*columns, made])
 
-    return kept.mapInArrow(run, schema).withColumnRenamed(made, into)
+    return map_arrow(kept, run, schema).withColumnRenamed(made, into)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapline.llm.frames import without
+from gapline.llm.frames import map_arrow, without
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -26,7 +26,7 @@ SWITCH = 12.0
 #: Letters of a script make up at least this share in a language that uses it.
 SCRIPT_SHARE = 0.01
 #: Languages counted at once in a task, and characters handled at once.
-HELD, CHARS = 64, 1 << 19
+HELD, CHARS = 64, 1 << 18
 
 # First code point of ranges of Unicode, and the script that most letters in them have.
 RANGES = [
@@ -143,7 +143,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
                     yield from rows()
         yield from rows()
 
-    sums = labelled.mapInArrow(count, _COUNTS).groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = map_arrow(labelled, count, _COUNTS).groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(sums["lang"].unique())
     counts, scripts = np.zeros((len(langs), BUCKETS)), np.zeros((len(langs), len(SCRIPTS)))
     rows = np.searchsorted(langs, sums["lang"]) if len(langs) else np.empty(0, int)
@@ -250,4 +250,4 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: flo
                 new = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, kind)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, last - first).columns, *new], names=names)
 
-    return kept.mapInArrow(run, schema)
+    return map_arrow(kept, run, schema)

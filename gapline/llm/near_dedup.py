@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapline.llm import text as tx
+from gapline.llm.frames import map_arrow
 from gapline.sources.scratch import written
 
 SHINGLE = 5
@@ -119,7 +120,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     names=["doc_id", "n", "h1", "h2", "sig"],
                 )
 
-    return narrow.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sig array<long>")
+    return map_arrow(narrow, run, "doc_id long, n long, h1 long, h2 long, sig array<long>")
 
 
 def _errors(a: Column, b: Column) -> Column:
@@ -175,7 +176,7 @@ def confirmed(pairs: DataFrame) -> DataFrame:
                 kept = _similar(left.slice(at, 16), right.slice(at, 16), hasher)
                 yield batch.select(["a", "b"]).slice(at, 16).filter(pa.array(kept))
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return map_arrow(pairs.select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
 def _similar(left: pa.Array, right: pa.Array, hasher: tx.Hasher) -> np.ndarray:

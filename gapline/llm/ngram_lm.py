@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from gapline.llm import text as tx
+from gapline.llm.frames import map_arrow
 from gapline.sources.scratch import written
 
 #: Characters of a batch of documents, and of the corpus per shard of n-grams.
@@ -225,7 +226,7 @@ def learn_weights(counts: DataFrame, tokens: int, types: int, starts: int, round
             columns = [pa.array(c, pa.int32()) for c in zip(*cells, strict=True)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(list(cells.values()), pa.int64())], names=["bucket", "high", "low", "n"])
 
-    cells = counts.where("taught").mapInArrow(gather, schema).groupBy("bucket", "high", "low").agg(F.sum("n").alias("n")).toPandas()
+    cells = map_arrow(counts.where("taught"), gather, schema).groupBy("bucket", "high", "low").agg(F.sum("n").alias("n")).toPandas()
     mix = np.full((65, 3), 1 / 3)
     for bucket, own in cells.groupby("bucket"):
         estimates = np.stack((_value(own["high"].to_numpy()), _value(own["low"].to_numpy()), np.ones(len(own))), 1)
@@ -284,4 +285,4 @@ def score_documents(docs: DataFrame, taught: Column, id_col: str = "doc_id", tex
             names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return counts.mapInArrow(run, schema)
+    return map_arrow(counts, run, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from gapline.llm import text as tx
-from gapline.llm.frames import unused_name, without
+from gapline.llm.frames import map_arrow, unused_name, without
 from gapline.sources.scratch import written
 
 SPACE = "▁"
@@ -34,7 +34,7 @@ CHUNK, GROUP = 1 << 16, 64
 #: Stands between texts.
 BETWEEN = "\udc82"
 #: Parts that a task remembers before it starts over; characters encoded at once.
-REMEMBERED, CHARS = 400_000, 1 << 19
+REMEMBERED, CHARS = 300_000, 1 << 18
 UNKNOWN_PENALTY = 10.0
 NEVER = -np.inf
 
@@ -396,7 +396,7 @@ def encode(
                     yield pa.RecordBatch.from_arrays([*own, *rest], names=[*own_names, *plain_names])
                 number += 1
 
-    done = kept.where(~long | long.isNull()).mapInArrow(small, schema)
+    done = map_arrow(kept.where(~long | long.isNull()), small, schema)
     giant = kept.where(long)
     if giant.isEmpty():
         return done
@@ -405,7 +405,7 @@ def encode(
     kinds = [T.LongType(), T.LongType(), T.StringType(), T.StringType()]
     fields = [T.StructField(n, t) for n, t in zip(own_names, kinds, strict=True)]
     fields += [T.StructField(n, f.dataType) for n, f in zip(plain_names, kept.schema.fields, strict=True)]
-    chunks = written(giant.mapInArrow(cut, T.StructType(fields)), "chunks")
+    chunks = written(map_arrow(giant, cut, T.StructType(fields)), "chunks")
     heads = chunks.where(F.col(own_names[1]) == 0).select(F.col(own_names[0]).alias("row"), F.struct(*plain_names).alias("head"))
     chunks = chunks.select(*(F.col(a).alias(f.name) for a, f in zip(own_names, _CHUNKS, strict=True)))
     # Each chunk costs a task seconds: deal them out.
@@ -438,5 +438,5 @@ def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", text_col: str =
                     texts = pa.compute.if_else(lists.is_null(), pa.scalar(None, pa.string()), texts)
                 yield pa.RecordBatch.from_arrays([*few.columns, texts], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return map_arrow(kept, run, schema)
 

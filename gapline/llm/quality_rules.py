@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gapline.llm import text as tx
-from gapline.llm.frames import unused_name, without
+from gapline.llm.frames import map_arrow, unused_name, without
 from gapline.sources.scratch import written
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -109,7 +109,7 @@ def document_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 added = {k: pa.array(v, pa.int64()) for k, v in found.items()}
                 yield tx.with_columns(batch.slice(first, last - first), **added)
 
-    return kept.mapInArrow(run, schema)
+    return map_arrow(kept, run, schema)
 
 
 def base_failed() -> Column:

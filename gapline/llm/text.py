@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once. Arrays over bytes take about 40 times this.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -23,11 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gapline.llm import text as tx
+from gapline.llm.frames import map_arrow
 
 LEVELS = 4
 RANK_BITS = 512
 #: Ids of a segment; a longer document has a segment of its own.
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 17
+#: Bytes of text encoded at once.
+SLICE = 1 << 20
 
 SEGMENTS = T.StructType(
     [
@@ -119,7 +122,7 @@ def write_segments(
 
         size = 0
         for batch in batches:
-            for at, after in tx.slices(batch.column(1)):
+            for at, after in tx.slices(batch.column(1), SLICE):
                 few = batch.slice(at, after - at)
                 for name, ids in zip(few.column(0).to_pylist(), encode(few.column(1).to_pylist()), strict=True):
                     if held and size + len(ids) > segment_ids:
@@ -131,7 +134,7 @@ def write_segments(
         if held:
             yield segment()
 
-    narrow.mapInArrow(run, SEGMENTS).write.parquet(path)
+    map_arrow(narrow, run, SEGMENTS).write.parquet(path)
 
 
 _ARROW = pa.schema(
