@@ -34,7 +34,7 @@ def read_recordings(
 
     A CSV line with too many or too few fields, or a field that is not of its column's type, fails
     the scan; with ``malformed="keep"`` it has the line in a column ``malformed_line``, null elsewhere
-    (see :func:`gapline.sources.rejects.split_lines`). That takes a ``schema``.
+    (see :func:`gapline.sources.rejects.tag_rejects`).
     """
     if fmt == "parquet":
         reader = spark.read.schema(schema) if schema else spark.read
@@ -44,7 +44,7 @@ def read_recordings(
     reader = spark.read.options(**CSV_OPTIONS)
     if malformed == "keep":
         if schema is None:
-            raise ValueError("malformed lines can be kept with a schema only")
+            schema = reader.option("inferSchema", True).option("mode", "PERMISSIVE").csv(source).schema
         fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         schema = T.StructType([*fields.fields, T.StructField(MALFORMED, T.StringType())])
         reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", MALFORMED)

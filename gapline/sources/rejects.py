@@ -9,20 +9,36 @@ from gapline.functions.time import parse_time
 from gapline.schema import TIME, USER, col, reject_names, require_columns
 from gapline.sources.recordings import MALFORMED
 
-REASON = "reject_reason"
+REASON, RAW = "reject_reason", "_raw_time"
 
 
-def split_lines(df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Split recordings read with ``malformed="keep"`` into rows and lines that do not fit.
+def tag_rejects(df: DataFrame, user_col: str = USER, ts_col: str = TIME, time_format: str | None = None) -> DataFrame:
+    """Add the parsed time and ``reject_reason``; the time as it was written is kept in ``_raw_time``.
 
-    The second table has these with what could be read of them, the line as it was in
-    ``malformed_line``, and the reason ``malformed line``; it is None for recordings that were read another way.
+    Reasons are ``malformed line`` (of recordings read with ``malformed="keep"``), ``null user`` and
+    ``malformed time``; null for a good row. An absent time is not malformed.
     """
-    if MALFORMED not in df.columns:
-        return df, None
-    bad = F.col(MALFORMED).isNotNull()
-    lines = df.where(bad).withColumn(REASON, F.lit("malformed line"))
-    return df.where(~bad).drop(MALFORMED), lines
+    require_columns(df, user_col, ts_col)
+    reject_names([REASON, RAW], df.columns, "input columns")
+    raw, user = F.col(RAW), col(user_col)
+    parsed = parse_time(df.withColumn(RAW, col(ts_col)), ts_col, strict=False, time_format=time_format)
+    blank = F.trim(raw.cast("string")) == ""
+    malformed = col(ts_col).isNull() & raw.isNotNull() & ~blank
+    reason = F.when(user.isNull(), "null user").when(malformed, "malformed time")
+    if MALFORMED in df.columns:
+        reason = F.when(F.col(MALFORMED).isNotNull(), "malformed line").otherwise(reason)
+    return parsed.withColumn(REASON, reason)
+
+
+def good_rows(tagged: DataFrame) -> DataFrame:
+    return tagged.where(F.col(REASON).isNull()).drop(REASON, RAW, MALFORMED)
+
+
+def bad_rows(tagged: DataFrame, ts_col: str = TIME) -> DataFrame:
+    """The rejected rows, their time as it was written."""
+    kept = [c for c in tagged.columns if c not in (RAW, REASON)]
+    bad = tagged.where(F.col(REASON).isNotNull())
+    return bad.select(*[(F.col(RAW) if c == ts_col else col(c)).alias(c) for c in kept], REASON)
 
 
 def split_rejects(
@@ -30,19 +46,7 @@ def split_rejects(
 ) -> tuple[DataFrame, DataFrame]:
     """Split into events with a user and a readable time, and the rest.
 
-    The second table keeps the raw columns and adds ``reject_reason``: ``null
-    user`` or ``malformed time``. An absent time is not malformed.
+    The second table keeps the raw columns and adds ``reject_reason`` (see :func:`tag_rejects`).
     """
-    require_columns(df, user_col, ts_col)
-    reject_names([REASON, "_raw_time"], df.columns, "input columns")
-    raw, user = F.col("_raw_time"), col(user_col)
-    parsed = parse_time(df.withColumn("_raw_time", col(ts_col)), ts_col, strict=False, time_format=time_format)
-    blank = F.trim(raw.cast("string")) == ""
-    malformed = col(ts_col).isNull() & raw.isNotNull() & ~blank
-    reason = F.when(user.isNull(), "null user").when(malformed, "malformed time")
-    tagged = parsed.withColumn(REASON, reason)
-    good = tagged.where(F.col(REASON).isNull()).select(*[col(c) for c in df.columns])
-    bad = tagged.where(F.col(REASON).isNotNull()).select(
-        *[(raw if c == ts_col else col(c)).alias(c) for c in df.columns], REASON
-    )
-    return good, bad
+    tagged = tag_rejects(df, user_col, ts_col, time_format)
+    return good_rows(tagged), bad_rows(tagged, ts_col)

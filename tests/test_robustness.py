@@ -55,7 +55,8 @@ def test_malformed_lines_fail_or_are_set_aside(spark, tmp_path, line):
     with pytest.raises(Exception, match="MALFORMED_RECORD_IN_PARSING"):
         gl.read_recordings(spark, str(path), RECORDINGS_SCHEMA).select("user_id").collect()
     out, rejects = str(tmp_path / "out"), str(tmp_path / "rejects")
-    features = gl.run_etl(spark, str(path), out, schema=RECORDINGS_SCHEMA, rejects=rejects)
+    for schema in (None, RECORDINGS_SCHEMA):
+        features = gl.run_etl(spark, str(path), out, schema=schema, rejects=rejects)
     assert [r.event_count for r in features.collect()] == [1]
     got = {r.reject_reason: r for r in spark.read.parquet(rejects).collect()}
     assert sorted(got) == ["malformed line", "malformed time"]
