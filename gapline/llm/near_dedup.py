@@ -19,7 +19,6 @@ a text of another component are then compared with each other.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
