@@ -383,27 +383,27 @@ def _rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
-def _drift(spark, sf_dir):
-    return gl.feature_drift(_features(spark, sf_dir), SPLIT_AT, EDGES)
+def _drift(features):
+    return gl.feature_drift(features, SPLIT_AT, EDGES)
 
 
-def _degradation(spark, sf_dir):
-    features = _features(spark, sf_dir)
+def _degradation(features):
     guessed = features.withColumn("prediction", 1 + F.col("duration_seconds") / 7200.0)
     return gl.model_degradation(guessed, BASELINE_MAE, label_col="event_count")
 
 
 def feature_drift(spark, sf_dir):
     values = ["base_mean", "current_mean", "base_stddev", "current_stddev", "mean_shift", "stability_index"]
-    return _rounded(_drift(spark, sf_dir), *values)
+    return _rounded(_drift(_features(spark, sf_dir)), *values)
 
 
 def model_degradation(spark, sf_dir):
-    return _rounded(_degradation(spark, sf_dir), "mae", "mae_ratio")
+    return _rounded(_degradation(_features(spark, sf_dir)), "mae", "mae_ratio")
 
 
 def retrain_decision(spark, sf_dir):
-    decision = gl.retrain_decision(_drift(spark, sf_dir), _degradation(spark, sf_dir), 0.001, 1.2)
+    features = written(_features(spark, sf_dir), "features")  # drift and errors read one table
+    decision = gl.retrain_decision(_drift(features), _degradation(features), 0.001, 1.2)
     return decision.select("should_retrain", F.array_join("reasons", "; ").alias("reasons"))
 
 
