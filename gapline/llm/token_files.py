@@ -30,7 +30,7 @@ RANK_BITS = 512
 #: Ids of a segment; a longer document has a segment of its own.
 SEGMENT_IDS = 1 << 17
 #: Bytes of text encoded at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 SEGMENTS = T.StructType(
     [
