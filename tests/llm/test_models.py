@@ -4,7 +4,7 @@ import math
 import random
 from collections import Counter
 
-import brute
+import plain_text
 import numpy as np
 import pytest
 from gapline.llm import language_id as li
@@ -77,10 +77,10 @@ def small_batches(monkeypatch):
 
 def test_unigram_counts_and_scores(spark, small_batches):
     docs = [*corpus(3, 60), (60, None), (61, "unseen words")]
-    taught = {i for i, _ in docs if brute.remainder(i, 10) != 0 and i != 61}
+    taught = {i for i, _ in docs if plain_text.remainder(i, 10) != 0 and i != 61}
     got = lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id").isin(taught)).collect()
     assert len(got) == len(docs)
-    tokens = {i: [*brute.spaced(t), None] for i, t in docs}
+    tokens = {i: [*plain_text.spaced(t), None] for i, t in docs}
     seen = Counter(t for i in taught for t in tokens[i])
     total, types = sum(seen.values()), len(seen)
     for r in got:
@@ -94,7 +94,7 @@ def test_unigram_counts_and_scores(spark, small_batches):
 def test_bigram_counts_are_exact(spark, small_batches):
     docs = corpus(4, 50)
     counts, total, types, starts = lm.counted(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") < 40, "doc_id", "text")
-    tokens = {i: ["<s>", *brute.spaced(t), "</s>"] for i, t in docs}
+    tokens = {i: ["<s>", *plain_text.spaced(t), "</s>"] for i, t in docs}
     pairs = Counter(p for i in range(40) for p in zip(tokens[i], tokens[i][1:]))
     assert starts == 40 and total == sum(len(tokens[i]) - 1 for i in range(40))
     for r in counts.collect():
@@ -142,9 +142,9 @@ def test_components_are_those_of_plain_python(spark, seed):
     docs = near_copies(seed)
     table = spark.createDataFrame([(i, t, 0, "x") for i, t in docs], "doc_id long, text string, n int, component string")
     got = {r.doc_id: r for r in nd.find_components(table).collect()}
-    want = brute.components(docs)
+    want = plain_text.components(docs)
     assert {i: r.component_id for i, r in got.items()} == want
-    assert {i: r.n_shingles for i, r in got.items()} == {i: len(brute.shingles(t)) for i, t in docs}
+    assert {i: r.n_shingles for i, r in got.items()} == {i: len(plain_text.shingles(t)) for i, t in docs}
     kept = nd.one_of_each(table)
     assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {i for i in want if want[i] == i}
 

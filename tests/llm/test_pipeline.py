@@ -2,7 +2,7 @@
 
 import random
 
-import brute
+import plain_text
 import corpus_pipeline
 import pytest
 from gapline.llm import piece_codec as pc
@@ -43,15 +43,15 @@ def documents(seed):
 
 def expected(rows, items):
     """(doc_id, text) of what comes out, by plain Python; languages are not in doubt here."""
-    kept = [(i, t) for i, t, *_ in rows if not brute.base_failed(t)]
+    kept = [(i, t) for i, t, *_ in rows if not plain_text.base_failed(t)]
     kept = [(i, t) for i, t in kept if any(c.isalpha() for c in t)]
-    group = brute.components(kept)
+    group = plain_text.components(kept)
     out = {}
     for i, t in kept:
         if group[i] != i:
             continue
-        hit, _ = brute.overlaps(t, items)
-        words = brute.alphanumeric(t)
+        hit, _ = plain_text.overlaps(t, items)
+        words = plain_text.alphanumeric(t)
         if len(hit) > 0.5 * len(words):
             continue
         out[i] = (t, sorted(hit))
@@ -71,8 +71,8 @@ def test_stages_match_plain_python(spark, tmp_path, seed):
         assert got[i].n_tokens == len(got[i]["ids"])
         if not hit:
             assert got[i].decoded == text
-        left = [w for k, w in enumerate(brute.alphanumeric(text)) if k not in hit]
-        assert brute.alphanumeric(got[i].decoded) == left
+        left = [w for k, w in enumerate(plain_text.alphanumeric(text)) if k not in hit]
+        assert plain_text.alphanumeric(got[i].decoded) == left
 
 
 def test_stages_keep_the_columns(spark, tmp_path):

@@ -1,6 +1,6 @@
 """Quality rules, licence scans, decontamination and URL filters against plain Python."""
 
-import brute
+import plain_text
 import pytest
 from gapline.llm import decontaminate as dc
 from gapline.llm import license_scan, quality_rules, url_filter
@@ -24,7 +24,7 @@ def test_features_are_those_of_plain_python(spark, found):
     got = quality_rules.document_features(docs).collect()
     assert len(got) == len(rows)
     for r in got:
-        assert {k: r[k] for k in quality_rules.FEATURES} == brute.quality(found[r.doc_id])
+        assert {k: r[k] for k in quality_rules.FEATURES} == plain_text.quality(found[r.doc_id])
         assert r.Other == "old"
 
 
@@ -48,7 +48,7 @@ def test_a_bad_host_takes_its_documents(spark):
     assert judged[1001].kept and not judged[1002].kept
     others = [r for r in judged.values() if r.doc_id >= 2000]
     assert not any(r.host_rejected for r in others)
-    assert all(r.kept == (not brute.base_failed(r.text)) for r in others)
+    assert all(r.kept == (not plain_text.base_failed(r.text)) for r in others)
 
 
 def test_small_hosts_are_shrunk(spark):
@@ -77,9 +77,9 @@ def test_base_phrases_are_those_of_plain_python(spark, found):
     got = license_scan.scan_licenses(make(spark, [(i, t, "s") for i, t in enumerate(found)])).collect()
     wanted = [(t.label, t.words) for t in license_scan.BASE]
     for r in got:
-        places = brute.phrases(found[r.doc_id], wanted)
+        places = plain_text.phrases(found[r.doc_id], wanted)
         at = [k for k, _ in places]
-        assert (r.n_words, r.n_base) == (len(brute.alphanumeric(found[r.doc_id])), len(places))
+        assert (r.n_words, r.n_base) == (len(plain_text.alphanumeric(found[r.doc_id])), len(places))
         assert (r.first_word, r.last_word) == (min(at, default=None), max(at, default=None))
         labels = sorted({label for _, label in places})
         assert r.base_labels == ",".join(labels) and set(labels) <= set(r.labels.split(",") if r.labels else [])
@@ -114,7 +114,7 @@ def test_overlaps_are_those_of_plain_python(spark, found, items, block_words):
     table = spark.createDataFrame(items, "item_id long, text string")
     got = dc.find_overlaps(make(spark, [(i, t, "s") for i, t in enumerate(found)]), table, block_words=block_words, window=4).collect()
     for r in got:
-        hit, names = brute.overlaps(found[r.doc_id], items, window=4)
+        hit, names = plain_text.overlaps(found[r.doc_id], items, window=4)
         spans = [k for s in r.spans for k in range(s.first, s.after)]
         assert (r.n_words, sorted(spans), r["items"]) == (len(found[r.doc_id].split()), sorted(hit), names)
 
@@ -141,7 +141,7 @@ def judged(url, rules):
     if url and "://" in url:
         rest = url.split("://", 1)[1]
         end = min((rest.find(c) for c in "/?#" if c in rest), default=len(rest))
-        host, rest = rest[:end].translate(brute.UPPER), rest[end:]
+        host, rest = rest[:end].translate(plain_text.UPPER), rest[end:]
         path = rest[: min((rest.find(c) for c in "?#" if c in rest), default=len(rest))]
     fits = [r for r in rules if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
     best = max(fits, key=lambda r: (len(r[1] + r[2]), len(r[1])), default=None)
