@@ -44,16 +44,24 @@ BASE = (
     Template("gpl", "general public license", exact=True),
     Template("reserved", "all rights reserved", exact=True),
 )
-# Opening words of public licence texts.
+# Opening words of public licence texts, and short notices (exact phrases).
 PASSAGES = (
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", needs=("without restriction",)),
-    Template("apache-2.0", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license", needs=("apache license",)),
+    Template("apache-2.0", "you may not use this file except in compliance with the license", needs=("apache license",)),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", needs=("redistributions of source code",)),
     Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", needs=("mozilla public license",)),
     Template("lgpl", "gnu lesser general public license as published by the free software foundation", needs=("lesser general public license",)),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", needs=("with or without fee",)),
-    Template("cc-by-sa", "creative commons attribution sharealike license", needs=("creative commons",)),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", needs=("public domain",)),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", needs=("unencumbered software", "public domain")),
+    Template("apache-2.0", "apache license version 2 0", exact=True),
+    Template("apache-2.0", "apache license 2 0", exact=True),
+    Template("apache-2.0", "apache 2 0 license", exact=True),
+    Template("mit", "the mit license", exact=True),
+    Template("mit", "mit license copyright", exact=True),
+    Template("cc-by-nc", "cc by nc", exact=True),
+    Template("cc-by-nc", "creative commons attribution noncommercial", exact=True),
+    Template("cc-by-sa", "cc by sa", exact=True),
+    Template("cc-by-sa", "creative commons attribution sharealike", exact=True),
 )
 
 
@@ -63,22 +71,36 @@ def word_array(text: Column) -> Column:
     return F.regexp_extract_all(low, F.lit(f"({WORD})"), F.lit(1))
 
 
-def word_idf(docs: DataFrame, templates: Sequence[Template], text_col: str = "text") -> dict[str, float]:
-    """IDF of the templates' words over all documents; at most that many rows reach the driver."""
+def _document_counts(docs: DataFrame, templates: Sequence[Template], text_col: str) -> dict[str, int]:
+    """Documents that hold each of the templates' words; of all documents for the empty word."""
     vocabulary = sorted({w for t in templates for w in t.words.split()})
     found = F.filter(word_array(F.col(f"`{text_col}`")), lambda w: w.isin(vocabulary))
     counts = docs.select(F.array_distinct(found).alias("words")).withColumn("words", F.array_append("words", F.lit("")))
     rows = counts.select(F.explode("words").alias("word")).groupBy("word").count().collect()
-    seen = {r["word"]: r["count"] for r in rows}
-    total = seen.get("", 0)
-    return {w: math.log((1 + total) / (1 + seen.get(w, 0))) + 1 for w in vocabulary}
+    return dict.fromkeys([*vocabulary, ""], 0) | {r["word"]: r["count"] for r in rows}
+
+
+def _idf(seen: dict[str, int]) -> dict[str, float]:
+    return {w: math.log((1 + seen[""]) / (1 + n)) + 1 for w, n in seen.items() if w}
+
+
+def word_idf(docs: DataFrame, templates: Sequence[Template], text_col: str = "text") -> dict[str, float]:
+    """IDF of the templates' words over all documents; at most that many rows reach the driver."""
+    return _idf(_document_counts(docs, templates, text_col))
 
 
-def _rare(template: Template, idf: dict[str, float], rare_words: int) -> list[tuple[int, str, float]]:
-    """The template's words of highest IDF: place, word, IDF; the rarest first."""
+def _rare(template: Template, idf: dict[str, float], rare_words: int, absent: frozenset[str]) -> list[tuple[int, str, float]]:
+    """The template's words of highest IDF: place, word, IDF; the rarest first, of a passage without absent ones."""
     places = [(k, w, idf[w]) for k, w in enumerate(template.words.split())]
     ranked = sorted(places, key=lambda p: (-p[2], p[0]))
-    return ranked if template.exact else ranked[:rare_words]
+    return ranked if template.exact else [p for p in ranked if p[1] not in absent][:rare_words]
+
+
+def _possible(template: Template, idf: dict[str, float], absent: frozenset[str], min_share: float) -> bool:
+    """Whether words that some document holds have ``min_share`` of the template's joint IDF."""
+    own = template.words.split()
+    there = sum(idf[w] for w in own if w not in absent)
+    return there > 0 and there >= min_share * sum(idf[w] for w in own)
 
 
 def _literal_map(entries: dict[str, Column]) -> Column:
@@ -99,14 +121,26 @@ def scan_licenses(
     ``n_base`` counts all places of ``base`` phrases, ``first_word`` and ``last_word`` are the
     smallest and largest (words counted from 0; null without any). ``labels`` also has those of
     ``templates``: a passage matches where rare words with ``min_share`` of their joint IDF stand
-    in the right places and all its mandatory phrases occur. ``score`` is the largest such share
-    (1 for a base phrase, 0 without a match). Null and empty texts have no words. Repeated rows
+    in the right places and all its mandatory phrases occur. Words that no document holds are not
+    among its rare words; a passage with too little IDF without them matches nowhere. With a given
+    ``idf`` all words count as held. ``score`` is the largest such share (1 for a whole phrase, 0 without a match). Null and empty texts have no words. Repeated rows
     stay; columns of these seven names are replaced. No row leaves its partition; the only shuffle
     is that of the word counts behind ``idf``.
     """
     every = [*base, *templates]
-    idf = idf or word_idf(docs, every, text_col)
-    rare = [_rare(t, idf, rare_words) for t in every]
+    if not any(t.words.split() for t in every):
+        raise ValueError("no template has a word")
+    absent: frozenset[str] = frozenset()
+    if not idf:
+        seen = _document_counts(docs, every, text_col)
+        idf, absent = _idf(seen), frozenset(w for w, n in seen.items() if not n)
+    # An exact phrase with an absent word costs nothing: it is looked up by that word.
+    live = [[t for t in ts if t.exact or _possible(t, idf, absent, min_share)] for ts in (base, templates)]
+    if any(live):
+        base, every = live[0], [*live[0], *live[1]]
+    else:
+        absent = frozenset()
+    rare = [_rare(t, idf, rare_words, absent) for t in every]
     # An exact phrase needs its rarest word alone; a passage may lack some of its words.
     postings: dict[str, list[tuple[int, int]]] = {}
     for n, (template, ranked) in enumerate(zip(every, rare, strict=True)):
@@ -115,8 +149,6 @@ def scan_licenses(
     results = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     kept = without(docs.columns, results)
     words, starts, shares = (unused_name(c, docs.columns) for c in ("_words", "_starts", "_shares"))
-    if not postings:
-        raise ValueError("no template has a word")
     index = _literal_map(
         {w: F.array(*(F.struct(F.lit(n * SPAN).alias("of"), F.lit(k).alias("place")) for n, k in at)) for w, at in postings.items()}
     )

@@ -100,6 +100,38 @@ def test_passages_need_their_places_and_phrases(spark):
     assert [got[k].labels for k in (2, 3)] == ["", ""]
 
 
+NOTICES = {
+    "Licensed under the Apache License, Version 2.0.": "apache-2.0",
+    'Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.': "apache-2.0",
+    "SPDX: Apache 2.0 license": "apache-2.0",
+    "Released under the MIT License.": "mit",
+    "The MIT License (MIT)\n\nCopyright (c) 2024": "mit",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction": "mit",
+    "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc",
+    "Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa",
+    "This work is licensed under the GNU General Public License, version 3.": "gpl",
+    "Geschrieben mit license plates, released under the bridge by nc 4": "",
+}
+
+
+def test_real_notices_are_labelled(spark):
+    rows = [(k, f"Some words. {n}\nMore words of the text.", "") for k, n in enumerate(NOTICES)]
+    got = {r.doc_id: r.labels for r in license_scan.scan_licenses(make(spark, rows)).collect()}
+    assert got == dict(enumerate(NOTICES.values()))
+
+
+def test_words_of_no_document_are_not_looked_up(spark):
+    passage = license_scan.Template("own", "alpha beta gamma delta epsilon zeta eta theta iota kappa")
+    near = passage.words.replace("delta", "other")
+    rows = [(1, "so " + near, ""), (2, "alpha kappa", ""), (3, "gamma", "")]
+    # The one word of highest IDF is in no document.
+    got = license_scan.scan_licenses(make(spark, rows), templates=[passage], rare_words=1).orderBy("doc_id").collect()
+    assert [r.labels for r in got][0] == "own"
+    lost = license_scan.Template("lost", "alpha u1 u2 u3 u4")
+    got = license_scan.scan_licenses(make(spark, rows), base=[], templates=[lost]).collect()
+    assert [r.labels for r in got] == ["", "", ""]
+
+
 STEPS = [f"w{k}" for k in range(6)]
 
 
