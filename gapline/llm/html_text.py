@@ -22,8 +22,8 @@ from gapline.llm.frames import map_arrow, unused_name, without
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>|[^<]+|<", re.S
 )
-NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+UNSHOWN = re.compile(r"display\s*:\s*none", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?。，…]")
 
 # Element names of HTML by their role.
@@ -46,6 +46,10 @@ BOILERPLATE_NAMES = frozenset(
     "newsletter notice notices pagination popup promo promotion related search share sharing sidebar skip social "
     "sponsor sponsored subscribe toolbar widget".split()
 )
+#: Of these, what may be longer than the article.
+TALK_NAMES = frozenset("comment comments disqus promo promotion related search".split())
+#: Elements that are never boilerplate by their names.
+WHOLE = frozenset("html body main article".split())
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
     "th": {"td", "th"}, "option": {"option"},
@@ -55,18 +59,41 @@ SCOPES = frozenset("html body table td th ul ol dl article section main div asid
 Path = tuple[str, ...]
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """The element's part of a path, and whether it holds boilerplate by its tag or names."""
-    names = " ".join(a or b or c for a, b, c in NAMED.findall(attributes)).lower() if attributes else ""
-    words = set(re.split(r"[^a-z0-9]+", names))
-    noise = tag in BOILERPLATE or bool(words & BOILERPLATE_NAMES) or bool(attributes and HIDDEN.search(attributes))
-    return (f"{tag}.{names}" if names else tag), noise
+def _label(tag: str, attributes: str) -> tuple[str, bool, int]:
+    """The element's part of a path, whether it holds boilerplate, and whether its names say so.
 
+    Of names: 0 for no, 1 if only parts of longer names do (``with-sidebar``), else 2.
+    """
+    if not attributes:
+        return tag, tag in BOILERPLATE, 0
+    found = [(name.lower(), a or b or c) for name, a, b, c in ATTRIBUTE.findall(attributes)]
+    names = " ".join(value for name, value in found if name in ("class", "id", "role")).lower()
+    hidden = any(name == "hidden" or name == "style" and UNSHOWN.search(value) for name, value in found)
+    noise = tag in BOILERPLATE or hidden and tag not in ("html", "body")
+    named = 0
+    if tag not in WHOLE:
+        words = set(re.split(r"[^a-z0-9]+", names)) & BOILERPLATE_NAMES
+        if words:
+            named = 2 if words & TALK_NAMES or words & set(names.split()) else 1
+    return (f"{tag}.{names}" if names else tag), noise, named
+
+
+Named = list[tuple[int, int, bool]]
+
+
+def _named(stack: list[tuple[str, str, bool, tuple[int, int]]]) -> Named:
+    head = max((k for k, s in enumerate(stack) if s[0] in ("h1", "main")), default=-1)
+    return [(*s[3], head > k) for k, s in enumerate(stack) if s[3][1]]
+
+
+def _nodes(page: str) -> Iterator[tuple[int, Path, str, bool, Named]]:
+    """(block number, tag path, text, in a link, named) of text outside boilerplate, in page order.
 
-def _nodes(page: str) -> Iterator[tuple[int, Path, str, bool]]:
-    """(block number, tag path, text, in a link) of text outside boilerplate, in page order."""
-    stack: list[tuple[str, str, bool]] = []  # tag, label, boilerplate
-    block, at = 0, 0
+    ``named`` has each element around the text whose names speak of boilerplate: its number, its kind
+    (see ``_label``), and whether the text is in an h1 or main inside of it.
+    """
+    stack: list[tuple[str, str, bool, tuple[int, int]]] = []  # tag, label, boilerplate, named
+    block, at, number = 0, 0, 0
     while at < len(page):
         found = TOKEN.match(page, at)
         at = found.end()
@@ -76,7 +103,7 @@ def _nodes(page: str) -> Iterator[tuple[int, Path, str, bool]]:
             if text[0] == "<" and len(text) > 1:
                 continue  # comment, doctype or the like
             if not any(s[2] for s in stack):
-                yield block, tuple(s[1] for s in stack), text, any(s[0] == "a" for s in stack)
+                yield block, tuple(s[1] for s in stack), text, any(s[0] == "a" for s in stack), _named(stack)
             continue
         tag = tag.lower()
         if found[1]:
@@ -93,8 +120,8 @@ def _nodes(page: str) -> Iterator[tuple[int, Path, str, bool]]:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if tag == "br":
-            yield block, tuple(s[1] for s in stack), "\n", False
+        if tag == "br" and not any(s[2] for s in stack):
+            yield block, tuple(s[1] for s in stack), "\n", False, _named(stack)
         if tag not in INLINE and tag not in VOID or tag == "hr":
             block += 1
             closed = CLOSED_BY.get(tag, set()) | {"p"}
@@ -105,14 +132,40 @@ def _nodes(page: str) -> Iterator[tuple[int, Path, str, bool]]:
                 if stack[k][0] in SCOPES:
                     break
         if tag not in VOID and not found[3].endswith("/"):
-            label, noise = _label(tag, found[3])
+            label, noise, named = _label(tag, found[3])
             inside = any(s[0] in ("article", "main") for s in stack)
-            stack.append((tag, label, noise or tag == "header" and not inside))
+            number += 1
+            stack.append((tag, label, noise or tag == "header" and not inside, (number, named)))
+
+
+def _shown(page: str) -> list[tuple[int, Path, str, bool]]:
+    """(block number, tag path, text, in a link) of what is not boilerplate.
+
+    An element that only its names call boilerplate is none if it holds more than half of the page's
+    text outside links, and an h1 or main, or the names do so in part only. Where all text would go, no name counts.
+    """
+    nodes = [(b, p, html.unescape(t), link, named) for b, p, t, link, named in _nodes(page)]
+    held: dict[int, int] = defaultdict(int)
+    heads: set[int] = set()
+    total = 0
+    for _, _, text, link, named in nodes:
+        size = 0 if link else len(text.strip())
+        total += size
+        for number, _, head in named:
+            held[number] += size
+            if head:
+                heads.add(number)
+
+    def dropped(number: int, kind: int) -> bool:
+        return 2 * held[number] <= total or kind == 2 and number not in heads
+
+    kept = [n[:4] for n in nodes if not any(dropped(number, kind) for number, kind, _ in n[4])]
+    return kept if any(n[2].strip() for n in kept) else [n[:4] for n in nodes]
 
 
 def main_text(page: str) -> str:
     """The article of a page: blocks joined by line breaks, white space as single spaces."""
-    nodes = [(b, p, html.unescape(t), link) for b, p, t, link in _nodes(page)]
+    nodes = _shown(page)
     sums: dict[Path, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
     for _, path, text, link in nodes:
         size = len(text.strip())
@@ -151,7 +204,8 @@ def extract_text(pages: DataFrame, html_col: str = "html", into: str = "text") -
 
     A page with an ``article`` or ``main`` element has its text in the best of these, others in
     the best container. Boilerplate (menus, page headers, footers, sidebars, forms, adverts,
-    notices, comments, hidden elements) is known by tag, class, id and role. Null and empty
+    notices, comments, hidden elements) is known by tag, class, id and role; by the last three
+    never html, body, main and article, nor what holds most of the page (see ``_shown``). Null and empty
     pages, and pages without any other text, give an empty text. Pages do not depend on each other.
     """
     columns = without(pages.columns, [into])

@@ -41,6 +41,26 @@ def test_main_text(page):
     assert main_text(page) == PAGES[page]
 
 
+BODY = "<h1>Title</h1><p>A first sentence, with commas.</p><p>A second one.</p>"
+READ = "Title\nA first sentence, with commas.\nA second one."
+NAMED = {
+    f"<html class='has-navbar'><body class='sticky-header'><nav>Menu</nav><article class='post category-social'>{BODY}</article>": READ,
+    f"<main class='with-sidebar'>{BODY}<div class=sidebar>Side</div></main>": READ,
+    f"<body><div class='page-with-sidebar'>{BODY}<div class='left-sidebar'>Side, text.</div></div></body>": READ,
+    f"<body><div class=widget>{BODY}</div></body>": READ,
+    f"<body><div class=widget>{BODY}</div><footer>Foot</footer><div class=search>Find</div></body>": READ,
+    "<body><div id=search><p>All there is.</p></div></body>": "All there is.",
+    "<article title='The hidden life'><p>See <a title='a hidden gem'>this gem</a>.</p><p data-x='display:none'>x</p></article>": "See this gem.\nx",
+    "<article><p>Kept.</p><p hidden>No</p><p hidden=''>No</p><p style='color:red;display: none'>No</p></article>": "Kept.",
+    "<article><p>Kept.</p><div class='comment-list'><p>A comment that is longer, with commas, than all else.</p></div></article>": "Kept.",
+}
+
+
+@pytest.mark.parametrize("page", NAMED)
+def test_names_do_not_take_the_article(page):
+    assert main_text(page) == NAMED[page]
+
+
 def test_extraction_of_a_table(spark):
     rows = [(1, None, "old"), (2, "<article>Text</article>", "x"), (2, "<article>Text</article>", "x")]
     pages = spark.createDataFrame(rows, "page_id long, html string, TEXT string").withColumnRenamed("TEXT", "text")
