@@ -1,9 +1,11 @@
 """HTML extraction by tag-path ratios.
 
 Text is summed by its path of tags from the root. A path's ratio is how much text, outside
-links, and how much punctuation its nodes have on average. Ratios are smoothed over the tree
-(they fade by half per level on the way up), fused per container, and the container with the
-largest sum holds the article; its nodes outside boilerplate elements are the result.
+links, and how much punctuation its nodes have on average; both are fused and bounded, so that
+long nodes do not hide short ones. Ratios are smoothed over the tree of containers (they fade by
+half per step, up or down) and count more inside an article. Paths whose ratio passes a share of
+the largest are the content; the result is what the smallest container around all of them holds
+outside boilerplate elements.
 """
 
 from __future__ import annotations
@@ -54,6 +56,11 @@ CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
     "th": {"td", "th"}, "option": {"option"},
 }
+#: A node has at most so much text and punctuation that counts.
+MOST_TEXT, MOST_MARKS = 200, 3
+#: What ratios inside an article or main are worth, and the share of the largest that a path needs.
+ARTICLE_WEIGHT = 6
+THRESHOLD = 1 / 8
 SCOPES = frozenset("html body table td th ul ol dl article section main div aside nav footer header form".split())
 
 Path = tuple[str, ...]
@@ -163,34 +170,52 @@ def _shown(page: str) -> list[tuple[int, Path, str, bool]]:
     return kept if any(n[2].strip() for n in kept) else [n[:4] for n in nodes]
 
 
-def main_text(page: str) -> str:
-    """The article of a page: blocks joined by line breaks, white space as single spaces."""
-    nodes = _shown(page)
+def _container(path: Path) -> Path:
+    depth = len(path)
+    while depth and path[depth - 1].split(".")[0] in TEXTUAL:
+        depth -= 1
+    return path[:depth]
+
+
+def _told(path: Path) -> bool:
+    """Whether the page says that this is its article."""
+    return any(p.split(".")[0] in ("article", "main") or "main" in p.split(".")[1:] for p in path)
+
+
+def _content(nodes: list[tuple[int, Path, str, bool]]) -> list[Path]:
+    """The containers whose smoothed ratio passes the threshold."""
     sums: dict[Path, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
     for _, path, text, link in nodes:
         size = len(text.strip())
         if size:
-            s = sums[path]
+            s = sums[_container(path)]
             s[0] += size
             s[1] += len(PUNCTUATION.findall(text))
-            s[2] += size if link else 0
+            s[2] += size if link and not any(p.split(".")[0] == "h1" for p in path) else 0
             s[3] += 1
-    scores: dict[Path, float] = defaultdict(float)
-    for path, (size, marks, linked, count) in sums.items():
-        ratio = (size - linked) / count * (1 + marks / count)
-        depth = len(path)
-        while depth and path[depth - 1].split(".")[0] in TEXTUAL:
-            depth -= 1
-        fade = 1.0
-        for k in range(depth, 0, -1):
-            scores[path[:k]] += ratio * count * fade
-            fade /= 2
-        if not depth:  # text outside any container
-            scores[()] += ratio * count
-    told = {p: s for p, s in scores.items() if p and (p[-1].split(".")[0] in ("article", "main") or "main" in p[-1].split(".")[1:])}
-    if not scores:
+    ratios = {p: min((n - linked) / k, MOST_TEXT) * (1 + min(marks / k, MOST_MARKS)) for p, (n, marks, linked, k) in sums.items()}
+    near: dict[Path, float] = defaultdict(float)
+    for path, ratio in ratios.items():
+        for k in range(len(path), -1, -1):
+            near[path[:k]] = max(near[path[:k]], ratio)
+            ratio /= 2
+    for path in sorted(near, key=len):
+        if path:
+            near[path] = max(near[path], near[path[:-1]] / 2)
+    smooth = {p: near[p] * (1 - linked / n) * (ARTICLE_WEIGHT if _told(p) else 1) for p, (n, _, linked, _) in sums.items()}
+    least = max(smooth.values(), default=0.0) * THRESHOLD
+    return [p for p, ratio in smooth.items() if ratio >= least]
+
+
+def main_text(page: str) -> str:
+    """The article of a page: blocks joined by line breaks, white space as single spaces."""
+    nodes = _shown(page)
+    content = _content(nodes)
+    if not content:
         return ""
-    best = max(told or scores, key=lambda p: ((told or scores)[p], -len(p), p))
+    first, last = min(content), max(content)
+    same = next((k for k, (a, b) in enumerate(zip(first, last, strict=False)) if a != b), min(len(first), len(last)))
+    best = first[:same]
     blocks: dict[int, list[str]] = defaultdict(list)
     for block, path, text, _ in nodes:
         if path[: len(best)] == best:
@@ -202,8 +227,8 @@ def main_text(page: str) -> str:
 def extract_text(pages: DataFrame, html_col: str = "html", into: str = "text") -> DataFrame:
     """Add the main text of each page; a column of the name ``into`` is replaced.
 
-    A page with an ``article`` or ``main`` element has its text in the best of these, others in
-    the best container. Boilerplate (menus, page headers, footers, sidebars, forms, adverts,
+    The text is all that the smallest container around the content holds; what is content, is told
+    by ratios, which count ``ARTICLE_WEIGHT`` times in an ``article`` or ``main``. Boilerplate (menus, page headers, footers, sidebars, forms, adverts,
     notices, comments, hidden elements) is known by tag, class, id and role; by the last three
     never html, body, main and article, nor what holds most of the page (see ``_shown``). Null and empty
     pages, and pages without any other text, give an empty text. Pages do not depend on each other.

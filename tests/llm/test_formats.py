@@ -61,6 +61,29 @@ def test_names_do_not_take_the_article(page):
     assert main_text(page) == NAMED[page]
 
 
+def prose(word, n):
+    return " ".join(f"{word}{k}," for k in range(n))
+
+
+SECTIONS = [f"<section id={name}><h2>{name}</h2>" + f"<p>{prose(name, n)}</p>" * times + "</section>" for name, n, times in (("intro", 4, 1), ("usage", 60, 9), ("end", 3, 1))]
+SPLIT = {
+    f"<div id=c><div class=lead>{prose('a', 30)}</div><div class=text>{prose('b', 200)}</div></div>": [prose("a", 30), prose("b", 200)],
+    f"<div id=c><div class=lead>{'a' * 200}</div><div class=text>{'b' * 1000}</div></div>": ["a" * 200, "b" * 1000],
+    f"<body><nav>Menu</nav><div class=page>{''.join(SECTIONS)}</div><footer>Foot.</footer></body>": ["intro", prose("intro", 4), "usage", *[prose("usage", 60)] * 9, "end", prose("end", 3)],
+    f"<body><h1>Title</h1><div class=text><p>{prose('b', 40)}</p></div></body>": ["Title", prose("b", 40)],
+    f"<body><div class=title><h1><a href=x>Title</a></h1></div><div class=text><p>{prose('b', 40)}</p></div></body>": ["Title", prose("b", 40)],
+    f"<body><div class=top><a href=x>{prose('l', 40)}</a></div><div class=text><p>{prose('b', 40)}</p></div></body>": [prose("b", 40)],
+    f"<body>stray<div class=box>Links, of few words.</div><article><p>{prose('b', 60)}</p><div class=x>End.</div></article></body>": [prose("b", 60), "End."],
+    f"<body><div class=lead>{prose('a', 90)}</div><article><p>{prose('b', 60)}</p></article></body>": [prose("a", 90), prose("b", 60)],
+    f"<div class=text>{f'<p>{prose('b', 60)}</p>' * 5}</div><div class=cards><article>A card</article></div>": [*[prose("b", 60)] * 5, "A card"],
+}
+
+
+@pytest.mark.parametrize("page", SPLIT)
+def test_articles_in_several_containers_are_whole(page):
+    assert main_text(page).split("\n") == SPLIT[page]
+
+
 def test_extraction_of_a_table(spark):
     rows = [(1, None, "old"), (2, "<article>Text</article>", "x"), (2, "<article>Text</article>", "x")]
     pages = spark.createDataFrame(rows, "page_id long, html string, TEXT string").withColumnRenamed("TEXT", "text")
