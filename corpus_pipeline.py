@@ -40,9 +40,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages they share with benchmark items, unless these are half of the words."""
+    """Texts without the passages they share with benchmark items, unless these are half of the words.
+
+    Spans of fewer words than a window are whole items, and are cut as well.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    clean = decontaminate.decontaminate(docs, items)
+    clean = decontaminate.decontaminate(docs, items, max_span=0)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

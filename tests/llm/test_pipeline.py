@@ -85,6 +85,19 @@ def test_stages_keep_the_columns(spark, tmp_path):
         assert out.columns == docs.columns and out.count() <= docs.count()
 
 
+def test_short_items_are_cut(spark, tmp_path):
+    rows, items = documents(4)
+    items += [(10, "Short item of five words"), (11, "lone")]
+    clean = rows[0][1]
+    text = clean + ". Short item, of five words; " + "and so on to the end of it, lone"
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, clean, "en", "s", len(clean))], COLUMNS)
+    got = {r.doc_id: r for r in corpus_pipeline.remove_benchmark(spark, docs, str(tmp_path)).collect()}
+    assert got[1].text == clean + ". ; and so on to the end of it, " and got[1].n_chars == len(got[1].text)
+    assert got[2].text == clean
+    assert plain_text.overlaps(got[1].text, items) == (set(), [])
+
+
 def test_an_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
