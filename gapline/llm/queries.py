@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.llm import decontaminate, html_text, language_id, license_scan, near_dedup, ngram_lm, piece_codec, quality_rules, token_files, url_filter
+from gapline.llm import byte_bpe, collocations, decontaminate, html_text, importance, language_id, license_scan, near_dedup, ngram_lm, piece_codec, quality_rules, token_files, url_filter
 from gapline.llm.frames import crc_remainder
 from gapline.llm.word_bpe import word_encoder
 from gapline.sources.scratch import scratch_path, written
@@ -107,6 +107,37 @@ def op10_url_filter(spark, sf_dir):
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def byte_ranks(path: str | None = None) -> bytes:
+    """A rank file; by default that of the public tokenizers."""
+    import public_tokenizers
+
+    with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        return file.read()
+
+
+def op11_byte_bpe(spark, sf_dir, ranks: str | None = None):
+    import public_tokenizers
+
+    vocabulary, pattern = byte_ranks(ranks), public_tokenizers.PATTERN
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = byte_bpe.decode(byte_bpe.encode(documents, vocabulary, pattern).drop("text"), vocabulary)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_collocations(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents").select("lang", "text")
+    return collocations.mine_phrases(documents)
+
+
+def op13_importance(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = importance.resample(documents, _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries():
     return {
         "op1_language_id": op1_language_id,
@@ -119,6 +150,9 @@ def queries():
         "op8_token_files": op8_token_files,
         "op9_html_text": op9_html_text,
         "op10_url_filter": op10_url_filter,
+        "op11_byte_bpe": op11_byte_bpe,
+        "op12_collocations": op12_collocations,
+        "op13_importance": op13_importance,
     }
 
 
@@ -192,9 +226,71 @@ _DECONTAMINATE_SQL = r"""
     FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# The last list_reduce is CRC-32 by bytes, with its table made by the eight shifts per entry.
+_IMPORTANCE_SQL = rf"""
+    WITH docs AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+         items AS (SELECT regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+         placed AS (SELECT doc_id, unnest(w) AS word FROM docs),
+         aimed AS (SELECT unnest(w) AS word FROM items),
+         steps AS (SELECT list_transform(range(256), lambda i: list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+                          lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END)) AS tab),
+         vocabulary AS (SELECT DISTINCT word FROM (SELECT word FROM placed UNION ALL SELECT word FROM aimed)),
+         bytes AS (SELECT word, list_transform(range(octet_length(encode(word))), lambda k:
+                          ('0x' || substr(hex(encode(word)), (2 * k + 1)::INT, 2))::BIGINT) AS b FROM vocabulary),
+         hashed AS (SELECT word, xor(list_reduce(list_concat([4294967295::BIGINT], b),
+                           lambda c, x: xor(tab[(xor(c, x) & 255) + 1], c >> 8)), 4294967295::BIGINT) % 10000 AS bucket
+                    FROM bytes, steps),
+         s AS (SELECT bucket, count(*) AS n FROM placed JOIN hashed USING (word) GROUP BY bucket),
+         t AS (SELECT bucket, count(*) AS n FROM aimed JOIN hashed USING (word) GROUP BY bucket),
+         all_s AS (SELECT coalesce(sum(n), 0)::DOUBLE AS a FROM s), all_t AS (SELECT coalesce(sum(n), 0)::DOUBLE AS b FROM t),
+         gains AS (SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1) * (a + 10000) / ((s.n + 1) * (b + 10000))))::BIGINT AS gain
+                   FROM s LEFT JOIN t USING (bucket), all_s, all_t),
+         weights AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM placed JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY doc_id),
+         scored AS (SELECT doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+                           (('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+                    FROM docs LEFT JOIN weights USING (doc_id)),
+         ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n
+                    FROM scored WHERE n_features >= 20)
+    SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+    FROM scored LEFT JOIN ranked USING (doc_id)"""
+
+
+def _nested(size: int) -> str:
+    """Phrases of ``size`` words as the words from place k on."""
+    return " || ' ' || ".join(f"w[k + {i}]" if i else "w[k]" for i in range(size))
+
+
+_PHRASES_SQL = rf"""
+    WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+         worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+         placed AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS k FROM worded),
+         totals AS (SELECT lang, count(*) AS n FROM placed GROUP BY lang),
+         grams AS (SELECT lang, size, phrase, count(*) AS f FROM (
+                       {" UNION ALL ".join(f"SELECT lang, {m} AS size, {_nested(m)} AS phrase FROM placed WHERE k + {m - 1} <= len(w)" for m in range(1, 5))})
+                   GROUP BY lang, size, phrase),
+         candidates AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE size > 1 AND f >= 30),
+         cuts AS (SELECT *, unnest(range(1, size)) AS k FROM candidates),
+         scored AS (SELECT c.lang, c.phrase, c.size, c.a, c.k, l.f AS l, r.f AS r, (2000000::HUGEINT * c.a // (l.f + r.f))::BIGINT AS score
+                    FROM cuts c JOIN grams l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.k], ' ')
+                    JOIN grams r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+         lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+         longer AS (SELECT lang, array_to_string(w[b : b + s - 1], ' ') AS phrase, max(a) AS a
+                    FROM candidates, (VALUES (1), (2), (3)) AS bs(b), (VALUES (2), (3)) AS ss(s)
+                    WHERE s < size AND b + s - 1 <= size GROUP BY ALL)
+    SELECT lang, row_number() OVER best AS rank, phrase, a, l, r, n, score
+    FROM (SELECT lowest.* FROM lowest LEFT JOIN longer ON longer.lang = lowest.lang AND longer.phrase = lowest.phrase
+          WHERE longer.a IS NULL OR 100 * longer.a < 80 * lowest.a) JOIN totals USING (lang)
+    WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+    QUALIFY rank <= 2000"""
+
+
 def oracle_sql():
     return {
         "op2_quality_rules": _QUALITY_SQL,
         "op5_decontaminate": _DECONTAMINATE_SQL,
         "op10_url_filter": _url_sql(),
+        "op12_collocations": _PHRASES_SQL,
+        "op13_importance": _IMPORTANCE_SQL,
     }
