@@ -271,10 +271,11 @@ _PHRASES_SQL = rf"""
                        {" UNION ALL ".join(f"SELECT lang, {m} AS size, {_nested(m)} AS phrase FROM placed WHERE k + {m - 1} <= len(w)" for m in range(1, 5))})
                    GROUP BY lang, size, phrase),
          candidates AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE size > 1 AND f >= 30),
+         keyed AS (SELECT lang || chr(9) || phrase AS key, f FROM grams),
          cuts AS (SELECT *, unnest(range(1, size)) AS k FROM candidates),
+         parts AS (SELECT *, lang || chr(9) || array_to_string(w[1:k], ' ') AS first, lang || chr(9) || array_to_string(w[k + 1:], ' ') AS rest FROM cuts),
          scored AS (SELECT c.lang, c.phrase, c.size, c.a, c.k, l.f AS l, r.f AS r, (2000000::HUGEINT * c.a // (l.f + r.f))::BIGINT AS score
-                    FROM cuts c JOIN grams l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.k], ' ')
-                    JOIN grams r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+                    FROM parts c JOIN keyed l ON l.key = c.first JOIN keyed r ON r.key = c.rest),
          lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
          longer AS (SELECT lang, array_to_string(w[b : b + s - 1], ' ') AS phrase, max(a) AS a
                     FROM candidates, (VALUES (1), (2), (3)) AS bs(b), (VALUES (2), (3)) AS ss(s)
