@@ -192,7 +192,7 @@ class ByteEncoder:
 
 # A part as a row: the text, the characters of each match, the ids of each (-1: a long match), end to end.
 _PARTS = pa.schema(
-    [("row", pa.int64()), ("k", pa.int64()), ("text", pa.large_string()), ("lengths", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("ids", pa.list_(pa.int32()))]
+    [("row", pa.int64()), ("k", pa.int64()), ("text", pa.string()), ("lengths", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("ids", pa.list_(pa.int32()))]
 )
 _CHUNKS = pa.schema([("row", pa.int64()), ("k", pa.int64()), ("text", pa.string())])
 _IDS = pa.schema([("row", pa.int64()), ("ids", pa.list_(pa.int32()))])

@@ -68,7 +68,7 @@ def bounded(texts: pa.Array, is_word: np.ndarray, limit: int = tx.SLICE_BYTES) -
                 cuts.append(at)
             at += limit
     every = np.sort(np.concatenate((offsets, np.array(cuts, np.int64))))
-    # Equal offsets are empty texts, and no cut lies at one.
+    # Empty texts, which hold no words, go to the row behind them.
     owners = np.searchsorted(offsets, every[:-1], side="right") - 1
     parts = pa.LargeStringArray.from_buffers(len(every) - 1, pa.py_buffer(every.astype(np.int64)), texts.buffers()[2])
     return parts, owners
@@ -172,42 +172,58 @@ _SHARDS = T.StructType(
         T.StructField("lang", T.StringType()),
         T.StructField("shard", T.LongType()),
         T.StructField("n_words", T.LongType()),
-        T.StructField("hashes", T.ArrayType(T.LongType())),
         T.StructField("words", T.ArrayType(T.StringType())),
-        T.StructField("lows", T.ArrayType(T.IntegerType())),
         T.StructField("counts", T.ArrayType(T.IntegerType())),
+        T.StructField("symbols", T.BinaryType()),
+    ]
+)
+_INDEX = T.StructType(
+    [
+        T.StructField("lang", T.StringType()),
+        T.StructField("shard", T.LongType()),
+        T.StructField("keys", T.ArrayType(T.LongType())),
         T.StructField("left", T.BinaryType()),
         T.StructField("right", T.BinaryType()),
+        T.StructField("own_keys", T.ArrayType(T.LongType())),
+        T.StructField("own_words", T.ArrayType(T.StringType())),
+        T.StructField("own_f", T.ArrayType(T.LongType())),
     ]
 )
 
 
-def build_shards(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_words: int = MAX_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """One row per shard: its words with their intervals, and both transforms."""
+def _packed(symbols: np.ndarray) -> bytes:
+    """Symbols, compressed; the length comes first."""
+    data = np.ascontiguousarray(symbols, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    flat = np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def build_shards(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
+    """One row per shard: its words, the most frequent first, their counts, and the sequence of their numbers."""
     narrow = docs.select(
         F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(UNKNOWN)).alias("lang"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
     )
-    names = _SHARDS.names
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, open_shards = TaskContext.get().partitionId() << 33, {}
 
         def row(lang: str, hashes: np.ndarray, spelled: dict[int, bytes]) -> pa.RecordBatch:
             nonlocal number
-            values, symbols, counts = np.unique(np.append(hashes, np.uint64(0)), return_inverse=True, return_counts=True)
-            symbols = symbols.astype(np.uint16 if len(values) <= 1 << 16 else np.uint32)
-            lows = np.cumsum(counts) - counts
-            words = [spelled[h].decode() for h in values[1:].tolist()]
-            row = [
-                lang, number, int(counts[1:].sum()), values[1:].view(np.int64), words, lows[1:], counts[1:],
-                transform(symbols, max_words).tobytes(),
-                # Reversed, and with the 0 at the end again.
-                transform(np.append(symbols[:-1][::-1], symbols[-1:]), max_words).tobytes(),
-            ]
+            values, at, counts = np.unique(hashes, return_inverse=True, return_counts=True)  # a piece's 0 comes first
+            order = np.argsort(-counts[1:], kind="stable")
+            place = np.zeros(len(values), np.uint32)
+            place[1 + order] = np.arange(1, len(values))
+            words = [spelled[h].decode() for h in values[1:][order].tolist()]
+            row = [lang, number, int(counts[1:].sum()), words, counts[1:][order], _packed(place[at])]
             number += 1
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=_SHARDS.names)
 
         for batch in batches:
             langs = batch.column(0)
@@ -223,75 +239,163 @@ def build_shards(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     return map_arrow(narrow, run, _SHARDS)
 
 
+def build_index(shards: DataFrame, frequent: DataFrame, depth: int) -> DataFrame:
+    """Both transforms of each shard, with nothing but the words of ``frequent`` (shard, at, key, f, owner) left.
+
+    Other words part pieces. The shard that owns a word spells it.
+    """
+    kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64())]
+
+    def run(blobs: pa.Table, found: pa.Table) -> pa.Table:
+        if not len(blobs) or not len(found):
+            return pa.table({f: pa.array([], t) for f, t in zip(_INDEX.names, kinds, strict=True)})
+        at, keys, f, owner = (found.column(c).to_numpy() for c in ("at", "key", "f", "owner"))
+        words = blobs.column("words")[0].values
+        place = np.zeros(len(words) + 1, np.int64)
+        place[1 + at] = np.arange(1, len(at) + 1)
+        symbols = np.append(place[_unpacked(blobs.column("symbols")[0].as_py())], 0)
+        symbols = symbols[np.append(True, (symbols[1:] > 0) | (symbols[:-1] > 0))]  # one 0 between pieces
+        shard = blobs.column("shard")[0].as_py()
+        own = np.flatnonzero(owner == shard)
+        row = [
+            blobs.column("lang")[0].as_py(), shard, keys, _packed(transform(symbols, depth)),
+            # Reversed, and with the 0 at the end again.
+            _packed(transform(np.append(symbols[:-1][::-1], 0), depth)), keys[own], words.take(pa.array(at[own])).to_pylist(), f[own],
+        ]
+        return pa.Table.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=_INDEX.names)
+
+    return shards.drop("counts", "n_words").groupBy("shard").cogroup(frequent.groupBy("shard")).applyInArrow(run, _INDEX)
+
+
+class Shard:
+    """An index row: both directions, and the words' keys by number."""
+
+    def __init__(self, left: bytes, right: bytes, keys: np.ndarray) -> None:
+        self.left, self.right = Index(_unpacked(left)), Index(_unpacked(right))
+        self.keys = np.append(np.int64(0), keys)
+
+    def pairs(self) -> tuple[np.ndarray, ...]:
+        """Keys of the first and second words of all two-word phrases, low, low to the right, count."""
+        counts = np.bincount(self.left.bwt, minlength=len(self.keys))
+        lows = np.cumsum(counts) - counts
+        return self.longer(np.array([self.keys[1:]]), lows[1:], lows[1:], counts[1:])
+
+    def longer(self, words: np.ndarray, lows: np.ndarray, lows_right: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Phrases longer by a word whose first words and last words are both among these (a row per word)."""
+        tail, n, low, low_right = self.left.extended(lows, counts, lows_right)
+        head, _, _, reached = self.right.extended(lows_right, counts, lows)
+        # The same phrase, reached from its last words and from its first ones, has the same low.
+        _, from_left, from_right = np.intersect1d(low, reached, assume_unique=True, return_indices=True)
+        tail, head = tail[from_left], head[from_right]
+        return np.vstack((words[:1, head], words[:, tail])), low[from_left], low_right[from_left], n[from_left]
+
+
+def pair_keys(words: np.ndarray) -> np.ndarray:
+    """A key per two-word phrase, from its words' keys."""
+    first, second = words.view(np.uint64)
+    return tx.mixed(tx.mixed(first) * tx.MULTIPLIER + second).view(np.int64)
+
+
 def _words(size: int) -> list[str]:
     return [f"w{k}" for k in range(1, size + 1)]
 
 
-def _frequent(found: DataFrame, size: int, min_count: int) -> DataFrame:
-    """Rows (shard and phrase) of phrases that all shards together have often enough, with the sum ``f``.
-
-    A phrase has a row per shard at most.
+def _frequent(found: DataFrame, keys: list[str], min_count: int) -> DataFrame:
+    """Rows (shard and phrase) of phrases that all shards together have often enough: with their sum ``f``
+    and the shard that is their ``owner``. A phrase has a row per shard at most.
     """
-    whole = Window.partitionBy("lang", *_words(size))
-    return found.withColumn("f", F.sum("n").over(whole)).where(F.col("f") >= min_count)
+    whole = Window.partitionBy(*keys)
+    return found.withColumns({"f": F.sum("n").over(whole), "owner": F.min("shard").over(whole)}).where(F.col("f") >= min_count)
+
+
+def _shard_of(row: pa.Table | pa.RecordBatch, k: int = 0) -> Shard:
+    keys = row.column("keys")[k]
+    return Shard(row.column("left")[k].as_py(), row.column("right")[k].as_py(), np.array(keys.as_py(), np.int64))
+
+
+def count_pairs(index: DataFrame) -> DataFrame:
+    """(key, shard, n) of all two-word phrases of each shard: most of what is ever sent, so no more than that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                words, _, _, n = _shard_of(batch, k).pairs()
+                shard = np.full(len(n), batch.column("shard")[k].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(pair_keys(words)), pa.array(shard), pa.array(n)], names=["key", "shard", "n"])
+
+    return index.select("shard", "keys", "left", "right").mapInArrow(run, "key long, shard long, n long")
+
+
+def _phrase_schema(size: int) -> T.StructType:
+    fields = [T.StructField("lang", T.StringType())] + [T.StructField(c, T.LongType()) for c in ("shard", *_words(size), "low", "low_right", "n")]
+    return T.StructType([*fields, T.StructField("f", T.LongType())])
 
 
-def longer_phrases(shards: DataFrame, frequent: DataFrame, size: int) -> DataFrame:
-    """Phrases of ``size + 1`` words per shard, from the frequent ones of ``size`` words."""
-    longer = _words(size + 1)
-    names = ["lang", "shard", *longer, "low", "low_right", "n"]
-    fields = [T.StructField("lang", T.StringType()), T.StructField("shard", T.LongType())]
-    fields += [T.StructField(w, T.LongType()) for w in longer] + [T.StructField(c, T.IntegerType()) for c in names[-3:]]
+def _phrase_rows(blobs: pa.Table, words: np.ndarray, *numbers: np.ndarray) -> pa.Table:
+    some = words.shape[1]
+    lang, shard = blobs.column("lang")[0].as_py(), blobs.column("shard")[0].as_py()
+    columns = [pa.array([lang] * some, pa.string()), pa.array(np.full(some, shard)), *map(pa.array, words), *map(pa.array, numbers)]
+    return pa.Table.from_arrays(columns, names=_phrase_schema(len(words)).names)
+
+
+def frequent_pairs(index: DataFrame, found: DataFrame) -> DataFrame:
+    """Two-word phrases per shard, with their intervals, of the keys in ``found`` (shard, key, f)."""
+
+    def run(blobs: pa.Table, replies: pa.Table) -> pa.Table:
+        if not len(blobs) or not len(replies):
+            return no_phrases(2)
+        words, low, low_right, n = _shard_of(blobs).pairs()
+        _, own, at = np.intersect1d(pair_keys(words), replies.column("key").to_numpy(), return_indices=True)
+        return _phrase_rows(blobs, words[:, own], low[own], low_right[own], n[own], replies.column("f").to_numpy()[at])
+
+    blobs = index.select("lang", "shard", "keys", "left", "right").groupBy("shard")
+    return blobs.cogroup(found.select("shard", "key", "f").groupBy("shard")).applyInArrow(run, _phrase_schema(2))
+
+
+def no_phrases(size: int) -> pa.Table:
+    """No phrases."""
+    kinds = {"lang": pa.string()}
+    return pa.table({c: pa.array([], kinds.get(c, pa.int64())) for c in _phrase_schema(size).names})
+
+
+def longer_phrases(index: DataFrame, frequent: DataFrame, size: int) -> DataFrame:
+    """Phrases of ``size + 1`` words per shard, from the frequent ones of ``size`` words; ``f`` is null."""
 
     def run(blobs: pa.Table, phrases: pa.Table) -> pa.Table:
         if not len(blobs) or not len(phrases):
-            return pa.table({f: pa.array([], t) for f, t in zip(names, kinds, strict=True)})
-        kind = np.uint16 if blobs.column("n_symbols")[0].as_py() < 1 << 16 else np.uint32
-        left, right = (Index(np.frombuffer(blobs.column(c)[0].as_py(), kind)) for c in ("left", "right"))
-        lows, lows_right, n = (phrases.column(c).to_numpy().astype(np.int64) for c in ("low", "low_right", "n"))
-        tail, counts, low, low_right = left.extended(lows, n, lows_right)
-        head, _, _, reached = right.extended(lows_right, n, lows)
-        # The same phrase, reached from its last words and from its first ones, has the same low.
-        _, from_left, from_right = np.intersect1d(low, reached, assume_unique=True, return_indices=True)
-        tail, head = tail[from_left], head[from_right]
-        words = [phrases.column("w1").to_numpy()[head], *(phrases.column(w).to_numpy()[tail] for w in _words(size))]
-        some = len(tail)
-        columns = [
-            pa.array([blobs.column("lang")[0].as_py()] * some, pa.string()), pa.array(np.full(some, blobs.column("shard")[0].as_py())),
-            *map(pa.array, words), *(pa.array(x[from_left].astype(np.int32)) for x in (low, low_right, counts)),
-        ]
-        return pa.Table.from_arrays(columns, names=names)
+            return no_phrases(size + 1)
+        words = np.vstack([phrases.column(w).to_numpy() for w in _words(size)])
+        words, *numbers = _shard_of(blobs).longer(words, *(phrases.column(c).to_numpy() for c in ("low", "low_right", "n")))
+        return _phrase_rows(blobs, words, *numbers, np.zeros(words.shape[1], np.int64))
 
-    kinds = [pa.string(), pa.int64(), *[pa.int64()] * len(longer), *[pa.int32()] * 3]
-    blobs = shards.select("lang", "shard", F.size("hashes").alias("n_symbols"), "left", "right")
-    phrases = frequent.select("shard", *_words(size), "low", "low_right", "n")
-    return blobs.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(run, T.StructType(fields))
+    blobs = index.select("lang", "shard", "keys", "left", "right").groupBy("shard")
+    phrases = frequent.select("shard", *_words(size), "low", "low_right", "n").groupBy("shard")
+    return blobs.cogroup(phrases).applyInArrow(run, _phrase_schema(size + 1)).drop("f")
 
 
 def count_phrases(
     docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, shard_words: int = SHARD_WORDS
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lang, ws, f) of all phrases of up to ``max_words`` words that occur ``min_count`` times or more
-    (ws: hashes of the words), (lang, w1, word) of their words, and (lang, n) of all word occurrences."""
-    shards = written(build_shards(docs, lang_col, text_col, max_words, shard_words), "shards")
+    (ws: keys of the words), (lang, w1, word) of their words, and (lang, n) of all word occurrences."""
+    shards = written(build_shards(docs, lang_col, text_col, shard_words), "shards")
     totals = shards.groupBy("lang").agg(F.sum("n_words").alias("n"))
-    each = F.explode(F.arrays_zip("hashes", "words", "lows", "counts")).alias("x")
-    single = shards.select("lang", "shard", each).select(
-        "lang", "shard", F.col("x.hashes").alias("w1"), F.col("x.words").alias("word"), F.col("x.lows").alias("low"),
-        F.col("x.lows").alias("low_right"), F.col("x.counts").alias("n"),
-    )
-    frequent = written(_frequent(single, 1, min_count), "phrases-1")
-    words = frequent.groupBy("lang", "w1").agg(F.min("word").alias("word"))
-    levels = []
-    for size in range(1, max_words + 1):
-        if size > 1:
-            frequent = written(_frequent(longer_phrases(shards, frequent, size - 1), size, min_count), f"phrases-{size}")
-        ws = F.array(*_words(size)).alias("ws")
-        levels.append(frequent.groupBy("lang", *_words(size)).agg(F.max("f").alias("f")).select("lang", ws, "f"))
-    grams = levels[0]
-    for level in levels[1:]:
-        grams = grams.unionByName(level)
-    return grams, words, totals
+    each = shards.select("lang", "shard", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x"))
+    single = each.select(F.xxhash64("lang", "x.words").alias("key"), "shard", "at", F.col("x.counts").alias("n"))
+    index = written(build_index(shards, written(_frequent(single, ["key"], min_count), "words"), max_words), "index")
+    own = index.select("lang", F.explode(F.arrays_zip("own_keys", "own_words", "own_f")).alias("x"))
+    own = own.select("lang", F.col("x.own_keys").alias("w1"), F.col("x.own_words").alias("word"), F.col("x.own_f").alias("f"))
+    grams, frequent = own.select("lang", F.array("w1").alias("ws"), "f"), None
+    for size in range(2, max_words + 1):
+        if size == 2:
+            found = written(_frequent(count_pairs(index), ["key"], min_count), "pairs")
+            frequent = frequent_pairs(index, found)
+        else:
+            frequent = _frequent(longer_phrases(index, frequent, size - 1), ["lang", *_words(size)], min_count)
+        frequent = written(frequent, f"phrases-{size}")
+        level = frequent.groupBy("lang", *_words(size)).agg(F.max("f").alias("f"))
+        grams = grams.unionByName(level.select("lang", F.array(*_words(size)).alias("ws"), "f"))
+    return grams, own.drop("f"), totals
 
 
 def _part(first: Column, length: Column) -> Column:
