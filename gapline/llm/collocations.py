@@ -338,18 +338,24 @@ def _phrase_rows(blobs: pa.Table, words: np.ndarray, *numbers: np.ndarray) -> pa
     return pa.Table.from_arrays(columns, names=_phrase_schema(len(words)).names)
 
 
-def frequent_pairs(index: DataFrame, found: DataFrame) -> DataFrame:
-    """Two-word phrases per shard, with their intervals, of the keys in ``found`` (shard, key, f)."""
+def _from_pairs(index: DataFrame, found: DataFrame, grow: bool) -> DataFrame:
+    """The two-word phrases of the keys in ``found`` (shard, key, f), or what they grow to (``f`` is then 0)."""
 
     def run(blobs: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(blobs) or not len(replies):
-            return no_phrases(2)
-        words, low, low_right, n = _shard_of(blobs).pairs()
+            return no_phrases(3 if grow else 2)
+        shard = _shard_of(blobs)
+        words, *numbers = shard.pairs()
         _, own, at = np.intersect1d(pair_keys(words), replies.column("key").to_numpy(), return_indices=True)
-        return _phrase_rows(blobs, words[:, own], low[own], low_right[own], n[own], replies.column("f").to_numpy()[at])
+        words, numbers = words[:, own], [x[own] for x in numbers]
+        if grow:
+            words, *numbers = shard.longer(words, *numbers)
+        f = np.zeros(words.shape[1], np.int64) if grow else replies.column("f").to_numpy()[at]
+        return _phrase_rows(blobs, words, *numbers, f)
 
     blobs = index.select("lang", "shard", "keys", "left", "right").groupBy("shard")
-    return blobs.cogroup(found.select("shard", "key", "f").groupBy("shard")).applyInArrow(run, _phrase_schema(2))
+    replies = found.select("shard", "key", *([] if grow else ["f"])).groupBy("shard")
+    return blobs.cogroup(replies).applyInArrow(run, _phrase_schema(3 if grow else 2))
 
 
 def no_phrases(size: int) -> pa.Table:
@@ -359,7 +365,7 @@ def no_phrases(size: int) -> pa.Table:
 
 
 def longer_phrases(index: DataFrame, frequent: DataFrame, size: int) -> DataFrame:
-    """Phrases of ``size + 1`` words per shard, from the frequent ones of ``size`` words; ``f`` is null."""
+    """Phrases of ``size + 1`` words per shard, from the frequent ones of ``size`` words; ``f`` is 0."""
 
     def run(blobs: pa.Table, phrases: pa.Table) -> pa.Table:
         if not len(blobs) or not len(phrases):
@@ -370,7 +376,7 @@ def longer_phrases(index: DataFrame, frequent: DataFrame, size: int) -> DataFram
 
     blobs = index.select("lang", "shard", "keys", "left", "right").groupBy("shard")
     phrases = frequent.select("shard", *_words(size), "low", "low_right", "n").groupBy("shard")
-    return blobs.cogroup(phrases).applyInArrow(run, _phrase_schema(size + 1)).drop("f")
+    return blobs.cogroup(phrases).applyInArrow(run, _phrase_schema(size + 1))
 
 
 def count_phrases(
@@ -387,14 +393,17 @@ def count_phrases(
     own = own.select("lang", F.col("x.own_keys").alias("w1"), F.col("x.own_words").alias("word"), F.col("x.own_f").alias("f"))
     grams, frequent = own.select("lang", F.array("w1").alias("ws"), "f"), None
     for size in range(2, max_words + 1):
+        words = _words(size)
         if size == 2:
-            found = written(_frequent(count_pairs(index), ["key"], min_count), "pairs")
-            frequent = frequent_pairs(index, found)
+            # All a shard needs to know of a pair is its key; the owner spells it.
+            pairs = _frequent(count_pairs(index), ["key"], min_count)
+            pairs = written(pairs.select("key", "shard", F.when(F.col("owner") == F.col("shard"), F.col("f")).alias("f")), "pairs")
+            level = _from_pairs(index, pairs.where("f is not null"), grow=False)
         else:
-            frequent = _frequent(longer_phrases(index, frequent, size - 1), ["lang", *_words(size)], min_count)
-        frequent = written(frequent, f"phrases-{size}")
-        level = frequent.groupBy("lang", *_words(size)).agg(F.max("f").alias("f"))
-        grams = grams.unionByName(level.select("lang", F.array(*_words(size)).alias("ws"), "f"))
+            longer = _from_pairs(index, pairs, grow=True) if size == 3 else longer_phrases(index, frequent, size - 1)
+            frequent = written(_frequent(longer.drop("f"), ["lang", *words], min_count), f"phrases-{size}")
+            level = frequent.where(F.col("owner") == F.col("shard"))
+        grams = grams.unionByName(level.select("lang", F.array(*words).alias("ws"), "f"))
     return grams, own.drop("f"), totals
 
 
