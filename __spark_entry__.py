@@ -379,6 +379,55 @@ def stream_round_features(spark, sf_dir):
     return gl.index_closed_rounds(_streamed(spark, sf_dir), USER, GAP, LABELS)
 
 
+def _store(spark):
+    path = scratch_path(spark, "store")
+    return gl.open_store(spark, path, USER, TIME, GAP, LABELS, user_type="bigint")
+
+
+def _as_ntz(features: DataFrame) -> DataFrame:
+    times = ["round_start", "round_end", "prev_round_end"]
+    return features.withColumns({c: F.col(c).cast("timestamp_ntz") for c in times})
+
+
+def _in_parts(events: DataFrame, n: int) -> list[DataFrame]:
+    """The log in ``n`` spans of equal length."""
+    first, last = events.agg(F.min(TIME), F.max(TIME)).first()
+    cuts = [F.lit(first + k * (last - first) / n) for k in range(1, n)]
+    time = F.col(TIME)
+    return [events.where((time >= a if a is not None else F.lit(True)) & (time < b if b is not None else F.lit(True))) for a, b in zip([None, *cuts], [*cuts, None])]
+
+
+def stream_numbered_rounds(spark, sf_dir):
+    """Three runs over one checkpoint; each reads what has arrived and one row per user of what was there."""
+    events = _table(spark, sf_dir, "events").select("event_id", USER, TIME, "event_type")
+    store, source, state = _store(spark), scratch_path(spark, "arriving"), scratch_path(spark, "stream-state")
+    for part in _in_parts(events, 3):
+        part.write.mode("append").parquet(source)
+        store.stream(source, events.schema, state).awaitTermination()
+    last = events.agg(F.max(TIME)).first()[0]
+    return _as_ntz(store.rounds(F.lit(last).cast("timestamp") - F.expr("INTERVAL 10 MINUTES")))
+
+
+def stream_repaired_rounds(spark, sf_dir):
+    """Views arrive after everything else. What comes too late is kept, and the repair puts it where it belongs."""
+    events = _table(spark, sf_dir, "events").select("event_id", USER, TIME, "event_type")
+    store, source, state = _store(spark), scratch_path(spark, "arriving"), scratch_path(spark, "stream-state")
+    views = F.col("event_type") == "view"
+    for part in (events.where(~views), events.where(views)):
+        part.write.mode("append").parquet(source)
+        store.stream(source, events.schema, state).awaitTermination()
+    store.repair()
+    return _as_ntz(store.rounds())
+
+
+def etl_in_days(spark, sf_dir):
+    """The log in spans of a few days, each added to the table the ones before have made."""
+    store = _store(spark)
+    for number, part in enumerate(_in_parts(_table(spark, sf_dir, "events"), 5)):
+        store.add(part, number)
+    return _as_ntz(store.rounds())
+
+
 def _rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
@@ -445,6 +494,9 @@ _QUERIES = [
     stream_late_events,
     stream_closed_rounds,
     stream_round_features,
+    stream_numbered_rounds,
+    stream_repaired_rounds,
+    etl_in_days,
     feature_drift,
     model_degradation,
     retrain_decision,
@@ -673,6 +725,11 @@ def _engine_sql() -> dict[str, str]:
             SELECT user_id, event_count, {labels}
             FROM ({_features_sql("(SELECT * FROM events WHERE event_type <> 'view')")}) AS f""",
         "stream_closed_rounds": _closed_sql(),
+        "stream_repaired_rounds": features,
+        "etl_in_days": features,
+        "stream_numbered_rounds": f"""
+            SELECT * FROM ({features}) AS f
+            WHERE round_end + INTERVAL {int((GAP + 10) * 60)} SECOND <= (SELECT max(ts) FROM events)""",
         "stream_round_features": f"""
             SELECT * FROM ({features}) AS f
             WHERE round_end + INTERVAL {int((GAP + 10) * 60)} SECOND <= (SELECT max(ts) FROM events)""",

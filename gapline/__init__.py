@@ -21,6 +21,7 @@ from gapline.operators.sessions import session_rounds
 from gapline.plans.demo import add_target, run_demo
 from gapline.plans.etl import run_etl
 from gapline.plans.forecasting import forecast
+from gapline.plans.incremental import open_store
 from gapline.plans.monitoring import feature_drift, model_degradation, retrain_decision
 from gapline.plans.training import (
     best_iteration,
@@ -52,6 +53,7 @@ __all__ = [
     "latest_rounds",
     "make_session",
     "model_degradation",
+    "open_store",
     "parse_time",
     "read_features",
     "read_recordings",

@@ -90,7 +90,7 @@ def compute_round_features(
     )
     gap = 0 if gap_minutes is None else gap_micros(gap_minutes)
     rounds = _with_prev_end(rounds, user_col, round_id_col, gap)
-    return _finish(rounds, user_col, round_id_col, [prefix + v for v in labels])
+    return finish_features(rounds, user_col, round_id_col, [prefix + v for v in labels])
 
 
 def round_features(
@@ -176,12 +176,13 @@ def features_from_cells(
     )
     if untimed:
         rounds = _unfold_untimed(rounds, list(names))
-    rounds = rounds.withColumn("round_id", round_id(F.col("user"), F.col("round_index")))
+    rounds = rounds.withColumn("round_id", round_id(F.col("user"), F.col("round_index"))).drop("round_index")
     rounds = rounds.withColumnsRenamed({"user": spec.user_col} | names)
-    return _finish(rounds, spec.user_col, "round_id", list(counts))
+    return finish_features(rounds, spec.user_col, "round_id", list(counts))
 
 
-def _finish(rounds: DataFrame, user_col: str, round_id_col: str, labels: list[str]) -> DataFrame:
+def finish_features(rounds: DataFrame, user_col: str, round_id_col: str, labels: list[str]) -> DataFrame:
+    """The feature table's columns in their order, with duration and distance added."""
     duration = elapsed_seconds(rounds, "round_end", "round_start")
     gap = elapsed_seconds(rounds, "round_start", "prev_round_end")
     return rounds.select(

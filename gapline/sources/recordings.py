@@ -54,6 +54,15 @@ def read_recordings(
     return blank_to_null(whole_lines(reader.csv(source)))
 
 
+def recordings_stream(
+    spark: SparkSession, source: str, schema: T.StructType | str, fmt: str = "parquet", options: dict[str, str] | None = None
+) -> DataFrame:
+    """Recordings as they arrive under ``source``, by the same rules; each file is read once."""
+    given = (CSV_OPTIONS if fmt == "csv" else {}) | (options or {})
+    events = spark.readStream.schema(schema).options(**given).format(fmt).load(source)
+    return blank_to_null(whole_lines(events)) if fmt == "csv" else events
+
+
 def whole_lines(df: DataFrame) -> DataFrame:
     """The rows, with all columns read: a scan of some would not see damage in the others."""
     return df.where(F.size(F.array(*[col(c).isNull() for c in df.columns])) > 0)

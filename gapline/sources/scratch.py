@@ -72,6 +72,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(where)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in the folder at ``path``; none if there is no such folder."""
+    system, where = _at(spark, path)
+    return [entry.getPath().getName() for entry in system.listStatus(where)] if system.exists(where) else []
+
+
 def _at(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where

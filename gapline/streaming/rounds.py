@@ -19,7 +19,7 @@ from gapline.schema import (
     reject_names,
     require_columns,
 )
-from gapline.sources.recordings import CSV_OPTIONS, blank_to_null, whole_lines
+from gapline.sources.recordings import recordings_stream
 
 POLL_INTERVAL = "60 seconds"
 # Merges the events of a round on the mapper, before the shuffle by user.
@@ -97,10 +97,7 @@ def stream_rounds(
     give ``maxFilesPerTrigger`` to take a long backlog in bounded steps. ``out``
     and ``checkpoint`` must be in storage that all executors share.
     """
-    given = (CSV_OPTIONS if fmt == "csv" else {}) | (options or {})
-    events = spark.readStream.schema(schema).options(**given).format(fmt).load(source)
-    if fmt == "csv":
-        events = blank_to_null(whole_lines(events))
+    events = recordings_stream(spark, source, schema, fmt, options)
     rounds = closed_rounds(events, user_col, ts_col, gap_minutes, delay_minutes, labels)
     writer = (
         rounds.writeStream.outputMode("append")

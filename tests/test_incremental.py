@@ -1,0 +1,166 @@
+import random
+from datetime import datetime, timedelta
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+import gapline as gl
+from gapline.plans import incremental
+
+T0 = datetime(2024, 1, 1, 9)
+SCHEMA = "user_id string, recorded_at timestamp, event_type string"
+LABELS = ["a", "round_index"]
+
+
+def at(minutes):
+    return T0 + timedelta(minutes=minutes)
+
+
+def log(seed, n=120, users=4):
+    rng = random.Random(seed)
+    return [(f"u{rng.randrange(users)}", at(rng.randrange(2500)), rng.choice(["a", "round_index", "other", None])) for _ in range(n)]
+
+
+def whole(spark, rows, gap=30):
+    events = spark.createDataFrame(rows, SCHEMA).where("user_id is not null and recorded_at is not null")
+    return gl.round_features(events, gap_minutes=gap, labels=LABELS)
+
+
+def same(got, want):
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    return gl.open_store(spark, str(tmp_path / "store"), labels=LABELS)
+
+
+def add(store, rows, batch):
+    return store.add(store.spark.createDataFrame(rows, SCHEMA), batch)
+
+
+def test_batches_in_order_make_the_whole_table(spark, store, monkeypatch):
+    monkeypatch.setattr(incremental, "SNAPSHOT_EVERY", 2)
+    rows = sorted(log(1), key=lambda r: r[1])
+    for batch, first in enumerate(range(0, len(rows), 30)):
+        report = add(store, rows[first : first + 30], 3 * batch)
+        assert (report.events, report.late) == (30, 0)
+        same(store.rounds(), whole(spark, rows[: first + 30]))
+    assert store.batches() == [0, 3, 6, 9] and store._entries("snapshots") == [6, 18]
+    assert store.repair() == 0
+    end = F.lit(at(2000))
+    same(store.rounds(end), whole(spark, rows).where(F.col("round_end") <= F.lit(at(1970))))
+
+
+@pytest.mark.parametrize("seed, gap", [(2, 30), (3, 0.5)])
+def test_late_events_are_kept_and_repaired(spark, tmp_path, seed, gap):
+    store = gl.open_store(spark, str(tmp_path / "store"), gap_minutes=gap, labels=LABELS)
+    rows = log(seed)
+    odd = [(None, at(1), "a"), ("u1", None, "a"), (None, None, None)]
+    late, seen = 0, []
+    for batch in range(3):
+        part = rows[40 * batch : 40 * batch + 40]
+        report = add(store, part + odd, batch)
+        assert (report.events + report.late, report.no_user, report.no_time) == (40, 2, 1)
+        late += report.late
+        seen += part
+        if batch == 1:
+            assert late == store.repair() and store.repair() == 0
+            same(store.rounds(), whole(spark, seen, gap))
+            late = 0
+    assert late > 0 and late == store.repair()
+    same(store.rounds(), whole(spark, rows, gap))
+    with pytest.raises(ValueError, match="was repaired"):
+        add(store, rows[:1], 2)
+    add(store, [("u1", at(9000), "a")], 3)
+    same(store.rounds(), whole(spark, [*rows, ("u1", at(9000), "a")], gap))
+
+
+def test_one_late_event_merges_two_rounds_and_moves_numbers(spark, store):
+    add(store, [("u", at(0), "a"), ("u", at(50), "a"), ("u", at(200), "a"), ("v", at(0), None)], 0)
+    report = add(store, [("u", at(25), "a"), ("u", at(201), "a")], 1)
+    assert (report.events, report.late) == (1, 1)
+    assert [(r.user, r.event_count, r.part) for r in store.ledger().collect()] == [("u", 1, 1)]
+    before = [(r.round_id, r.event_count) for r in store.rounds().orderBy("round_id").collect()]
+    assert before == [("u_1", 1), ("u_2", 1), ("u_3", 2), ("v_1", 1)]
+    assert store.repair() == 1
+    after = [(r.round_id, r.event_count, r.gap_since_prev_seconds) for r in store.rounds().orderBy("round_id").collect()]
+    assert after == [("u_1", 3, -1.0), ("u_2", 2, 150 * 60.0), ("v_1", 1, -1.0)]
+
+
+def test_a_batch_run_again_replaces_itself(spark, store):
+    rows = sorted(log(5), key=lambda r: r[1])
+    add(store, rows[:60], 0)
+    add(store, rows[60:90], 1)  # as far as the stream got
+    add(store, rows[60:], 1)
+    same(store.rounds(), whole(spark, rows))
+    with pytest.raises(ValueError, match="checkpoint"):
+        add(store, rows[:1], 0)
+
+
+def test_an_unfinished_batch_does_not_count(spark, store, monkeypatch):
+    rows = sorted(log(6), key=lambda r: r[1])
+    add(store, rows[:60], 0)
+    write = incremental.RoundStore._write
+
+    def fails(self, rounds, table, part):
+        if table == "tails":
+            raise OSError("lost")
+        write(self, rounds, table, part)
+
+    monkeypatch.setattr(incremental.RoundStore, "_write", fails)
+    with pytest.raises(OSError):
+        add(store, [*rows[60:], ("u0", at(-500), "a")], 1)
+    same(store.rounds(), whole(spark, rows[:60]))
+    assert store.ledger().isEmpty() and store.repair() == 0
+    monkeypatch.undo()
+    add(store, rows[60:], 1)
+    same(store.rounds(), whole(spark, rows))
+
+
+def files(path):
+    return {str(p): p.stat().st_mtime_ns for p in Path(path).rglob("*.parquet")}
+
+
+def test_a_batch_reads_the_tails_and_touches_no_file(spark, store, monkeypatch):
+    rows = sorted(log(7), key=lambda r: r[1])
+    add(store, rows[:80], 0)
+    before, read = files(store.path), []
+    merged = incremental.RoundStore.merged
+    monkeypatch.setattr(incremental.RoundStore, "merged", lambda self, df: read.extend(df.inputFiles()) or merged(self, df))
+    add(store, rows[80:], 1)
+    assert read and not any("/rounds/" in f or "/late/" in f for f in read)
+    after = files(store.path)
+    assert {f: after[f] for f in before} == before and len(after) > len(before)
+
+
+def test_settings_must_agree(spark, store):
+    gl.open_store(spark, store.path, labels=LABELS)
+    with pytest.raises(ValueError, match="was made with"):
+        gl.open_store(spark, store.path, labels=["a"])
+    with pytest.raises(ValueError, match="missing columns"):
+        store.add(spark.createDataFrame([], "user_id string"), 0)
+    with pytest.raises(ValueError, match="collide"):
+        gl.open_store(spark, store.path + "2", labels=["event_count"])
+
+
+def test_empty_store_and_empty_batches(spark, store):
+    assert store.rounds().isEmpty() and store.repair() == 0
+    assert add(store, [], 0) == incremental.BatchReport(0, 0, 0, 0)
+    assert store.rounds().isEmpty()
+    add(store, [("u", at(0), "a")], 1)
+    assert [r.round_id for r in store.rounds().collect()] == ["u_1"]
+
+
+def test_stream_fills_the_store(spark, tmp_path):
+    rows = sorted(log(8), key=lambda r: r[1])
+    store = gl.open_store(spark, str(tmp_path / "store"), labels=LABELS)
+    source = str(tmp_path / "in")
+    for part in (rows[:50], rows[50:]):
+        spark.createDataFrame(part, SCHEMA).write.mode("append").parquet(source)
+        store.stream(source, SCHEMA, str(tmp_path / "state"), options={"maxFilesPerTrigger": "4"}).awaitTermination()
+    late = store.ledger().agg(F.sum("event_count")).first()[0]
+    assert len(store.batches()) > 2 and store.repair() == (late or 0)
+    same(store.rounds(), whole(spark, rows))
