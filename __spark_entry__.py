@@ -275,6 +275,7 @@ def demo_run(spark, sf_dir):
 
 
 # A tree of depth 1 on a feature of 0 and 1 predicts the mean target of its group, which SQL can state.
+BOOSTED = 9
 STUMP = {"max_iter": 1, "max_depth": 1, "min_rows": 1, "n_splits": 5, "parallelism": 5}
 
 
@@ -299,15 +300,17 @@ def train_cv_stump(spark, sf_dir):
     return spark.createDataFrame(rows, "fold int, mae double, cv_mae_mean double")
 
 
-def _flat(forecasts):
+def _flat(forecasts, model_id):
+    """One row per prediction. Whether the id is the trained model's is all SQL can say of it."""
+    own = (F.col("metadata")["model_id"] == model_id).alias("own_model")
     return forecasts.select(
-        "entity_id", "horizon", F.explode("predictions").alias("key", "values"), F.col("metadata")["model_id"].alias("model_id")
-    ).select("entity_id", "horizon", "key", F.round(F.col("values")[0], 6).alias("prediction"), "model_id")
+        "entity_id", "horizon", F.explode("predictions").alias("key", "values"), own
+    ).select("entity_id", "horizon", "key", F.round(F.col("values")[0], 6).alias("prediction"), "own_model")
 
 
 def forecast_stump(spark, sf_dir):
-    table, model, _ = _stump(spark, sf_dir)
-    return _flat(gl.forecast(table, model, horizon=3, user_col=USER))
+    table, model, scores = _stump(spark, sf_dir)
+    return _flat(gl.forecast(table, model, horizon=3, user_col=USER), scores["model_id"])
 
 
 def demo_stump(spark, sf_dir):
@@ -317,8 +320,8 @@ def demo_stump(spark, sf_dir):
     kept = [c for c in gl.schema.FEATURE_COLUMNS if c != "event_count"] + LABELS + [USER]
     training = STUMP | {"features_exclude": kept, "max_depth": 1}
     for source in (f"{sf_dir}/events.parquet", f"{sf_dir}/no-such-table.parquet"):
-        _, forecasts = gl.run_demo(spark, source, work, etl=etl, training=training)
-    return forecasts.select("entity_id", "horizon", F.size("predictions").alias("predictions"), F.col("metadata")["model_id"].alias("model_id"))
+        scores, forecasts = gl.run_demo(spark, source, work, etl=etl, training=training)
+    return _flat(forecasts, scores["model_id"])
 
 
 def early_stop_stump(spark, sf_dir):
@@ -332,6 +335,25 @@ def early_stop_stump(spark, sf_dir):
     return spark.createDataFrame(rows, "fold int, mae double, best_iteration int, trees int")
 
 
+def early_stop_two_features(spark, sf_dir):
+    """Stumps on two features of 0 and 1, of which the first tree takes the one that matters most."""
+    table, model = written(_two_feature_table(spark, sf_dir), "features"), scratch_path(spark, "model")
+    training = STUMP | {"max_iter": BOOSTED, "patience": BOOSTED, "first_stage": BOOSTED}
+    scores = gl.train_baseline(table, "target", model, _stump_excludes(table, "busy", "morning"), USER, **training)
+    trees = PipelineModel.load(model).stages[1].getNumTrees
+    rows = [(k, round(m, 6), b, trees) for k, (m, b) in enumerate(zip(scores["cv_maes"], scores["best_iterations"]))]
+    return spark.createDataFrame(rows, "fold int, mae double, best_iteration int, trees int")
+
+
+def _two_feature_table(spark, sf_dir):
+    morning = F.hour("round_start") < 12
+    busy = F.col("event_count") > 1
+    return _features(spark, sf_dir).select(
+        "*", busy.cast("int").alias("busy"), morning.cast("int").alias("morning"),
+        (F.when(busy, 10).otherwise(0) + F.when(morning, 1).otherwise(0) + F.pmod("event_count", F.lit(3)) * 0.25).cast("double").alias("target"),
+    )
+
+
 # --- streaming and monitoring ---------------------------------------------
 
 
@@ -490,6 +512,7 @@ _QUERIES = [
     forecast_stump,
     demo_stump,
     early_stop_stump,
+    early_stop_two_features,
     rejected_lines,
     stream_late_events,
     stream_closed_rounds,
@@ -709,12 +732,31 @@ def _engine_sql() -> dict[str, str]:
                             WHERE fold = 4 AND role = 'train' GROUP BY busy),
                  latest AS (SELECT * FROM ({features}) AS f
                             QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round_start DESC, round_id DESC) = 1)
-            SELECT CAST(user_id AS VARCHAR) AS entity_id, 3 AS horizon, '0.5' AS key, round(mean, 6) AS prediction,
-                   'baseline:spark' AS model_id
+            SELECT CAST(user_id AS VARCHAR) AS entity_id, 3 AS horizon, '0.5' AS key, round(mean, 6) AS prediction, true AS own_model
             FROM latest JOIN groups ON busy = (event_count > 1)""",
-        "demo_stump": """
-            SELECT DISTINCT CAST(user_id AS VARCHAR) AS entity_id, 1 AS horizon, 1 AS predictions, 'baseline:spark' AS model_id
-            FROM events WHERE user_id IS NOT NULL""",
+        "demo_stump": f"""
+            WITH train AS (SELECT event_count AS x, event_count * CAST(0.1 AS DOUBLE) AS y FROM ({_folds_sql()}) AS f WHERE fold = 4 AND role = 'train'),
+                 groups AS (SELECT x, count(*) AS n, sum(y) AS s FROM train GROUP BY x),
+                 sides AS (SELECT x, sum(n) OVER upto AS n, sum(s) OVER upto AS s, sum(n) OVER () AS all_n, sum(s) OVER () AS all_s
+                           FROM groups WINDOW upto AS (ORDER BY x)),
+                 best AS (SELECT x AS cut, s / n AS low, (all_s - s) / (all_n - n) AS high FROM sides WHERE n < all_n
+                          ORDER BY s * s / n + (all_s - s) * (all_s - s) / (all_n - n) DESC LIMIT 1),
+                 latest AS (SELECT * FROM ({features}) AS f
+                            QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round_start DESC, round_id DESC) = 1)
+            SELECT CAST(user_id AS VARCHAR) AS entity_id, 1 AS horizon, '0.5' AS key,
+                   round(CASE WHEN event_count <= cut THEN low ELSE high END, 6) AS prediction, true AS own_model
+            FROM latest, best""",
+        "early_stop_two_features": f"""
+            WITH rows AS (SELECT fold, role, event_count > 1 AS busy, hour(round_start) < 12 AS morning,
+                                 CASE WHEN event_count > 1 THEN 10 ELSE 0 END + CASE WHEN hour(round_start) < 12 THEN 1 ELSE 0 END
+                                 + event_count % 3 * CAST(0.25 AS DOUBLE) AS y FROM ({_folds_sql()}) AS f),
+                 firsts AS (SELECT fold, busy, avg(y) AS m FROM rows WHERE role = 'train' GROUP BY fold, busy),
+                 rests AS (SELECT fold, morning, avg(y - m) AS r FROM rows JOIN firsts USING (fold, busy) WHERE role = 'train' GROUP BY fold, morning),
+                 sizes AS (SELECT unnest(range(1, {BOOSTED + 1})) AS k),
+                 maes AS (SELECT fold, k, avg(abs(y - m - r * (1 - pow(CAST(0.9 AS DOUBLE), k - 1)))) AS mae
+                          FROM rows JOIN firsts USING (fold, busy) JOIN rests USING (fold, morning), sizes WHERE role = 'test' GROUP BY fold, k),
+                 best AS (SELECT fold, mae, k::INTEGER AS best_iteration FROM maes QUALIFY row_number() OVER (PARTITION BY fold ORDER BY mae, k) = 1)
+            SELECT fold, round(mae, 6) AS mae, best_iteration, max_by(best_iteration, fold) OVER () AS trees FROM best""",
         "early_stop_stump": f"""
             WITH maes AS ({_stump_sql("CASE WHEN event_count > 1 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END")})
             SELECT fold, round(mae, 6) AS mae, 1 AS best_iteration, 1 AS trees FROM maes""",

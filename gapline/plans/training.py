@@ -11,6 +11,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gapline.plans.artefacts import first_trees, model_identity, save_identity
 from gapline.operators.folds import DEFAULT_SPLITS, Fold, fold_bounds
 from gapline.operators.rank import with_rank_parts
 from gapline.schema import USER, col, numeric_columns, require_columns
@@ -83,16 +84,16 @@ def _learner(trees: int, seed: int, max_depth: int, min_rows: int) -> GBTRegress
 
 
 def _fit_with_patience(
-    train: DataFrame, test: DataFrame, max_iter: int, patience: int, **settings
+    train: DataFrame, test: DataFrame, max_iter: int, patience: int, first_stage: int | None = None, **settings
 ) -> tuple[GBTRegressionModel, int, float]:
     """Fit until patience runs out; returns the model, its best size and error.
 
-    Trees do not depend on how many follow, so the run is grown in doubling
-    stages and ends at the first stage in which patience runs out. All stages together
-    build fewer trees than twice the last one's and its predecessor's, which pays off where
-    patience runs out early and costs up to two and a half times ``max_iter`` where it never does.
+    A model's first trees are the model of so many trees, so one pass over the test rows gives the
+    errors of all sizes, and the model is cut to the best one without another fit. Where patience
+    runs out within the first stage there is one fit. Otherwise the stage is doubled: MLlib cannot go on
+    with an ensemble, so its trees are grown again, in all up to twice the last stage's.
     """
-    stage = min(max_iter, 2 * patience)
+    stage = min(max_iter, max(first_stage or 0, 2 * patience))
     while True:
         model = _learner(stage, **settings).fit(train)
         errors = model.evaluateEachIteration(test, "absolute")
@@ -115,12 +116,14 @@ def train_baseline(
     max_depth: int = 5,
     min_rows: int = 20,
     parallelism: int = 1,
+    first_stage: int | None = None,
 ) -> dict:
     """Cross-validate, save the last fold's model and return its scores.
 
-    Returns ``cv_maes`` per fold, their mean ``cv_mae_mean``, and
-    ``best_iterations``. The model directory holds a ``PipelineModel`` of
-    assembler and trees. Rows are ordered by ``round_start``, ties by
+    Returns ``cv_maes`` per fold, their mean ``cv_mae_mean``, ``best_iterations``, and the ``model_id``.
+    The model directory holds a ``PipelineModel`` of assembler and trees, and its identity
+    (see :func:`gapline.plans.artefacts.model_identity`). ``first_stage`` trees are grown before
+    patience is looked at (at least twice ``patience``): ``max_iter`` makes one fit per fold. Rows are ordered by ``round_start``, ties by
     ``round_id``. ``parallelism`` folds are fitted at the same time, each with
     its training rows cached by the learner: raise it where the jobs of one fold
     leave cores idle. The table of ranked rows is deleted once the model is saved.
@@ -143,18 +146,21 @@ def train_baseline(
 
         def fit(fold: Fold) -> tuple[GBTRegressionModel, int, float]:
             test = table.where(parts.holding(fold.test_from, fold.test_to) & fold.test(rank))
-            return _fit_with_patience(train(fold), test, max_iter, patience, **settings)
+            return _fit_with_patience(train(fold), test, max_iter, patience, first_stage, **settings)
 
         with ThreadPool(min(parallelism, len(folds))) as pool:
             fitted = pool.map(inheritable_thread_target(features.sparkSession)(fit), folds, chunksize=1)
         model, size, _ = fitted[-1]
         maes = [mae for _, _, mae in fitted]
         # Only the last fold's model is kept, so only it is cut back to its best size.
-        if model.getNumTrees != size:
-            model = _learner(size, **settings).fit(train(folds[-1]))
-        PipelineModel(stages=[assembler(cols), model]).write().overwrite().save(model_out)
+        model = PipelineModel(stages=[assembler(cols), first_trees(model, size)])
+        model.write().overwrite().save(model_out)
+        rows = ranked.where(parts.holding(0, folds[-1].test_from) & folds[-1].train(rank))
+        identity = model_identity(model, cols, rows, target_col, ORDER[0])
+        save_identity(features.sparkSession, identity, model_out)
     return {
         "cv_mae_mean": sum(maes) / len(maes),
         "cv_maes": maes,
         "best_iterations": [size for _, size, _ in fitted],
+        "model_id": identity["model_id"],
     }

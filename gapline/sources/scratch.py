@@ -39,16 +39,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/gapline/{name}-{uuid.uuid4().hex}"
 
 
+def temporary_path(spark: SparkSession, name: str) -> str:
+    """A fresh path that is deleted with the tables made within ``cleared``."""
+    path = scratch_path(spark, name)
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The result has no lineage: losing an executor cannot change or recompute it. The table stays
     until the folder is cleared, as lazy results need it, unless it is made within ``cleared``.
     """
-    path = scratch_path(df.sparkSession, name)
-    made = _MADE.get()
-    if made is not None:
-        made.append(path)
+    path = temporary_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

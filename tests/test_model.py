@@ -8,6 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import gapline as gl
+from gapline.plans import training
+from gapline.plans.artefacts import first_trees, read_identity
 from gapline.plans.forecasting import model_features, score
 from gapline.sources.scratch import scratch_dir
 
@@ -159,6 +161,57 @@ def test_early_stop_cuts_the_model(spark, tmp_path):
     assert model.getNumTrees == scores["best_iterations"][-1] < 12
 
 
+@pytest.fixture(scope="module")
+def noisy(spark):
+    draw = random.Random(2)
+    rows = [(f"u_{i}", datetime(2024, 1, 1) + timedelta(hours=i), x := draw.random(), x * x + 0.3 * draw.random()) for i in range(400)]
+    return spark.createDataFrame(rows, "round_id string, round_start timestamp, x double, y double")
+
+
+def test_first_trees_equal_a_fit_of_so_many(spark, noisy):
+    table = gl.feature_matrix(noisy, ["x"], "y").select("features", "label").cache()
+    settings = dict(seed=3, max_depth=3, min_rows=5)
+    whole = training._learner(8, **settings).fit(table)
+    for count in (1, 5):
+        cut, fitted = first_trees(whole, count), training._learner(count, **settings).fit(table)
+        assert cut.getNumTrees == count and cut.treeWeights == fitted.treeWeights and cut.getMaxIter() == count
+        assert cut.toDebugString.split("\n")[1:] == fitted.toDebugString.split("\n")[1:]
+        assert [r.prediction for r in cut.transform(table).collect()] == [r.prediction for r in fitted.transform(table).collect()]
+        assert cut.evaluateEachIteration(table, "absolute") == whole.evaluateEachIteration(table, "absolute")[:count]
+    assert first_trees(whole, 8) is whole
+    with pytest.raises(ValueError, match="8 trees"):
+        first_trees(whole, 9)
+
+
+def test_one_fit_per_fold(spark, noisy, tmp_path, monkeypatch):
+    fits, learner = [], training._learner
+    monkeypatch.setattr(training, "_learner", lambda trees, **settings: fits.append(trees) or learner(trees, **settings))
+    args = dict(n_splits=2, max_iter=12, patience=2, max_depth=3, min_rows=5, first_stage=12)
+    scores = gl.train_baseline(noisy, "y", str(tmp_path / "m"), **args)
+    assert fits == [12, 12]
+    model = PipelineModel.load(str(tmp_path / "m")).stages[1]
+    assert model.getNumTrees == scores["best_iterations"][-1]
+
+
+def test_models_have_identities(spark, noisy, tmp_path):
+    args = dict(n_splits=2, max_iter=3, max_depth=2, min_rows=5)
+    def train(name, table, **more):
+        return gl.train_baseline(table, "y", str(tmp_path / name), **args | more)["model_id"]
+    first = train("a", noisy)
+    assert first == train("b", noisy.repartition(7)) != train("c", noisy, seed=8, max_depth=1)
+    moved = noisy.withColumn("y", F.when(F.col("round_id") == "u_3", -1.0).otherwise(F.col("y")))
+    wider = noisy.withColumn("z", F.lit(1.0))
+    ids = {first, train("d", moved), train("e", wider)}
+    assert len(ids) == 3
+    identity = read_identity(spark, str(tmp_path / "a"))
+    assert identity["features"] == ["x"] and identity["target"] == "y" and identity["rows"].startswith("267/")
+    users = noisy.withColumn("user_id", F.lit("u"))
+    assert gl.forecast(users, str(tmp_path / "a"), trained_on=["x"]).first().metadata["model_id"] == first
+    with pytest.raises(ValueError, match=f"{first} was trained on \\['x'\\], not on \\['x', 'z'\\]"):
+        gl.forecast(users, str(tmp_path / "a"), trained_on=["x", "z"])
+    assert read_identity(spark, str(tmp_path / "none")) is None
+
+
 def test_training_needs_rows_and_features(spark, features, tmp_path):
     few = features.limit(4)
     with pytest.raises(ValueError, match="too few"):
@@ -180,7 +233,9 @@ def test_forecast(features, trained):
     assert len(rows) == len({r.entity_id for r in rows}) == 150
     assert {r.horizon for r in rows} == {3}
     assert all(list(r.predictions) == ["0.5"] and len(r.predictions["0.5"]) == 1 for r in rows)
-    assert rows[0].metadata == {"model_id": "baseline:spark"}
+    assert {r.metadata["model_id"] for r in rows} == {trained[1]["model_id"]}
+    loaded = gl.forecast(features, PipelineModel.load(trained[0])).first()
+    assert loaded.metadata == {"model_id": "baseline:spark"}  # no path, no identity
 
 
 def test_forecast_of_other_columns(features, trained):
