@@ -8,6 +8,7 @@ texts that spell a special token, go to the library whole. Both ways give the li
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -20,8 +21,8 @@ from gapline.llm import text as tx
 
 #: Code points up to here are their own NFC form and are lower-cased alike everywhere.
 LAST = 0x24F
-#: Pieces that a task remembers before it starts over.
-REMEMBERED = 200_000
+#: Pieces that a worker process remembers; beyond it forgets those it has not met for longest.
+REMEMBERED = 1_000_000
 SPACE, LETTER, NUMBER, OTHER = range(4)
 # What the vocabulary's pre-tokenizer takes off after an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -79,68 +80,109 @@ class Pieces:
     def __init__(self, library, ends: np.ndarray) -> None:
         self.library, self.ends = library, ends
         self.cut, self.hasher = Cutter(), tx.Hasher()
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.values = tx.mixed(np.arange(1, len(self.cut.kinds) + 1, dtype=np.uint64))
+        # Sorted hashes and their numbers; per number the ids (from starts on) and when it was last met.
+        self.hashes, self.numbers = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.ids, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
-
-    def _learn(self, new: list[str]) -> None:
+        self.met, self.now, self.swept = np.empty(0, np.int64), 0, 0
+
+    def _forget(self) -> None:
+        """Keep the pieces met since the last time, if they are not too many themselves."""
+        fresh = self.met > self.swept
+        kept = np.flatnonzero(fresh) if 2 * fresh.sum() <= REMEMBERED else np.empty(0, np.int64)
+        place = np.full(len(self.met), -1)
+        place[kept] = np.arange(len(kept))
+        numbers = place[self.numbers]
+        self.hashes, self.numbers = self.hashes[numbers >= 0], numbers[numbers >= 0]
+        self.ids, sizes = tx.gathered(self.ids, self.starts, kept)
+        self.starts = np.concatenate(([0], np.cumsum(sizes)))
+        self.met, self.swept = self.met[kept], self.now
+
+    def _learn(self, new: list[str], hashes: np.ndarray) -> None:
         """Encode new pieces, many at a time: a piece's last id is one that ends a word."""
         lines = [" ".join(new[k : k + 500]) for k in range(0, len(new), 500)]
         ids = np.concatenate([np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(lines, add_special_tokens=False)])
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(new):
             raise ValueError("a piece was not encoded as one word")
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.numbers = np.insert(self.numbers, at, len(self.met) + np.arange(len(new)))
         self.starts = np.concatenate((self.starts, self.starts[-1] + ends))
         self.ids = np.concatenate((self.ids, ids))
+        self.met = np.concatenate((self.met, np.full(len(new), self.now)))
+
+    def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where sorted hashes are or would be, and whether they are known."""
+        at = np.searchsorted(self.hashes, hashes)
+        known = at < len(self.hashes)
+        known[known] = self.hashes[at[known]] == hashes[known]
+        return at, known
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         lowered = [t.lower() for t in texts]
         joined = "\n".join(["", *lowered, ""])
-        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        codes = np.frombuffer(joined.encode(), np.uint8) if joined.isascii() else np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         starts, ends = self.cut(codes)
         begins = np.cumsum([1, *(len(t) + 1 for t in lowered)])[:-1]
         owner = np.searchsorted(begins, starts, side="right") - 1
-        hashes = self.hasher.of_values(tx.mixed(codes.astype(np.uint64) + np.uint64(1)), starts, ends)
-        distinct, first, at = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        numbers, new = np.empty(len(distinct), np.int64), []
-        for k, h in enumerate(distinct.tolist()):
-            n = self.known.get(h)
-            if n is None:
-                n = self.known[h] = len(self.known)
-                new.append(joined[starts[first[k]] : ends[first[k]]])
-            numbers[k] = n
-        if new:
-            self._learn(new)
+        distinct, first, at = np.unique(self.hasher.of_values(self.values[codes], starts, ends), return_index=True, return_inverse=True)
+        self.now += 1
+        if len(self.met) > REMEMBERED:
+            self._forget()
+        _, known = self._places(distinct)
+        if not known.all():
+            new = first[~known]
+            self._learn([joined[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], distinct[~known])
+        numbers = self.numbers[self._places(distinct)[0]]
+        self.met[numbers] = self.now
         ids, sizes = tx.gathered(self.ids, self.starts, numbers[at])
         counts = np.bincount(owner, weights=sizes, minlength=len(texts)).astype(np.int64)
         return np.split(ids, np.cumsum(counts)[:-1])
 
 
+def _of_this_worker(name: str, make: Callable):
+    """``make()``, once per worker process: code that comes with a task is loaded anew for each."""
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_kept_between_tasks", {})
+    if name not in kept:
+        kept.clear()  # a worker holds one vocabulary
+        kept[name] = make()
+    return kept[name]
+
+
 def word_encoder(tokenizer_json: str, end_id: int | None = None) -> Callable[[], Callable[[list[str]], Iterator[np.ndarray]]]:
     """A maker of encoders (see ``write_segments``) for the tokenizer file's contents."""
     special = [t["content"] for t in json.loads(tokenizer_json).get("added_tokens", [])]
 
-    def make() -> Callable[[list[str]], Iterator[np.ndarray]]:
+    name = hashlib.sha256(tokenizer_json.encode()).hexdigest()
+
+    def load():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_str(tokenizer_json)
-        plain = re.compile(f"[\\x00-{chr(LAST)}]*")
         vocabulary = library.get_vocab()
         ends = np.zeros(max(vocabulary.values()) + 1, bool)
         ends[[n for piece, n in vocabulary.items() if piece.endswith("</w>")]] = True
-        pieces = Pieces(library, ends)
+        return Pieces(library, ends)
+
+    def make() -> Callable[[list[str]], Iterator[np.ndarray]]:
+        pieces = _of_this_worker(name, load)
+        plain = re.compile(f"[\\x00-{chr(LAST)}]*")
         tail = [] if end_id is None else [end_id]
 
         def encode(texts: list[str]) -> Iterator[np.ndarray]:
             here = [bool(plain.fullmatch(t)) and not any(s in t for s in special) for t in texts]
-            found = iter(pieces([t for t, own in zip(texts, here, strict=True) if own]) if any(here) else [])
-            for text, own in zip(texts, here, strict=True):
-                ids = next(found) if own else library.encode(text, add_special_tokens=False).ids
+            found = {}
+            # Texts of ASCII only take an eighth of the memory, and less time.
+            for ascii_only in (True, False):
+                own = [k for k, t in enumerate(texts) if here[k] and t.isascii() == ascii_only]
+                if own:
+                    found |= zip(own, pieces([texts[k] for k in own]), strict=True)
+            for k, text in enumerate(texts):
+                ids = found[k] if here[k] else pieces.library.encode(text, add_special_tokens=False).ids
                 yield np.concatenate((ids, tail)).astype(np.uint32)
 
         return encode

@@ -11,6 +11,7 @@ from gapline.llm import piece_codec as pc
 from gapline.llm import token_files as tf
 from gapline.llm.html_text import extract_text, main_text
 from gapline.llm.queries import piece_model
+from gapline.llm import word_bpe
 from gapline.llm.word_bpe import word_encoder
 from gapline.sources.scratch import scratch_path
 from pyspark.sql import functions as F
@@ -198,3 +199,18 @@ def test_no_documents_no_tokens(spark):
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
         tf.write_segments(docs, word_encoder(file.read()), out)
     assert tf.documents_of(tf.read_segments(spark, out)).count() == 0
+
+
+@pytest.mark.parametrize("remembered", [0, 40, 10**6])
+def test_pieces_that_were_forgotten_are_encoded_again(remembered, monkeypatch):
+    monkeypatch.setattr(word_bpe, "REMEMBERED", remembered)
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        contents = file.read()
+    library, rng = Tokenizer.from_str(contents), random.Random(remembered)
+    letters = "abcé Z1'.-"
+    for _ in range(3):  # the second and third encoder take over what the first has learned
+        encode = word_bpe.word_encoder(contents, end_id=1)()
+        for _ in range(10):
+            texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(80))) for _ in range(20)] + ODD
+            got = [list(x) for x in encode(texts)]
+            assert got == [library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
