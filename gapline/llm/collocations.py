@@ -15,7 +15,7 @@ only phrases whose parts are frequent. Words are known by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,8 @@ SCALE = 2_000_000
 UNKNOWN = "und"
 #: Words of a shard. A piece is never cut, so a text without any break makes a longer one.
 SHARD_WORDS = 1 << 20
+#: Rows that are packed at once.
+PACKED_ROWS = 1 << 20
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -239,24 +241,60 @@ def build_shards(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     return map_arrow(narrow, run, _SHARDS)
 
 
+def by_shard(rows: DataFrame, *columns: str) -> DataFrame:
+    """The rows' numbers, packed: per shard a binary of 64-bit numbers for each column.
+
+    A task packs what it has of a shard among so many rows; there are never more binaries than rows.
+    """
+    names = ["shard", *columns]
+    schema = T.StructType([T.StructField("shard", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in columns)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def packed() -> pa.RecordBatch:
+            shard, *values = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(shard, kind="stable")
+            shards, starts = np.unique(shard[order], return_index=True)
+            cuts = [*starts.tolist(), len(shard)]
+            binaries = [[v[order[a:b]].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)] for v in values]
+            return pa.RecordBatch.from_arrays([pa.array(shards), *(pa.array(b, pa.binary()) for b in binaries)], names=names)
+
+        for batch in batches:
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            size += len(batch)
+            if size >= PACKED_ROWS:
+                yield packed()
+                held, size = [], 0
+        if size:
+            yield packed()
+
+    return rows.select("shard", *(F.col(c).cast("long").alias(c) for c in columns)).mapInArrow(run, schema)
+
+
+def _columns(packed: pa.Table, *names: str) -> list[np.ndarray]:
+    """Columns of a shard's packed rows."""
+    return [np.concatenate([np.frombuffer(b, np.int64) for b in packed.column(c).to_pylist()]) for c in names]
+
+
 def build_index(shards: DataFrame, frequent: DataFrame, depth: int) -> DataFrame:
-    """Both transforms of each shard, with nothing but the words of ``frequent`` (shard, at, key, f, owner) left.
+    """Both transforms of each shard, with nothing but the words of ``frequent`` (shard, at, key, f) left.
 
-    Other words part pieces. The shard that owns a word spells it.
+    Other words part pieces. The shard that owns a word, and so has its ``f``, spells it.
     """
     kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64())]
 
     def run(blobs: pa.Table, found: pa.Table) -> pa.Table:
         if not len(blobs) or not len(found):
             return pa.table({f: pa.array([], t) for f, t in zip(_INDEX.names, kinds, strict=True)})
-        at, keys, f, owner = (found.column(c).to_numpy() for c in ("at", "key", "f", "owner"))
+        at, keys, f = _columns(found, "at", "key", "f")
         words = blobs.column("words")[0].values
         place = np.zeros(len(words) + 1, np.int64)
         place[1 + at] = np.arange(1, len(at) + 1)
         symbols = np.append(place[_unpacked(blobs.column("symbols")[0].as_py())], 0)
         symbols = symbols[np.append(True, (symbols[1:] > 0) | (symbols[:-1] > 0))]  # one 0 between pieces
         shard = blobs.column("shard")[0].as_py()
-        own = np.flatnonzero(owner == shard)
+        own = np.flatnonzero(f)
         row = [
             blobs.column("lang")[0].as_py(), shard, keys, _packed(transform(symbols, depth)),
             # Reversed, and with the 0 at the end again.
@@ -264,7 +302,8 @@ def build_index(shards: DataFrame, frequent: DataFrame, depth: int) -> DataFrame
         ]
         return pa.Table.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=_INDEX.names)
 
-    return shards.drop("counts", "n_words").groupBy("shard").cogroup(frequent.groupBy("shard")).applyInArrow(run, _INDEX)
+    replies = by_shard(frequent, "at", "key", "f").groupBy("shard")
+    return shards.drop("counts", "n_words").groupBy("shard").cogroup(replies).applyInArrow(run, _INDEX)
 
 
 class Shard:
@@ -301,11 +340,13 @@ def _words(size: int) -> list[str]:
 
 
 def _frequent(found: DataFrame, keys: list[str], min_count: int) -> DataFrame:
-    """Rows (shard and phrase) of phrases that all shards together have often enough: with their sum ``f``
-    and the shard that is their ``owner``. A phrase has a row per shard at most.
+    """Rows (shard and phrase) of phrases that all shards together have often enough.
+
+    One of a phrase's shards owns it, and has the sum ``f``; the others have 0. A phrase has a row per shard at most.
     """
     whole = Window.partitionBy(*keys)
-    return found.withColumns({"f": F.sum("n").over(whole), "owner": F.min("shard").over(whole)}).where(F.col("f") >= min_count)
+    summed = found.withColumns({"sum": F.sum("n").over(whole), "owner": F.min("shard").over(whole)}).where(F.col("sum") >= min_count)
+    return summed.withColumn("f", F.when(F.col("owner") == F.col("shard"), F.col("sum")).otherwise(0)).drop("sum", "owner")
 
 
 def _shard_of(row: pa.Table | pa.RecordBatch, k: int = 0) -> Shard:
@@ -326,84 +367,77 @@ def count_pairs(index: DataFrame) -> DataFrame:
     return index.select("shard", "keys", "left", "right").mapInArrow(run, "key long, shard long, n long")
 
 
-def _phrase_schema(size: int) -> T.StructType:
-    fields = [T.StructField("lang", T.StringType())] + [T.StructField(c, T.LongType()) for c in ("shard", *_words(size), "low", "low_right", "n")]
-    return T.StructType([*fields, T.StructField("f", T.LongType())])
+def _with_index(index: DataFrame, replies: DataFrame, names: list[str], run: Callable) -> DataFrame:
+    """What ``run`` makes of each shard and its packed replies: columns of numbers, the shard's own number with them."""
 
+    def both(blobs: pa.Table, found: pa.Table) -> pa.Table:
+        columns = run(_shard_of(blobs), found) if len(blobs) and len(found) else [np.empty(0, np.int64)] * (len(names) - 1)
+        number = np.full(len(columns[0]), blobs.column("shard")[0].as_py() if len(blobs) else 0)
+        return pa.table(dict(zip(names, map(pa.array, (number, *columns)), strict=True)))
 
-def _phrase_rows(blobs: pa.Table, words: np.ndarray, *numbers: np.ndarray) -> pa.Table:
-    some = words.shape[1]
-    lang, shard = blobs.column("lang")[0].as_py(), blobs.column("shard")[0].as_py()
-    columns = [pa.array([lang] * some, pa.string()), pa.array(np.full(some, shard)), *map(pa.array, words), *map(pa.array, numbers)]
-    return pa.Table.from_arrays(columns, names=_phrase_schema(len(words)).names)
+    blobs = index.select("shard", "keys", "left", "right").groupBy("shard")
+    return blobs.cogroup(replies.groupBy("shard")).applyInArrow(both, T.StructType([T.StructField(c, T.LongType()) for c in names]))
 
 
-def _from_pairs(index: DataFrame, found: DataFrame, grow: bool) -> DataFrame:
-    """The two-word phrases of the keys in ``found`` (shard, key, f), or what they grow to (``f`` is then 0)."""
+def spelled_pairs(index: DataFrame, found: DataFrame) -> DataFrame:
+    """(shard, w1, w2, f) of the two-word phrases that shards own, from their keys."""
 
-    def run(blobs: pa.Table, replies: pa.Table) -> pa.Table:
-        if not len(blobs) or not len(replies):
-            return no_phrases(3 if grow else 2)
-        shard = _shard_of(blobs)
-        words, *numbers = shard.pairs()
-        _, own, at = np.intersect1d(pair_keys(words), replies.column("key").to_numpy(), return_indices=True)
-        words, numbers = words[:, own], [x[own] for x in numbers]
-        if grow:
-            words, *numbers = shard.longer(words, *numbers)
-        f = np.zeros(words.shape[1], np.int64) if grow else replies.column("f").to_numpy()[at]
-        return _phrase_rows(blobs, words, *numbers, f)
+    def run(shard: Shard, replies: pa.Table) -> list[np.ndarray]:
+        key, f = _columns(replies, "key", "f")
+        words = shard.pairs()[0]
+        _, own, at = np.intersect1d(pair_keys(words), key, return_indices=True)
+        return [*words[:, own], f[at]]
 
-    blobs = index.select("lang", "shard", "keys", "left", "right").groupBy("shard")
-    replies = found.select("shard", "key", *([] if grow else ["f"])).groupBy("shard")
-    return blobs.cogroup(replies).applyInArrow(run, _phrase_schema(3 if grow else 2))
+    return _with_index(index, by_shard(found.where("f > 0"), "key", "f"), ["shard", *_words(2), "f"], run)
 
 
-def no_phrases(size: int) -> pa.Table:
-    """No phrases."""
-    kinds = {"lang": pa.string()}
-    return pa.table({c: pa.array([], kinds.get(c, pa.int64())) for c in _phrase_schema(size).names})
+def _placed(words: np.ndarray, low: np.ndarray, low_right: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Columns of phrases: words, both lows as one number, count."""
+    return [*words, low << 32 | low_right, n]
 
 
 def longer_phrases(index: DataFrame, frequent: DataFrame, size: int) -> DataFrame:
-    """Phrases of ``size + 1`` words per shard, from the frequent ones of ``size`` words; ``f`` is 0."""
+    """(shard, w1.., place, n) of phrases of ``size + 1`` words, from the frequent ones of ``size`` words.
+
+    Those of two words are given by their keys, longer ones as this function gives them.
+    """
+    words = _words(size)
 
-    def run(blobs: pa.Table, phrases: pa.Table) -> pa.Table:
-        if not len(blobs) or not len(phrases):
-            return no_phrases(size + 1)
-        words = np.vstack([phrases.column(w).to_numpy() for w in _words(size)])
-        words, *numbers = _shard_of(blobs).longer(words, *(phrases.column(c).to_numpy() for c in ("low", "low_right", "n")))
-        return _phrase_rows(blobs, words, *numbers, np.zeros(words.shape[1], np.int64))
+    def run(shard: Shard, replies: pa.Table) -> list[np.ndarray]:
+        if size == 2:
+            found, *numbers = shard.pairs()
+            own = np.isin(pair_keys(found), _columns(replies, "key")[0])
+            return _placed(*shard.longer(found[:, own], *(x[own] for x in numbers)))
+        *found, place, n = _columns(replies, *words, "place", "n")
+        return _placed(*shard.longer(np.vstack(found), place >> 32, place & 0xFFFFFFFF, n))
 
-    blobs = index.select("lang", "shard", "keys", "left", "right").groupBy("shard")
-    phrases = frequent.select("shard", *_words(size), "low", "low_right", "n").groupBy("shard")
-    return blobs.cogroup(phrases).applyInArrow(run, _phrase_schema(size + 1))
+    replies = by_shard(frequent, "key") if size == 2 else by_shard(frequent, *words, "place", "n")
+    return _with_index(index, replies, ["shard", *_words(size + 1), "place", "n"], run)
 
 
 def count_phrases(
     docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, shard_words: int = SHARD_WORDS
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lang, ws, f) of all phrases of up to ``max_words`` words that occur ``min_count`` times or more
-    (ws: keys of the words), (lang, w1, word) of their words, and (lang, n) of all word occurrences."""
+    """(ws, f) of all phrases of up to ``max_words`` words that occur ``min_count`` times or more, (w1, lang, word)
+    of their words, and (lang, n) of all word occurrences. ``ws`` are keys of words, which are a language's own."""
     shards = written(build_shards(docs, lang_col, text_col, shard_words), "shards")
     totals = shards.groupBy("lang").agg(F.sum("n_words").alias("n"))
     each = shards.select("lang", "shard", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x"))
     single = each.select(F.xxhash64("lang", "x.words").alias("key"), "shard", "at", F.col("x.counts").alias("n"))
-    index = written(build_index(shards, written(_frequent(single, ["key"], min_count), "words"), max_words), "index")
+    index = written(build_index(shards, _frequent(single, ["key"], min_count), max_words), "index")
     own = index.select("lang", F.explode(F.arrays_zip("own_keys", "own_words", "own_f")).alias("x"))
-    own = own.select("lang", F.col("x.own_keys").alias("w1"), F.col("x.own_words").alias("word"), F.col("x.own_f").alias("f"))
-    grams, frequent = own.select("lang", F.array("w1").alias("ws"), "f"), None
+    own = own.select(F.col("x.own_keys").alias("w1"), "lang", F.col("x.own_words").alias("word"), F.col("x.own_f").alias("f"))
+    grams, frequent = own.select(F.array("w1").alias("ws"), "f"), None
     for size in range(2, max_words + 1):
         words = _words(size)
         if size == 2:
             # All a shard needs to know of a pair is its key; the owner spells it.
-            pairs = _frequent(count_pairs(index), ["key"], min_count)
-            pairs = written(pairs.select("key", "shard", F.when(F.col("owner") == F.col("shard"), F.col("f")).alias("f")), "pairs")
-            level = _from_pairs(index, pairs.where("f is not null"), grow=False)
+            frequent = written(_frequent(count_pairs(index), ["key"], min_count).select("key", "shard", "f"), "pairs")
+            level = spelled_pairs(index, frequent)
         else:
-            longer = _from_pairs(index, pairs, grow=True) if size == 3 else longer_phrases(index, frequent, size - 1)
-            frequent = written(_frequent(longer.drop("f"), ["lang", *words], min_count), f"phrases-{size}")
-            level = frequent.where(F.col("owner") == F.col("shard"))
-        grams = grams.unionByName(level.select("lang", F.array(*words).alias("ws"), "f"))
+            frequent = written(_frequent(longer_phrases(index, frequent, size - 1), words, min_count), f"phrases-{size}")
+            level = frequent.where("f > 0")
+        grams = grams.unionByName(level.select(F.array(*words).alias("ws"), "f"))
     return grams, own.drop("f"), totals
 
 
@@ -418,21 +452,21 @@ def score_phrases(grams: DataFrame, replaced: int = REPLACED) -> DataFrame:
     candidates = grams.where(size > 1)
     cuts = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), size - 1)))
     cuts = cuts.withColumns({"first": _part(F.lit(1), F.col("k")), "rest": _part(F.col("k") + 1, size - F.col("k"))})
-    of_first = grams.select("lang", F.col("ws").alias("first"), F.col("f").alias("l"))
-    of_rest = grams.select("lang", F.col("ws").alias("rest"), F.col("f").alias("r"))
+    of_first = grams.select(F.col("ws").alias("first"), F.col("f").alias("l"))
+    of_rest = grams.select(F.col("ws").alias("rest"), F.col("f").alias("r"))
     # Products may pass 64 bits: decimals are exact.
     score = F.expr(f"CAST((CAST({SCALE} AS DECIMAL(7, 0)) * CAST(f AS DECIMAL(19, 0))) DIV (CAST(l AS DECIMAL(19, 0)) + CAST(r AS DECIMAL(19, 0))) AS BIGINT)")
     lowest = (
-        cuts.join(of_first, ["lang", "first"])
-        .join(of_rest, ["lang", "rest"])
-        .groupBy("lang", "ws", F.col("f").alias("a"))
+        cuts.join(of_first, "first")
+        .join(of_rest, "rest")
+        .groupBy("ws", F.col("f").alias("a"))
         .agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
-        .select("lang", "ws", "a", "cut.l", "cut.r", "cut.score")
+        .select("ws", "a", "cut.l", "cut.r", "cut.score")
     )
     inside = F.explode(F.array(_part(F.lit(1), size - 1), _part(F.lit(2), size - 1))).alias("ws")
-    longer = grams.where(size > 2).select("lang", "f", inside).groupBy("lang", "ws").agg(F.max("f").alias("longer"))
+    longer = grams.where(size > 2).select("f", inside).groupBy("ws").agg(F.max("f").alias("longer"))
     kept = F.col("longer").isNull() | (F.col("longer").cast("decimal(19,0)") * 100 < F.col("a").cast("decimal(19,0)") * replaced)
-    return lowest.join(longer, ["lang", "ws"], "left").where(kept).drop("longer")
+    return lowest.join(longer, "ws", "left").where(kept).drop("longer")
 
 
 def mine_phrases(
@@ -459,7 +493,7 @@ def mine_phrases(
     scored = score_phrases(written(grams, "grams"))
     spelled = (
         scored.select("*", F.posexplode("ws").alias("k", "w1"))
-        .join(words, ["lang", "w1"])
+        .join(words, "w1")
         .groupBy("lang", "ws", "a", "l", "r", "score")
         .agg(F.sort_array(F.collect_list(F.struct("k", "word"))).alias("named"))
         .withColumn("phrase", F.array_join(F.transform("named", lambda x: x["word"]), " "))
