@@ -38,6 +38,7 @@ EDGES = {
     "gap_since_prev_seconds": [0, 18000, 43200, 86400],
 }
 BASELINE_MAE = 0.3
+LEVELS = [f"p{k}" for k in range(20)]
 FEATURES = ["event_count", "duration_seconds", *LABELS, "gap_since_prev_seconds"]
 # Few and shallow trees: the queries show the whole path, not the best model.
 TRAINING = {"max_iter": 4, "max_depth": 3, "n_splits": 5, "parallelism": 5}
@@ -130,6 +131,21 @@ def event_type_crosstab(spark, sf_dir):
     return _features(spark, sf_dir).select("round_id", *LABELS)
 
 
+def event_type_map(spark, sf_dir):
+    """Event types of each round as a map, here written out: no pass to find the types."""
+    maps = gl.label_maps(_table(spark, sf_dir, "events"), USER, TIME, GAP)
+    entries = F.transform(F.map_entries("label_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return maps.select("round_id", USER, F.array_join(entries, ",").alias("label_counts"))
+
+
+def order_price_levels(spark, sf_dir):
+    """Rounds of a customer's orders, with a count per price level of 10,000: more columns than are kept apart."""
+    orders = _table(spark, sf_dir, "orders")
+    level = F.concat(F.lit("p"), F.floor(F.col("o_totalprice") / 10_000).cast("string"))
+    events = orders.select("o_custkey", "o_orderdate", level.alias("event_type"))
+    return gl.round_features(events, "o_custkey", "o_orderdate", 90 * 24 * 60, labels=LEVELS)
+
+
 def prev_round_gap(spark, sf_dir):
     return _features(spark, sf_dir).select("round_id", "prev_round_end", "gap_since_prev_seconds")
 
@@ -493,6 +509,8 @@ _QUERIES = [
     round_features_missing_times,
     event_type_labels,
     event_type_crosstab,
+    event_type_map,
+    order_price_levels,
     prev_round_gap,
     target_projection,
     feature_matrix,
@@ -585,6 +603,13 @@ def _features_sql(
                   GROUP BY {USER}, round_index) AS rounds) AS lagged"""
 
 
+def _order_levels_sql() -> str:
+    source = """(SELECT o_orderkey AS event_id, o_custkey AS user_id, o_orderdate AS ts,
+                        'p' || CAST(CAST(floor(o_totalprice / 10000) AS BIGINT) AS VARCHAR) AS event_type FROM orders)"""
+    features = _features_sql(source, 90 * 24 * 60, LEVELS)
+    return f"SELECT * RENAME (user_id AS o_custkey) FROM ({features}) AS f"
+
+
 def _folds_sql() -> str:
     return f"""
       SELECT ranked.*, k AS fold, CASE WHEN rn < n - (5 - k) * t THEN 'train' ELSE 'test' END AS role
@@ -692,6 +717,13 @@ def _engine_sql() -> dict[str, str]:
             SELECT row_number() OVER (ORDER BY label) - 1 AS position, label
             FROM (SELECT DISTINCT event_type AS label FROM events WHERE event_type IS NOT NULL) AS d""",
         "event_type_crosstab": f"SELECT round_id, {labels} FROM ({features}) AS f",
+        "event_type_map": f"""
+            WITH marked AS ({_marked_sql("events", USER, TIME, "event_id", GAP)}),
+                 counts AS (SELECT user_id, round_index, event_type, count(*) AS n FROM marked GROUP BY ALL)
+            SELECT CAST(user_id AS VARCHAR) || '_' || CAST(round_index AS VARCHAR) AS round_id, user_id,
+                   coalesce(string_agg(event_type || '=' || n, ',' ORDER BY event_type) FILTER (event_type IS NOT NULL), '') AS label_counts
+            FROM counts GROUP BY user_id, round_index""",
+        "order_price_levels": _order_levels_sql(),
         "prev_round_gap": f"SELECT round_id, prev_round_end, gap_since_prev_seconds FROM ({features}) AS f",
         "target_projection": f"SELECT round_id, event_count * CAST(0.1 AS DOUBLE) AS target FROM ({features}) AS f",
         "feature_matrix": f"""

@@ -11,6 +11,7 @@ from gapline.operators.features import (
     compute_round_features,
     event_type_labels,
     label_counts,
+    label_maps,
     round_features,
 )
 from gapline.operators.folds import fold_bounds, time_series_folds
@@ -50,6 +51,7 @@ __all__ = [
     "forecast",
     "index_closed_rounds",
     "label_counts",
+    "label_maps",
     "latest_rounds",
     "make_session",
     "model_degradation",

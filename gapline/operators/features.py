@@ -22,13 +22,15 @@ from gapline.schema import (
 from gapline.sources.scratch import written
 
 _BLOCK = 100_000
+#: From so many event types on the counts of a cell are packed into one row before users are gathered.
+PACKED_FROM = 17
 
 
 def event_type_labels(df: DataFrame, label_col: str = LABEL) -> list[str]:
     """Distinct non-null labels in sorted order.
 
     They become columns, so their number is held to ``spark.sql.pivotMaxValues``,
-    as in Spark's own pivot; more is an error.
+    as in Spark's own pivot; more is an error. :func:`label_maps` takes any number.
     """
     most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
     label = col(label_col).cast("string").alias("label")
@@ -135,10 +137,14 @@ def round_features(
         cells = build_cells(events, spec, code)
     else:
         cells = events.withColumn("label", F.lit(0) if code is None else code)
-    counts = {
-        prefix + v: F.when(F.col("label") == F.lit(i), F.col("n")).otherwise(F.lit(0))
-        for i, v in enumerate(labels, 1)
-    }
+    if len(labels) >= PACKED_FROM:
+        cells = packed_cells(cells, spec)
+        counts = {prefix + v: F.coalesce(F.try_element_at("counts", F.lit(i)), F.lit(0)) for i, v in enumerate(labels, 1)}
+    else:
+        counts = {
+            prefix + v: F.when(F.col("label") == F.lit(i), F.col("n")).otherwise(F.lit(0))
+            for i, v in enumerate(labels, 1)
+        }
     return features_from_cells(cells, spec, counts, missing_times)
 
 
@@ -181,6 +187,57 @@ def features_from_cells(
     return finish_features(rounds, spec.user_col, "round_id", list(counts))
 
 
+def packed_cells(cells: DataFrame, spec: CellSpec) -> DataFrame:
+    """One row per cell from rows split by ``label``: ``counts`` maps labels (not null) to their events.
+
+    The rows are brought to their user, where the next step wants them; below a minute's gap, where one
+    user can have very many, to their cell.
+    """
+    gathered = cells.repartition("user") if spec.single_task else cells
+    entries = F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "n")))
+    return gathered.groupBy("user", "cell").agg(
+        F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"),
+        F.sum("n").alias("n"),
+        F.map_from_entries(entries).alias("counts"),
+    )
+
+
+def label_maps(
+    df: DataFrame,
+    user_col: str = USER,
+    ts_col: str = TIME,
+    gap_minutes: float = DEFAULT_GAP_MINUTES,
+    label_col: str = LABEL,
+) -> DataFrame:
+    """``round_id``, user and ``label_counts``, a map from each event type of the round to its events.
+
+    The sparse form of the counts per event type: for any number of types, found in the one scan that
+    finds the rounds. Null types have no entry, and rounds with no other have an empty map. Events without
+    a user or a time are left out; the rounds and their numbers are those of :func:`round_features`
+    without events that have no time.
+    """
+    require_columns(df, user_col, ts_col, label_col)
+    spec = CellSpec(user_col, ts_col, gap_micros(gap_minutes))
+    events = parse_time(df, ts_col)
+    events = events.where(col(user_col).isNotNull() & col(ts_col).isNotNull())
+    cells = packed_cells(build_cells(events, spec, col(label_col).cast("string")), spec)
+    entry = F.explode_outer(F.map_entries("counts")).alias("entry")
+    sums = (
+        number_rounds(cells, spec)
+        .select("user", "round_index", entry)
+        .groupBy("user", "round_index", F.col("entry.key").alias("label"))
+        .agg(F.sum("entry.value").alias("n"))
+        .groupBy("user", "round_index")
+        .agg(F.sort_array(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "n")))).alias("entries"))
+    )
+    return sums.select(
+        round_id(F.col("user"), F.col("round_index")).alias("round_id"),
+        F.col("user").alias(user_col),
+        F.map_from_entries("entries").alias("label_counts"),
+    )
+
+
 def finish_features(rounds: DataFrame, user_col: str, round_id_col: str, labels: list[str]) -> DataFrame:
     """The feature table's columns in their order, with duration and distance added."""
     duration = elapsed_seconds(rounds, "round_end", "round_start")

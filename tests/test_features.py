@@ -1,8 +1,15 @@
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
+import brute
 import pytest
+from pyspark.sql import functions as F
 
 import gapline as gl
+from gapline.operators.cells import CellSpec, build_cells
+from gapline.operators.features import packed_cells
+
+T0 = datetime(2024, 1, 1, 9)
 
 SAMPLE = [
     ("user_1", "2026-08-28T09:00:00Z", "click", 1.0),
@@ -130,3 +137,50 @@ def test_fused_and_two_step_agree(events, gap):
     two_step = gl.compute_round_features(sessionized, ts_col="ts", gap_minutes=gap)
     assert fused.count() == two_step.count()
     assert fused.exceptAll(two_step).isEmpty()
+
+
+def test_many_event_types_are_packed_before_users_are_gathered(spark):
+    """Rows that enter the window over users: cells, not cells times event types."""
+    labels = [f"t{k}" for k in range(1000)]
+    rows = [(f"u{k % 3}", T0 + timedelta(minutes=k % 50, hours=6 * (k % 2)), labels[k * 7 % 1000]) for k in range(3000)]
+    events = spark.createDataFrame(rows, "user_id string, recorded_at timestamp, event_type string")
+    spec = CellSpec("user_id", "recorded_at", 30 * 60 * 10**6)
+    split = build_cells(events, spec, F.col("event_type")).count()
+    cells = build_cells(events, spec).count()
+    packed = packed_cells(build_cells(events, spec, F.col("event_type")), spec)
+    assert packed.count() == cells < split / 100
+    plan = gl.round_features(events, labels=labels, missing_times=False)._jdf.queryExecution().executedPlan().toString()
+    # The window sits right on the packing aggregate: no other exchange, and no rows by label.
+    window = plan.index("Window")
+    assert "map_from_entries" in plan[window:] or "collect_list" in plan[window:]
+    assert plan.count("Exchange hashpartitioning(user") == 2
+
+
+@pytest.mark.parametrize("gap", [30, 0.5])
+def test_packed_counts_equal_plain_ones(spark, gap):
+    draw = random.Random(gap)
+    labels = [f"t{k:02}" for k in range(17)]  # sorted: the first untimed event joins the last round
+    rows = [
+        (draw.choice(["u", "v", None]), draw.choice([T0 + timedelta(minutes=draw.randrange(400)), None]), draw.choice([*labels, "zz, not listed", None]))
+        for _ in range(150)
+    ]
+    events = spark.createDataFrame(rows, "user_id string, recorded_at timestamp, event_type string")
+    got = {r.round_id: r.asDict() for r in gl.round_features(events, gap_minutes=gap, labels=labels, missing_times=True).collect()}
+    want = {r["round_id"]: r for r in brute.rounds(rows, gap)}
+    assert got.keys() == want.keys()
+    for name, row in got.items():
+        assert row == {k: want[name].get(k, 0) for k in row}
+
+
+def test_label_maps(spark):
+    draw = random.Random(5)
+    rows = [(draw.choice(["u", "v", None]), draw.choice([T0 + timedelta(minutes=draw.randrange(2000)), None]), draw.choice(["a", "B", "b", "", None])) for _ in range(200)]
+    rows += [("w", T0, None), ("w", T0, None)]
+    events = spark.createDataFrame(rows, "user_id string, recorded_at timestamp, event_type string")
+    timed = [r for r in rows if r[1] is not None]
+    want = {}
+    for r in brute.rounds(timed, 30):
+        want[r["round_id"]] = {v: r[v] for v in ("a", "B", "b", "") if r.get(v)}
+    got = {r.round_id: r.label_counts for r in gl.label_maps(events).collect()}
+    assert got == want and got["w_1"] == {}
+    assert gl.label_maps(events.limit(0)).isEmpty()
