@@ -37,8 +37,9 @@ SCALE = 2_000_000
 UNKNOWN = "und"
 #: Words of a shard. A piece is never cut, so a text without any break makes a longer one.
 SHARD_WORDS = 1 << 20
-#: Rows that are packed at once.
-PACKED_ROWS = 1 << 20
+#: Rows that are packed at once, and rows of an index that are extended at once.
+PACKED_ROWS = 1 << 19
+BLOCK_ROWS = 1 << 17
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -147,9 +148,11 @@ class Index:
     """One direction of the FM-index. Row ranges are intervals of phrases."""
 
     def __init__(self, bwt: np.ndarray) -> None:
-        self.bwt, self.rows = bwt.astype(np.int64), len(bwt) + 1
+        self.bwt, self.rows = bwt.astype(np.int32), len(bwt) + 1
         # In order of symbol and row: the place of (c, i) is C[c] + occ(c, i), the row of c before row i.
-        self.placed = np.sort(self.bwt * self.rows + np.arange(len(bwt)))
+        self.placed = self.bwt * np.int64(self.rows)
+        self.placed += np.arange(len(bwt))
+        self.placed.sort()
 
     def extended(self, lows: np.ndarray, counts: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, ...]:
         """All extensions by a word of the intervals from ``lows`` on, of ``counts`` rows.
@@ -157,6 +160,18 @@ class Index:
         Gives for each the interval it extends, its count, its low, and its low in the other
         direction, where the intervals' lows are ``others``.
         """
+        ends, first, found = np.cumsum(counts), 0, []
+        while first < len(lows):  # so many rows at once, or one interval
+            after = max(first + 1, int(np.searchsorted(ends, ends[first] - counts[first] + BLOCK_ROWS, side="right")))
+            few = slice(first, after)
+            owner, *rest = self._extended(lows[few], counts[few], others[few])
+            found.append((owner + first, *rest))
+            first = after
+        if not found:
+            return (np.empty(0, np.int64),) * 4
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _extended(self, lows: np.ndarray, counts: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, ...]:
         owners = np.repeat(np.arange(len(lows)), counts)
         rows = np.arange(len(owners)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lows, counts)
         pairs, n = np.unique(owners * self.rows + self.bwt[rows], return_counts=True)

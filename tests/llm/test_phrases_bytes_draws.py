@@ -156,7 +156,9 @@ def test_long_texts_are_cut_between_words(monkeypatch):
         assert got == want
 
 
-def test_intervals_extend_both_ways():
+@pytest.mark.parametrize("rows", [1, 50, 1 << 17])
+def test_intervals_extend_both_ways(rows, monkeypatch):
+    monkeypatch.setattr(collocations, "BLOCK_ROWS", rows)
     rng = np.random.default_rng(0)
     symbols = np.append(rng.integers(0, 5, 400), 0).astype(np.uint16)
     assert collocations._unpacked(collocations._packed(symbols)).tolist() == symbols.tolist()
