@@ -484,6 +484,13 @@ def feature_drift(spark, sf_dir):
     return _rounded(_drift(_features(spark, sf_dir)), *values)
 
 
+def drift_from_sketches(spark, sf_dir):
+    """From a table of daily summaries: feature rows are not read again."""
+    daily = written(gl.feature_sketches(_features(spark, sf_dir), list(EDGES)), "sketches")
+    values = ["base_mean", "current_mean", "base_stddev", "current_stddev", "mean_shift", "stability_index"]
+    return _rounded(gl.drift_from_sketches(daily, SPLIT_AT), *values).drop("edges")
+
+
 def model_degradation(spark, sf_dir):
     return _rounded(_degradation(_features(spark, sf_dir)), "mae", "mae_ratio")
 
@@ -539,6 +546,7 @@ _QUERIES = [
     stream_repaired_rounds,
     etl_in_days,
     feature_drift,
+    drift_from_sketches,
     model_degradation,
     retrain_decision,
 ]
@@ -645,6 +653,32 @@ def _drift_sql() -> str:
     return f"WITH feats AS ({_features_sql()}) " + " UNION ALL ".join(parts)
 
 
+def _sketch_drift_sql() -> str:
+    """Exact quantiles: what sketches give as long as a period has no more values than they hold."""
+    values = " UNION ALL ".join(
+        f"SELECT '{n}' AS feature, date_trunc('day', round_start) >= TIMESTAMP '{SPLIT_AT}' AS cur, CAST({n} AS DOUBLE) AS value FROM feats" for n in EDGES
+    )
+    return f"""
+      WITH feats AS ({_features_sql()}), vals AS ({values}),
+           sides AS (SELECT feature, count(*) FILTER (NOT cur) AS base_rows, count(*) FILTER (cur) AS current_rows,
+                            avg(value) FILTER (NOT cur) AS base_mean, avg(value) FILTER (cur) AS current_mean,
+                            stddev_pop(value) FILTER (NOT cur) AS base_stddev, stddev_pop(value) FILTER (cur) AS current_stddev,
+                            list_sort(list(value) FILTER (NOT cur)) AS sorted FROM vals GROUP BY feature),
+           edges AS (SELECT feature, k, sorted[ceil(CAST(k AS DOUBLE) / 10 * len(sorted))::BIGINT] AS edge
+                     FROM sides, (SELECT unnest(range(1, 10)) AS k) AS ks),
+           ranks AS (SELECT feature, k, count(*) FILTER (NOT cur AND value <= edge) / count(*) FILTER (NOT cur) AS b,
+                            count(*) FILTER (cur AND value <= edge) / count(*) FILTER (cur) AS c
+                     FROM edges JOIN vals USING (feature) GROUP BY feature, k
+                     UNION ALL SELECT feature, 10, 1, 1 FROM sides),
+           shares AS (SELECT feature, greatest(b - coalesce(lag(b) OVER f, 0), 1e-4) AS b, greatest(c - coalesce(lag(c) OVER f, 0), 1e-4) AS c
+                      FROM ranks WINDOW f AS (PARTITION BY feature ORDER BY k)),
+           indexes AS (SELECT feature, sum((c - b) * ln(c / b)) AS stability_index FROM shares GROUP BY feature)
+      SELECT feature, base_rows, current_rows, round(base_mean, 6) AS base_mean, round(current_mean, 6) AS current_mean,
+             round(base_stddev, 6) AS base_stddev, round(current_stddev, 6) AS current_stddev,
+             round((current_mean - base_mean) / nullif(base_stddev, 0), 6) AS mean_shift, round(stability_index, 6) AS stability_index
+      FROM sides JOIN indexes USING (feature)"""
+
+
 def _degradation_sql() -> str:
     return f"""
       SELECT date_trunc('day', round_start)::TIMESTAMP AS period, count(*) AS rows,
@@ -809,6 +843,7 @@ def _engine_sql() -> dict[str, str]:
             WHERE round_end + INTERVAL {int((GAP + 10) * 60)} SECOND <= (SELECT max(ts) FROM events)""",
         "feature_drift": f"""
             SELECT feature, base_rows, current_rows, {rounded} FROM ({_drift_sql()}) AS d""",
+        "drift_from_sketches": _sketch_drift_sql(),
         "model_degradation": f"""
             SELECT period, rows, round(mae, 6) AS mae, round(mae_ratio, 6) AS mae_ratio
             FROM ({_degradation_sql()}) AS d""",

@@ -24,6 +24,7 @@ from gapline.plans.etl import run_etl
 from gapline.plans.forecasting import forecast
 from gapline.plans.incremental import open_store
 from gapline.plans.monitoring import feature_drift, model_degradation, retrain_decision
+from gapline.plans.sketches import drift_from_sketches, feature_sketches
 from gapline.plans.training import (
     best_iteration,
     feature_columns,
@@ -31,7 +32,7 @@ from gapline.plans.training import (
     train_baseline,
 )
 from gapline.session import make_session
-from gapline.sources.recordings import read_features, read_recordings, write_features
+from gapline.sources.recordings import read_features, read_recordings, save_by_user, write_features
 from gapline.sources.rejects import split_rejects
 from gapline.streaming.rounds import index_closed_rounds, stream_rounds
 
@@ -43,10 +44,12 @@ __all__ = [
     "compute_round_features",
     "elapsed_seconds",
     "epoch_micros",
+    "drift_from_sketches",
     "event_type_labels",
     "feature_columns",
     "feature_drift",
     "feature_matrix",
+    "feature_sketches",
     "fold_bounds",
     "forecast",
     "index_closed_rounds",
@@ -64,6 +67,7 @@ __all__ = [
     "round_features",
     "run_demo",
     "run_etl",
+    "save_by_user",
     "session_rounds",
     "sessionize",
     "split_rejects",

@@ -93,3 +93,14 @@ def write_features(
         features = features.sortWithinPartitions(*sort_by)
     features.write.mode(mode).parquet(path)
 
+
+def save_by_user(features: DataFrame, table: str, user_col: str, buckets: int = 200, mode: str = "overwrite") -> DataFrame:
+    """Save a feature table bucketed by user and sorted by start, and read it back by its name.
+
+    Steps that gather a user's rounds (``latest_rounds``, distances to the round before) then read each
+    bucket where it is, without a shuffle. ``buckets`` bounds their parallelism: give about the size of
+    the table over 200 MB. The table lies in the session's warehouse, which all executors must share.
+    """
+    by_user = features.repartition(buckets, col(user_col))  # one file per bucket
+    by_user.write.bucketBy(buckets, user_col).sortBy(user_col, "round_start").mode(mode).format("parquet").saveAsTable(table)
+    return features.sparkSession.table(table)

@@ -79,3 +79,17 @@ def test_parquet_source_and_sorted_sink(spark, events, tmp_path):
         assert rows == sorted(rows)
     with pytest.raises(ValueError, match="format"):
         gl.read_recordings(spark, out, fmt="xml")
+
+
+def test_tables_by_user_are_read_without_a_shuffle(spark, events):
+    features = gl.round_features(events, ts_col="ts", gap_minutes=240)
+    spark.sql("drop table if exists features_by_user")
+    table = gl.save_by_user(features, "features_by_user", "user_id", buckets=4)
+    try:
+        latest = gl.latest_rounds(table)
+        plan = latest._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Bucketed: true" in plan
+        assert "Exchange" in gl.latest_rounds(features)._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, latest.collect())) == sorted(map(tuple, gl.latest_rounds(features).collect()))
+    finally:
+        spark.sql("drop table features_by_user")

@@ -1,5 +1,6 @@
 import math
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 import pytest
 
@@ -67,3 +68,35 @@ def test_arguments(table):
         gl.feature_drift(table, day(3), {})
     with pytest.raises(ValueError, match="missing columns"):
         gl.feature_drift(table, day(3), {"y": [1.0]})
+
+
+def test_sketched_drift_of_more_values_than_a_sketch_holds(spark):
+    draw = random.Random(4)
+    start = datetime(2024, 1, 1)
+    rows = [(start + timedelta(hours=draw.randrange(24 * 20)), draw.gauss(0, 1), float(draw.randrange(4))) for _ in range(20000)]
+    rows = [(t, x + (0.5 if t.day > 10 else 0), y) for t, x, y in rows] + [(None, 1.0, 1.0), (start, None, 2.0)]
+    table = spark.createDataFrame(rows, "round_start timestamp, x double, y double")
+    daily = gl.feature_sketches(table, ["x", "y"], k=400)
+    assert daily.count() == 40
+    split = "2024-01-11"
+    got = {r.feature: r for r in gl.drift_from_sketches(daily, split).collect()}
+    base = sorted(x for t, x, _ in rows if t and x is not None and t.day <= 10)
+    edges = got["x"].edges
+    for k, edge in enumerate(edges, 1):
+        rank = sum(x <= edge for x in base) / len(base)
+        assert abs(rank - k / 10) < 3 * 2.3 / 400**0.9  # merged over days, so a little looser than one sketch
+    exact = {r.feature: r for r in gl.feature_drift(table, split, {"x": edges, "y": [1.0, 2.0, 3.0]}).collect()}
+    for name in ("x", "y"):
+        for c in ("base_rows", "current_rows", "base_mean", "current_mean", "base_stddev", "current_stddev", "mean_shift"):
+            assert got[name][c] == pytest.approx(exact[name][c])
+    assert got["x"].stability_index == pytest.approx(exact["x"].stability_index, abs=0.05) and got["x"].stability_index > 0.15
+    assert got["y"].stability_index < 0.05
+
+
+def test_sketched_drift_of_empty_periods(spark):
+    table = spark.createDataFrame([(datetime(2024, 1, 1), 1.0)], "round_start timestamp, x double")
+    daily = gl.feature_sketches(table, ["x"])
+    after, before = gl.drift_from_sketches(daily, "2024-01-02").first(), gl.drift_from_sketches(daily, "2023-01-01").first()
+    assert (after.base_rows, after.current_rows, after.stability_index) == (1, 0, None)
+    assert (before.base_rows, before.current_rows, before.stability_index, before.edges) == (0, 1, None, None)
+    assert gl.drift_from_sketches(daily.limit(0), "2024-01-02").isEmpty()
