@@ -66,10 +66,10 @@ class RoundStore:
         self.spec = CellSpec(settings.user_col, "first_ts", settings.gap)
         # Internal names, so that labels cannot meet the columns of rounds.
         self.counts = [f"label_{k}" for k in range(len(settings.labels))]
-        time = T._parse_datatype_string(settings.time_type)
+        user, time = (f.dataType for f in T.StructType.fromDDL(f"u {settings.user_type}, t {settings.time_type}"))
         number = T.LongType()
         columns = [
-            ("user", T._parse_datatype_string(settings.user_type)), ("round_index", number), ("round_start", time), ("round_end", time),
+            ("user", user), ("round_index", number), ("round_start", time), ("round_end", time),
             ("event_count", number), ("prev_round_end", time), *((c, number) for c in self.counts),
         ]
         self.schema = T.StructType([T.StructField(n, t) for n, t in columns])
@@ -202,8 +202,8 @@ class RoundStore:
         if batch in self._repairs():
             raise ValueError(f"batch {batch} was repaired already and cannot be run again")
         require_columns(events, s.user_col, s.ts_col, *([LABEL] if s.labels else []))
-        user, ts = col(s.user_col), col(s.ts_col)
-        timed = parse_time(events.withColumn(s.user_col, user.cast(s.user_type)), s.ts_col, strict=False)
+        typed = events.withColumn(s.user_col, col(s.user_col).cast(s.user_type))
+        timed = parse_time(typed, s.ts_col, strict=False)
         timed = timed.withColumn(s.ts_col, _as_type(timed, s.ts_col, s.time_type))
         no_user, no_time = F.col("user").isNull(), F.col("round_start").isNull()
         with cleared(self.spark):
