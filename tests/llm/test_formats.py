@@ -1,6 +1,7 @@
 """HTML extraction, piece encoding and token files: exact results and round trips."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ from gapline.llm import piece_codec as pc
 from gapline.llm import token_files as tf
 from gapline.llm.html_text import extract_text, main_text
 from gapline.llm.queries import piece_model
-from gapline.llm import word_bpe
+from gapline.llm import html_text, word_bpe
 from gapline.llm.word_bpe import word_encoder
 from gapline.sources.scratch import scratch_path
 from pyspark.sql import functions as F
@@ -214,3 +215,70 @@ def test_pieces_that_were_forgotten_are_encoded_again(remembered, monkeypatch):
             texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(80))) for _ in range(20)] + ODD
             got = [list(x) for x in encode(texts)]
             assert got == [library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+
+
+LONG = "Full sentences, one after the other, with commas. " * 5
+HINTED = {
+    "<article><header class='entry-header'><h1>Head</h1></header><p>Text.</p></article>": "Head\nText.",
+    "<body><header class='entry-header'><nav>Menu</nav></header><div><h2 class='section-header'>A</h2><p>Some, text.</p></div></body>": "A\nSome, text.",
+    "<main><h3 class='header-anchor'>A</h3><p>Text.</p></main>": "A\nText.",
+    "<article><p>One.</p><section id='related-work'><h2>Related</h2><p>Text.</p></section></article>": "One.\nRelated\nText.",
+    "<article><p>One.</p><section id='search'><p>Text.</p></section></article>": "One.\nText.",
+    f"<body><div><p>{LONG}</p><section id='social-history'><p>{LONG}</p></section></div></body>": f"{LONG.strip()}\n{LONG.strip()}",
+    "<article><p>One.</p><table class='data-widget'><tr><td>c</td></tr></table></article>": "One.\nc",
+    f"<body><div><p>{LONG}</p><div class='share'><a href=x>Mail, this</a></div><div class='left-sidebar'>Side, text.</div></div></body>": LONG.strip(),
+    f"<article><p>{LONG}</p><div class='related'><a href=x>Another, one</a> <a href=y>More</a></div></article>": LONG.strip(),
+    f"<article><p>{LONG}</p><p class='ad'>Buy, now.</p></article>": LONG.strip(),
+    "<b title='x>y</b> <p>z": "y\nz",
+}
+
+
+@pytest.mark.parametrize("page", HINTED)
+def test_names_that_articles_have_too(page):
+    assert main_text(page) == HINTED[page]
+
+
+@pytest.mark.parametrize("part", ["<div>x", "<b ", '<b ">', "</i>", "<div class=ad>y", "<p>", "<td>q", "<a href=x>z", "<!-- ", "<script>", "<i><div>"])
+def test_odd_pages_take_time_in_proportion(part):
+    before = "<i><div>" + "<b>" * 20_000
+    start = time.process_time()
+    main_text(before + part * (1_000_000 // len(part)))
+    assert time.process_time() - start < 30
+
+
+def path_sums(page):
+    """(text, marks, linked, pieces) per path of containers, from paths spelled out."""
+    tree = html_text._read(page)
+    spelled = [()]
+    for k in range(1, len(tree.above)):
+        spelled.append((*spelled[tree.above[k]], k))
+    out = {}
+    for _, path, text, link in html_text._shown(tree):
+        full = spelled[path]
+        while full and tree.tags[full[-1]] in html_text.TEXTUAL:
+            full = full[:-1]
+        size = len(text.strip())
+        if size:
+            old = out.get(full, (0, 0, 0, 0))
+            title = any(tree.tags[k] == "h1" for k in spelled[path])
+            out[full] = tuple(map(sum, zip(old, (size, len(html_text.PUNCTUATION.findall(text)), size if link and not title else 0, 1), strict=True)))
+    return tree, out
+
+
+def test_ratios_equal_those_of_spelled_out_paths(spark):
+    pages = [r.html or "" for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").limit(60).collect()]
+    for page in [*pages, *NAMED, *SPLIT, *HINTED]:
+        tree, sums = path_sums(page)
+        ratio = {p: min((n - linked) / k, html_text.MOST_TEXT) * (1 + min(marks / k, html_text.MOST_MARKS)) for p, (n, marks, linked, k) in sums.items()}
+        smooth = {}
+        for p, (n, _, linked, _) in sums.items():
+            # The best of all paths, halved by each step up and down that lies between.
+            best = 0.0
+            for q, r in ratio.items():
+                same = next((k for k, (x, y) in enumerate(zip(p, q, strict=False)) if x != y), min(len(p), len(q)))
+                best = max(best, r / 2 ** (len(p) + len(q) - 2 * same))
+            told = bool(p) and tree.told[p[-1]]
+            smooth[p] = best * (1 - linked / n) * (html_text.ARTICLE_WEIGHT if told else 1)
+        least = max(smooth.values(), default=0.0) * html_text.THRESHOLD
+        want = sorted(p[-1] if p else 0 for p, x in smooth.items() if x >= least)
+        assert sorted(html_text._content(tree, html_text._shown(tree))) == want
