@@ -301,7 +301,13 @@ def vectors_before(matrices: DataFrame, last: int, group: int = GROUP) -> DataFr
 
 def _giant(chunks: DataFrame, model: bytes, group: int) -> DataFrame:
     """(row, k, ids) of the chunks of giant documents."""
-    last = chunks.agg(F.max("k")).first()[0]
+    last, many = chunks.agg(F.max("k"), F.count("*")).first()
+    spark = chunks.sparkSession
+    slots = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """A chunk is seconds of work: deal them out, however small the table that they are read from."""
+        return rows.repartition(min(many, slots), "row", "k")
 
     def mapped(run: Callable, schema: pa.Schema) -> Callable:
         def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,14 +340,14 @@ def _giant(chunks: DataFrame, model: bytes, group: int) -> DataFrame:
         return {"row": r["row"], "k": r["k"], "ids": v.ids_of(spelled, v.traced(back, len(text) + state)[0])}
 
     made = pa.schema([("row", pa.int64()), ("k", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    matrices = written(chunks.mapInArrow(mapped(matrix, _MATRICES), from_arrow_schema(_MATRICES)), "matrices")
+    matrices = written(dealt(chunks).mapInArrow(mapped(matrix, _MATRICES), from_arrow_schema(_MATRICES)), "matrices")
     entered = chunks.join(written(vectors_before(matrices, last, group), "vectors"), ["row", "k"])
     counts = chunks.groupBy("row").agg(F.count("*").alias("count"))
     entered = written(entered.join(counts, "row"), "entered")
-    back = written(entered.mapInArrow(mapped(origins, _MATRICES), from_arrow_schema(_MATRICES)), "origins")
+    back = written(dealt(entered).mapInArrow(mapped(origins, _MATRICES), from_arrow_schema(_MATRICES)), "origins")
     exits = vectors_before(back, last, group).select("row", F.col("k").alias("left"), F.col("vector").alias("exit"))
     known = entered.withColumn("left", F.col("count") - 1 - F.col("k")).join(exits, ["row", "left"])
-    return known.mapInArrow(mapped(ids, made), from_arrow_schema(made))
+    return dealt(known).mapInArrow(mapped(ids, made), from_arrow_schema(made))
 
 
 def _own(text: str) -> str:
@@ -408,8 +414,7 @@ def encode(
     chunks = written(map_arrow(giant, cut, T.StructType(fields)), "chunks")
     heads = chunks.where(F.col(own_names[1]) == 0).select(F.col(own_names[0]).alias("row"), F.struct(*plain_names).alias("head"))
     chunks = chunks.select(*(F.col(a).alias(f.name) for a, f in zip(own_names, _CHUNKS, strict=True)))
-    # Each chunk costs a task seconds: deal them out.
-    chunks = written(chunks.repartition("row", "k"), "chunks")
+    chunks = written(chunks, "chunks")
     parts = written(_giant(chunks, model, group), "chunk-ids")
     whole = parts.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts"))
     whole = whole.select("row", F.flatten(F.transform("parts", lambda p: p["ids"])).alias(ids_col))

@@ -282,3 +282,19 @@ def test_ratios_equal_those_of_spelled_out_paths(spark):
         least = max(smooth.values(), default=0.0) * html_text.THRESHOLD
         want = sorted(p[-1] if p else 0 for p, x in smooth.items() if x >= least)
         assert sorted(html_text._content(tree, html_text._shown(tree))) == want
+
+
+def test_chunks_of_a_giant_text_run_in_many_tasks(spark, monkeypatch):
+    tasks = {}
+
+    def spy(df, name, write=pc.written):
+        if name in ("matrices", "origins", "chunk-ids"):
+            tasks[name] = df.rdd.getNumPartitions()
+        return write(df, name)
+
+    monkeypatch.setattr(pc, "written", spy)
+    text = "".join(random.Random(3).choice(["ab", " the", "é", "xy z", "."]) for _ in range(3000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1)
+    ids = pc.encode(docs, piece_model(), chunk=150).first().ids
+    assert tasks == {"matrices": 8, "origins": 8, "chunk-ids": 8}
+    assert ids == pc.encode(docs, piece_model()).first().ids
