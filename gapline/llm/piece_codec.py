@@ -31,6 +31,8 @@ SPACE = "▁"
 OWN_SPACE = "\udc81"
 #: Characters of a chunk; matrices combined by one task.
 CHUNK, GROUP = 1 << 16, 64
+#: Chunks of a task, where there are enough of them for all tasks.
+SHARED = 4
 #: Stands between texts.
 BETWEEN = "\udc82"
 #: Parts that a task remembers before it starts over; characters encoded at once.
@@ -306,8 +308,8 @@ def _giant(chunks: DataFrame, model: bytes, group: int) -> DataFrame:
     slots = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def dealt(rows: DataFrame) -> DataFrame:
-        """A chunk is seconds of work: deal them out, however small the table that they are read from."""
-        return rows.repartition(min(many, slots), "row", "k")
+        """Deal chunks out, however small the table that they are read from; a few share the cost of loading the pieces."""
+        return rows.repartition(min(-(-many // SHARED), slots), "row", "k")
 
     def mapped(run: Callable, schema: pa.Schema) -> Callable:
         def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
