@@ -2,11 +2,13 @@
 
 Every document is judged by a few rules. Failures are summed by host, each host's rate is
 shrunk towards the mean of all hosts by a beta prior fitted to the hosts' rates, and a
-host whose shrunk rate of any rule is too high takes all its documents with it.
+host that almost surely fails a rule far more often than hosts do takes all its documents
+with it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,12 @@ HOST_RULES = BASE_RULES | {
     "symbols": "10 * n_symbols > 5 * word_chars",
     "dup_lines": "100 * n_dup_lines > 50 * n_lines",
 }
-#: A host is rejected from this shrunk rate of failures of one rule on.
-REJECT_RATE = 0.9
+#: The rule of failing any of them.
+ANY_RULE = "any_rule"
+#: Standard deviations from a beta distribution's mean to what counts as its lower and upper end.
+ENDS = 2.0
+#: Bounds of the rate from which on a host is rejected; between them it is the upper end of the prior.
+LEAST_LIMIT, MOST_LIMIT = 0.6, 0.8
 
 
 def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,15 +122,19 @@ def base_failed() -> Column:
     return F.expr(" OR ".join(f"({rule})" for rule in BASE_RULES.values()))
 
 
-def host_verdicts(features: DataFrame, host_col: str = "source", reject_rate: float = REJECT_RATE) -> DataFrame:
-    """One row per host: documents, shrunk rate per rule, and ``host_rejected``.
+def host_verdicts(features: DataFrame, host_col: str = "source", least_limit: float = LEAST_LIMIT, most_limit: float = MOST_LIMIT) -> DataFrame:
+    """One row per host: documents, shrunk rate per rule and of failing any, and ``host_rejected``.
 
     The prior of a rule is the beta distribution with the mean of the hosts' rates and their
     variance, less what the hosts' sizes explain by chance; hosts that do not differ by more
-    than that are given the mean. Documents without a host belong to none. Just the means and
+    than that are given the mean. A host is rejected if, for some rule, the lower end of its rate's
+    posterior reaches the upper end of the prior, held between ``least_limit`` and ``most_limit``. So a
+    host needs documents enough to be sure of its rate, and at most two fifths of the documents that
+    fall with it fail no rule. Documents without a host belong to none. Just the means and
     variances (a few numbers per rule) reach the driver.
     """
-    fails = [F.avg(F.expr(rule).cast("double")).alias(f"rate_{name}") for name, rule in HOST_RULES.items()]
+    rules = HOST_RULES | {ANY_RULE: " OR ".join(f"({rule})" for rule in HOST_RULES.values())}
+    fails = [F.avg(F.expr(rule).cast("double")).alias(f"rate_{name}") for name, rule in rules.items()]
     hosts = (
         features.where(F.col(f"`{host_col}`").isNotNull())
         .groupBy(F.col(f"`{host_col}`").alias("host"))
@@ -133,22 +143,24 @@ def host_verdicts(features: DataFrame, host_col: str = "source", reject_rate: fl
     hosts = written(hosts, "hosts")
     moments = [
         f(F.col(f"rate_{name}")).alias(f"{short}_{name}")
-        for name in HOST_RULES
+        for name in rules
         for short, f in (("mean", F.avg), ("var", F.var_pop))
     ]
     row = hosts.agg(*moments, F.avg(1 / F.col("host_documents")).alias("noise")).first()
     rejected, rates = F.lit(False), []
-    for name in HOST_RULES:
+    for name in rules:
         mean = row[f"mean_{name}"]
         if mean is None:  # no hosts
             break
         spread = mean * (1 - mean)
         extra = row[f"var_{name}"] - spread * row["noise"]
         strength = min(max(spread / extra - 1, 1.0), 1e9) if extra > 0 else 1e9
-        a = mean * strength
-        rate = (F.col(f"rate_{name}") * F.col("host_documents") + a) / (F.col("host_documents") + strength)
+        limit = min(max(mean + ENDS * math.sqrt(spread / (strength + 1)), least_limit), most_limit)
+        seen = F.col("host_documents") + strength
+        rate = (F.col(f"rate_{name}") * F.col("host_documents") + mean * strength) / seen
         rates.append(rate.alias(f"shrunk_{name}"))
-        rejected = rejected | (rate >= reject_rate)
+        surely = rate - ENDS * F.sqrt(F.greatest(rate * (1 - rate), F.lit(0.0)) / (seen + 1))
+        rejected = rejected | (surely >= limit)
     return hosts.select("host", "host_documents", *rates, rejected.alias("host_rejected"))
 
 

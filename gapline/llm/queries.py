@@ -194,15 +194,20 @@ _QUALITY_SQL = r"""
          judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
          fails AS (SELECT doc_id, source, r.name, r.failed FROM judged, LATERAL (VALUES
                        ('short', n_words < 50), ('repeats', 100 * n_repeat_words > 50 * n_words),
-                       ('symbols', 10 * n_symbols > 5 * word_chars), ('dup', 100 * n_dup_lines > 50 * n_lines)) AS r(name, failed)
+                       ('symbols', 10 * n_symbols > 5 * word_chars), ('dup', 100 * n_dup_lines > 50 * n_lines),
+                       ('any', n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > 5 * word_chars
+                               OR 100 * n_dup_lines > 50 * n_lines)) AS r(name, failed)
                    WHERE source IS NOT NULL),
          rates AS (SELECT source, name, count(*) AS n, avg(failed::INT::DOUBLE) AS rate FROM fails GROUP BY source, name),
          moments AS (SELECT name, avg(rate) AS mean, var_pop(rate) AS spread, avg(1.0::DOUBLE / n) AS noise FROM rates GROUP BY name),
          priors AS (SELECT name, mean, CASE WHEN spread - mean * (1 - mean) * noise > 0
                                THEN least(greatest(mean * (1 - mean) / (spread - mean * (1 - mean) * noise) - 1, 1), 1e9)
                                ELSE 1e9 END AS strength FROM moments),
-         hosts AS (SELECT source, bool_or((rate * n + mean * strength) / (n + strength) >= 0.9) AS host_rejected
-                   FROM rates JOIN priors USING (name) GROUP BY source)
+         limits AS (SELECT *, least(greatest(mean + 2 * sqrt(mean * (1 - mean) / (strength + 1)), 0.6), 0.8) AS most FROM priors),
+         shrunk AS (SELECT source, most, n + strength AS seen, (rate * n + mean * strength) / (n + strength) AS p
+                    FROM rates JOIN limits USING (name)),
+         hosts AS (SELECT source, bool_or(p - 2 * sqrt(greatest(p * (1 - p), 0) / (seen + 1)) >= most) AS host_rejected
+                   FROM shrunk GROUP BY source)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
            NOT base_failed AND NOT coalesce(host_rejected, false) AS kept
     FROM judged LEFT JOIN hosts USING (source)"""

@@ -57,6 +57,42 @@ def test_small_hosts_are_shrunk(spark):
     assert not hosts["single"].host_rejected and hosts["single"].shrunk_short < 0.9
 
 
+def hosts_of(bad, documents, other=20):
+    """A host of which ``bad`` in a hundred documents are short or repeat lines, and 20 hosts with one bad in ten."""
+    noisy = "\n".join(["# " * 40 + "word"] * 3)
+    rows = [(i, (("x", noisy)[i % 2] if i * 100 < bad * documents else good(i)), "worst") for i in range(documents)]
+    return rows + [(10_000 + i, good(i) if i % 10 else "x", f"host{i // other}") for i in range(20 * other)]
+
+
+@pytest.mark.parametrize(("bad", "documents", "falls"), [(85, 400, True), (95, 60, True), (85, 4, False), (100, 1, False), (50, 400, False), (30, 400, False)])
+def test_a_host_falls_if_it_is_surely_bad(spark, bad, documents, falls):
+    judged = quality_rules.judge(make(spark, hosts_of(bad, documents))).collect()
+    assert {r.source for r in judged if r.host_rejected} == ({"worst"} if falls else set())
+    assert all(r.kept == (not r.base_failed and not r.host_rejected) for r in judged)
+
+
+def test_rules_are_taken_together(spark):
+    rows = hosts_of(85, 400)
+    hosts = quality_rules.host_verdicts(quality_rules.document_features(make(spark, rows)))
+    worst = hosts.where("host = 'worst'").first()
+    assert worst.host_rejected and max(worst.shrunk_short, worst.shrunk_repeats) < 0.6 < worst.shrunk_any_rule
+    again = quality_rules.host_verdicts(quality_rules.document_features(make(spark, [(i, t, None) for i, t, _ in rows])))
+    assert again.count() == 0
+
+
+@pytest.mark.parametrize("documents", [400, 4])
+def test_verdicts_of_bad_hosts_equal_sql(spark, documents):
+    import duckdb
+    import pandas as pd
+    from gapline.llm.queries import oracle_sql
+
+    rows = hosts_of(85, documents)
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "source"]))
+    want = dict(con.sql(f"SELECT doc_id, kept FROM ({oracle_sql()['op2_quality_rules']})").fetchall())
+    assert {r.doc_id: r.kept for r in quality_rules.judge(make(spark, rows)).collect()} == want
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None, None)], [(1, "", None)] * 3])
 def test_rules_on_nothing(spark, rows):
     got = quality_rules.judge(make(spark, rows)).collect()
