@@ -27,7 +27,7 @@ SPAN = 1 << 40
 
 @dataclass(frozen=True)
 class Template:
-    """``words`` are looked up; ``needs`` must occur somewhere in the text (lower case, single spaces).
+    """``words`` are looked up; ``needs`` must occur somewhere in the text, ``lacks`` must not (lower case, single spaces).
 
     ``exact`` templates match only as a whole, others by ``min_share`` of the IDF of their rare words.
     """
@@ -36,6 +36,7 @@ class Template:
     words: str
     exact: bool = False
     needs: tuple[str, ...] = field(default=())
+    lacks: tuple[str, ...] = field(default=())
 
 
 # The phrases and labels that are always found.
@@ -62,6 +63,52 @@ PASSAGES = (
     Template("cc-by-nc", "creative commons attribution noncommercial", exact=True),
     Template("cc-by-sa", "cc by sa", exact=True),
     Template("cc-by-sa", "creative commons attribution sharealike", exact=True),
+    # Passages, several per text.
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", needs=("permission is hereby granted",)),
+    Template("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", needs=("apache license",)),
+    Template("bsd-2-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", needs=("redistributions of source code", "redistributions in binary form"), lacks=("endorse or promote products",)),
+    Template("bsd-3-clause", "may be used to endorse or promote products derived from this software without specific prior written permission", needs=("redistributions of source code",), lacks=("all advertising materials mentioning",)),
+    Template("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledgement", needs=("redistributions of source code",)),
+    Template("gpl-2.0", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", needs=("gnu general public license", "version 2 of the license")),
+    Template("gpl-3.0", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", needs=("gnu general public license", "version 3 of the license")),
+    Template("lgpl-2.1", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", needs=("gnu lesser general public license", "version 2 1 of the license")),
+    Template("lgpl-3.0", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", needs=("gnu lesser general public license", "version 3 of the license")),
+    Template("agpl-3.0", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", needs=("gnu affero general public license", "version 3 of the license")),
+    Template("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1", needs=("mozilla public license version 1 1",)),
+    Template("epl-1.0", "this program and the accompanying materials are made available under the terms of the eclipse public license", needs=("eclipse public license v1 0",)),
+    Template("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license", needs=("eclipse public license 2 0",)),
+    Template("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license", needs=("eclipse public license v2 0",)),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", needs=("altered source versions",)),
+    Template("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software", needs=("altered source versions",)),
+    Template("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", needs=("machine executable object code",)),
+    Template("cc0-1.0", "has waived all copyright and related or neighboring rights to"),
+    Template("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    Template("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", needs=("open font license",)),
+    Template("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", needs=("without a written agreement",)),
+    Template("openssl", "this product includes software developed by the openssl project for use in the openssl toolkit", needs=("openssl project",)),
+    # Short notices.
+    Template("gpl-2.0", "gnu general public license version 2", exact=True),
+    Template("gpl-2.0", "gnu general public license v2", exact=True),
+    Template("gpl-3.0", "gnu general public license version 3", exact=True),
+    Template("gpl-3.0", "gnu general public license v3", exact=True),
+    Template("lgpl-2.1", "gnu lesser general public license version 2 1", exact=True),
+    Template("lgpl-3.0", "gnu lesser general public license version 3", exact=True),
+    Template("agpl-3.0", "gnu affero general public license version 3", exact=True),
+    Template("bsl-1.0", "boost software license version 1 0", exact=True),
+    Template("cc0-1.0", "cc0 1 0 universal", exact=True),
+    Template("cc-by-nd", "cc by nd", exact=True),
+    Template("cc-by-nd", "creative commons attribution noderivatives", exact=True),
+    Template("cc-by-nc-sa", "cc by nc sa", exact=True),
+    Template("cc-by-nc-sa", "creative commons attribution noncommercial sharealike", exact=True),
+    Template("cc-by-nc-nd", "cc by nc nd", exact=True),
+    Template("cc-by-nc-nd", "creative commons attribution noncommercial noderivatives", exact=True),
+    Template("mpl-2.0", "mozilla public license version 2 0", exact=True),
+    Template("artistic-2.0", "artistic license 2 0", exact=True),
+    Template("python-2.0", "python software foundation license version 2", exact=True),
+    Template("ncsa", "university of illinois ncsa open source license", exact=True),
+    Template("ms-pl", "microsoft public license", exact=True),
+    Template("cddl", "common development and distribution license", exact=True),
+    Template("eupl", "european union public licence", exact=True),
 )
 
 
@@ -121,7 +168,7 @@ def scan_licenses(
     ``n_base`` counts all places of ``base`` phrases, ``first_word`` and ``last_word`` are the
     smallest and largest (words counted from 0; null without any). ``labels`` also has those of
     ``templates``: a passage matches where rare words with ``min_share`` of their joint IDF stand
-    in the right places and all its mandatory phrases occur. Words that no document holds are not
+    in the right places, all its mandatory phrases occur, and none that it must lack. Words that no document holds are not
     among its rare words; a passage with too little IDF without them matches nowhere. With a given
     ``idf`` all words count as held. ``score`` is the largest such share (1 for a whole phrase, 0 without a match). Null and empty texts have no words. Repeated rows
     stay; columns of these seven names are replaced. No row leaves its partition; the only shuffle
@@ -134,8 +181,8 @@ def scan_licenses(
     if not idf:
         seen = _document_counts(docs, every, text_col)
         idf, absent = _idf(seen), frozenset(w for w, n in seen.items() if not n)
-    # An exact phrase with an absent word costs nothing: it is looked up by that word.
-    live = [[t for t in ts if t.exact or _possible(t, idf, absent, min_share)] for ts in (base, templates)]
+    # An exact phrase with an absent word matches nowhere.
+    live = [[t for t in ts if (absent.isdisjoint(t.words.split()) if t.exact else _possible(t, idf, absent, min_share))] for ts in (base, templates)]
     if any(live):
         base, every = live[0], [*live[0], *live[1]]
     else:
@@ -185,7 +232,7 @@ def scan_licenses(
     docs = docs.withColumn(shares, F.filter(F.transform(starts, judged), lambda s: s["share"] >= F.lit(min_share)))
     spaced = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
     allowed = F.array_compact(F.array(*(
-        F.when(F.lit(True) if not t.needs else reduce(lambda a, b: a & b, (spaced.contains(f" {p} ") for p in t.needs)), F.lit(n))
+        F.when(reduce(lambda a, b: a & b, (*(spaced.contains(f" {p} ") for p in t.needs), *(~spaced.contains(f" {p} ") for p in t.lacks)), F.lit(True)), F.lit(n))
         for n, t in enumerate(every)
     )))
     some = F.size(shares) > 0

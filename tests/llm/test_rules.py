@@ -145,7 +145,15 @@ NOTICES = {
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction": "mit",
     "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc",
     "Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa",
-    "This work is licensed under the GNU General Public License, version 3.": "gpl",
+    "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0",
+    "This program is free software; you can redistribute it and/or modify\n// it under the terms of the GNU General Public License as published by\n// the Free Software Foundation; either version 2 of the License, or": "gpl,gpl-2.0",
+    "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either\n * version 2.1 of the License": "gpl,lgpl,lgpl-2.1",
+    "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3 of the License": "agpl-3.0,gpl",
+    "are made available under the terms of the Eclipse Public License v1.0, as this program and the accompanying materials are": "",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0": "epl-2.0",
+    "Distributed under the Boost Software License, Version 1.0.": "bsl-1.0",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain\n2. Redistributions in binary form must reproduce": "bsd,bsd-2-clause",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must; Redistributions in binary form must; Neither the name of X nor its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "bsd,bsd-3-clause",
     "Geschrieben mit license plates, released under the bridge by nc 4": "",
 }
 
@@ -156,6 +164,55 @@ def test_real_notices_are_labelled(spark):
     assert got == dict(enumerate(NOTICES.values()))
 
 
+TEMPLATES = (
+    license_scan.Template("long", "t1 t2 t3 t4 t5 t6", needs=("key one",)),
+    license_scan.Template("other", "t4 t5 t9 t2 t7 t7", lacks=("key two",)),
+    license_scan.Template("whole", "t2 t3 t4", exact=True),
+    license_scan.Template("whole", "t8 nowhere", exact=True),
+    license_scan.Template("absent", "t1 nowhere never t2"),
+)
+
+
+def plain_matches(text, templates, idf, absent, rare_words, min_share):
+    """(labels, largest share) by trying every start of every template."""
+    words = plain_text.alphanumeric(text)
+    spaced, found = f" {' '.join(words)} ", {}
+    for t in templates:
+        own = t.words.split()
+        if any(f" {p} " not in spaced for p in t.needs) or any(f" {p} " in spaced for p in t.lacks):
+            continue
+        if t.exact:
+            shares = [float(words[k : k + len(own)] == own) for k in range(len(words))]
+        else:
+            if sum(idf[w] for w in own if w not in absent) < min_share * sum(idf[w] for w in own):
+                continue
+            ranked = sorted((-idf[w], k) for k, w in enumerate(own) if w not in absent)[:rare_words]
+            total = sum(-x for x, _ in ranked)
+            shares = [sum(-x for x, k in ranked if at + k < len(words) and words[at + k] == own[k]) / total for at in range(len(words))]
+        best = max(shares, default=0.0)
+        if best >= min_share:
+            found[t.label] = max(found.get(t.label, 0.0), best)
+    return ",".join(sorted(found)), max(found.values(), default=0.0)
+
+
+pieces = st.sampled_from([t.words for t in TEMPLATES[:3]] + ["key one", "key two", "T1 t2, t3 x t5 t6", "t4 t5 x t2 t7 t7", "t8", "-"])
+
+
+@few
+@given(st.lists(st.none() | st.lists(pieces, max_size=8).map(" ".join), min_size=1, max_size=25), st.sampled_from([2, 5]), st.sampled_from([0.55, 0.77]))
+def test_labels_and_scores_are_those_of_plain_python(spark, found, rare_words, min_share):
+    import math
+
+    got = license_scan.scan_licenses(make(spark, [(i, t, "s") for i, t in enumerate(found)]), [], TEMPLATES, rare_words=rare_words, min_share=min_share).collect()
+    held = [set(plain_text.alphanumeric(t)) for t in found]
+    counts = {w: sum(w in h for h in held) for t in TEMPLATES for w in t.words.split()}
+    idf = {w: math.log((1 + len(found)) / (1 + n)) + 1 for w, n in counts.items()}
+    absent = {w for w, n in counts.items() if not n}
+    for r in got:
+        labels, score = plain_matches(found[r.doc_id], TEMPLATES, idf, absent, rare_words, min_share)
+        assert r.labels == labels and r.score == pytest.approx(score), (found[r.doc_id], idf)
+
+
 def test_words_of_no_document_are_not_looked_up(spark):
     passage = license_scan.Template("own", "alpha beta gamma delta epsilon zeta eta theta iota kappa")
     near = passage.words.replace("delta", "other")
