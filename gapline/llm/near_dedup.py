@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapline.llm import text as tx
-from gapline.llm.frames import map_arrow
+from gapline.llm.frames import map_arrow, unused_name
 from gapline.sources.scratch import written
 
 SHINGLE = 5
@@ -303,7 +303,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows without an id are kept, and all rows of a kept id.
     """
-    found = find_components(docs, id_col, text_col)
-    copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
+    found, copy = find_components(docs, id_col, text_col), unused_name("_copy", docs.columns)
+    copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias(copy)).distinct()
     copies = written(copies, "dropped")
-    return docs.join(copies, F.col(f"`{id_col}`") == F.col("_copy"), "left_anti")
+    return docs.join(copies, F.col(f"`{id_col}`") == F.col(copy), "left_anti")

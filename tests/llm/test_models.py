@@ -159,6 +159,12 @@ def test_copies_empty_texts_and_missing_ids(spark):
     assert nd.find_components(table.limit(0)).count() == 0
 
 
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(2, "a b c d e f", "x", 1), (1, "a b c d e f", "y", 2), (3, None, "z", 3)]
+    kept = nd.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, _copy string, Component_ID int"))
+    assert sorted((r.doc_id, r._copy, r.Component_ID) for r in kept.collect()) == [(1, "y", 2), (3, "z", 3)]
+
+
 def test_texts_that_share_an_id_share_a_component(spark):
     a, b = (" ".join(f"{c}{k}" for k in range(30)) for c in "ab")
     table = spark.createDataFrame([(1, a), (2, b), (3, a), (3, b)], "doc_id long, text string")
