@@ -10,7 +10,9 @@ Phrases are found level by level. A shard extends the phrases of m words that ar
 the whole corpus to the left and to the right; what both reach has m + 1 words, of which the first
 m and the last m are frequent. Counts are summed across shards, and the intervals of those that are
 frequent go back to their shards for the next level. So no phrase is lost, and shards send
-only phrases whose parts are frequent. Words are known by 64-bit hashes.
+only phrases whose parts are frequent. Nothing goes back after the last level, so there
+the shards of a part of the corpus are extended by one task and send their sum. Words are
+known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -37,9 +39,15 @@ SCALE = 2_000_000
 UNKNOWN = "und"
 #: Words of a shard. A piece is never cut, so a text without any break makes a longer one.
 SHARD_WORDS = 1 << 20
+#: Most words of the shards that send one sum of their longest phrases. A task holds them packed, and their sum.
+PART_WORDS = 1 << 23
+#: Such parts for each core, where that makes smaller ones.
+PARTS_A_CORE = 2
 #: Rows that are packed at once, and rows of an index that are extended at once.
 PACKED_ROWS = 1 << 19
 BLOCK_ROWS = 1 << 17
+#: Bytes after which an Arrow batch ends: rows of shards are megabytes, and executors keep the buffers of the largest batch.
+BATCH_BYTES = 1 << 23
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -411,11 +419,12 @@ def _placed(words: np.ndarray, low: np.ndarray, low_right: np.ndarray, n: np.nda
     return [*words, low << 32 | low_right, n]
 
 
-def longer_phrases(index: DataFrame, frequent: DataFrame, size: int) -> DataFrame:
-    """(shard, w1.., place, n) of phrases of ``size + 1`` words, from the frequent ones of ``size`` words.
+def _replies(frequent: DataFrame, size: int) -> DataFrame:
+    return by_shard(frequent, "key") if size == 2 else by_shard(frequent, *_words(size), "place", "n")
 
-    Those of two words are given by their keys, longer ones as this function gives them.
-    """
+
+def _extension(size: int) -> Callable:
+    """Makes the columns of ``longer_phrases`` but for the shard, from a shard and its packed replies."""
     words = _words(size)
 
     def run(shard: Shard, replies: pa.Table) -> list[np.ndarray]:
@@ -426,15 +435,60 @@ def longer_phrases(index: DataFrame, frequent: DataFrame, size: int) -> DataFram
         *found, place, n = _columns(replies, *words, "place", "n")
         return _placed(*shard.longer(np.vstack(found), place >> 32, place & 0xFFFFFFFF, n))
 
-    replies = by_shard(frequent, "key") if size == 2 else by_shard(frequent, *words, "place", "n")
-    return _with_index(index, replies, ["shard", *_words(size + 1), "place", "n"], run)
+    return run
+
+
+def longer_phrases(index: DataFrame, frequent: DataFrame, size: int) -> DataFrame:
+    """(shard, w1.., place, n) of phrases of ``size + 1`` words, from the frequent ones of ``size`` words.
+
+    Those of two words are given by their keys, longer ones as this function gives them.
+    """
+    return _with_index(index, _replies(frequent, size), ["shard", *_words(size + 1), "place", "n"], _extension(size))
+
+
+def shard_parts(shards: DataFrame, part_words: int) -> DataFrame:
+    """(shard, part): shards of one language that follow each other, of ``part_words`` words and at most one shard
+    more, or of fewer where all cores would not have enough parts."""
+    total = shards.agg(F.sum("n_words")).first()[0] or 0
+    size = min(part_words, total // max(1, PARTS_A_CORE * shards.sparkSession.sparkContext.defaultParallelism) + 1)
+    before = F.sum("n_words").over(Window.partitionBy("lang").orderBy("shard")) - F.col("n_words")
+    return shards.select("shard", F.xxhash64("lang", F.floor(before / size)).alias("part"))
+
+
+def longest_phrases(index: DataFrame, frequent: DataFrame, size: int, parts: DataFrame) -> DataFrame:
+    """(w1.., n) of the same phrases as ``longer_phrases``, a row per phrase and part of ``parts`` (shard, part)."""
+    words, run = _words(size + 1), _extension(size)
+    names = [*words, "n"]
+
+    def both(blobs: pa.Table, found: pa.Table) -> pa.Table:
+        made = [pa.table({c: pa.array([], pa.int64()) for c in names})]
+        for k in range(len(blobs)):
+            own = found.filter(pa.compute.equal(found.column("shard"), blobs.column("shard")[k]))
+            if len(own):
+                *columns, _, n = run(_shard_of(blobs, k), own)
+                made.append(pa.table([*map(pa.array, columns), pa.array(n)], names=names))
+        summed = pa.concat_tables(made).group_by(words, use_threads=False).aggregate([("n", "sum")])
+        return summed.select([*words, "n_sum"]).rename_columns(names)
+
+    # Two numbers for each shard, which has a million words.
+    parts = F.broadcast(parts)
+    blobs = index.select("shard", "keys", "left", "right").join(parts, "shard").groupBy("part")
+    replies = _replies(frequent, size).join(parts.withColumnRenamed("part", "of"), "shard").groupBy("of")
+    return blobs.cogroup(replies).applyInArrow(both, T.StructType([T.StructField(c, T.LongType()) for c in names]))
 
 
 def count_phrases(
-    docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, shard_words: int = SHARD_WORDS
+    docs: DataFrame,
+    lang_col: str = "lang",
+    text_col: str = "text",
+    max_words: int = MAX_WORDS,
+    min_count: int = MIN_COUNT,
+    shard_words: int = SHARD_WORDS,
+    part_words: int = PART_WORDS,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ws, f) of all phrases of up to ``max_words`` words that occur ``min_count`` times or more, (w1, lang, word)
     of their words, and (lang, n) of all word occurrences. ``ws`` are keys of words, which are a language's own."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     shards = written(build_shards(docs, lang_col, text_col, shard_words), "shards")
     totals = shards.groupBy("lang").agg(F.sum("n_words").alias("n"))
     each = shards.select("lang", "shard", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x"))
@@ -449,6 +503,9 @@ def count_phrases(
             # All a shard needs to know of a pair is its key; the owner spells it.
             frequent = written(_frequent(count_pairs(index), ["key"], min_count).select("key", "shard", "f"), "pairs")
             level = spelled_pairs(index, frequent)
+        elif size == max_words:
+            made = longest_phrases(index, frequent, size - 1, shard_parts(shards, part_words))
+            level = written(made.groupBy(*words).agg(F.sum("n").alias("f")).where(F.col("f") >= min_count), f"phrases-{size}")
         else:
             frequent = written(_frequent(longer_phrases(index, frequent, size - 1), words, min_count), f"phrases-{size}")
             level = frequent.where("f > 0")
@@ -492,6 +549,7 @@ def mine_phrases(
     min_count: int = MIN_COUNT,
     top: int = TOP,
     shard_words: int = SHARD_WORDS,
+    part_words: int = PART_WORDS,
 ) -> DataFrame:
     """The best phrases of each language: ``lang, rank, phrase, a, l, r, n, score``.
 
@@ -504,7 +562,7 @@ def mine_phrases(
     occurrences are left out. Order: score, then ``a``, both falling, then the phrase's bytes.
     Columns other than the two named are not read. Without rows there are no phrases.
     """
-    grams, words, totals = count_phrases(docs, lang_col, text_col, max_words, min_count, shard_words)
+    grams, words, totals = count_phrases(docs, lang_col, text_col, max_words, min_count, shard_words, part_words)
     scored = score_phrases(written(grams, "grams"))
     spelled = (
         scored.select("*", F.posexplode("ws").alias("k", "w1"))

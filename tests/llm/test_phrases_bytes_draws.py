@@ -135,6 +135,30 @@ def test_phrases(spark, shard_words, max_words, min_count, top):
     assert sorted(map(tuple, got.collect())) == mined(rows, max_words, min_count, top)
 
 
+@pytest.mark.parametrize("max_words, part_words, a_core", [(4, 1, 2), (3, 1 << 24, 2), (4, 1 << 24, 0)])
+def test_shards_of_a_part_send_a_row_per_longest_phrase(spark, monkeypatch, max_words, part_words, a_core):
+    rows, seen = random_rows(max_words, 60) + [(t, "One two three four five") for t in ("en", "de", None) for _ in range(40)], []
+
+    def spy(index, frequent, size, parts, made=collocations.longest_phrases):
+        out = collocations.written(made(index, frequent, size, parts), "made")
+        seen.append((size, out.count(), out.select(*collocations._words(size + 1)).distinct().count(), [r.part for r in parts.collect()]))
+        return out
+
+    monkeypatch.setattr(collocations, "longest_phrases", spy)
+    monkeypatch.setattr(collocations, "PARTS_A_CORE", a_core)
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(24)
+    got = collocations.mine_phrases(docs, max_words=max_words, min_count=3, part_words=part_words)
+    assert sorted(map(tuple, got.collect())) == mined(rows, max_words, 3)
+    [(size, made, distinct, parts)] = seen
+    assert size == max_words - 1 and len(parts) > 30
+    if part_words == 1:  # a shard each
+        assert len(set(parts)) == len(parts) and made > 2 * distinct
+    elif a_core:  # 16 for 8 cores, and what is left over of each language
+        assert 8 < len(set(parts)) <= 20 and distinct < made
+    else:  # a language each
+        assert len(set(parts)) <= 4 and made == distinct
+
+
 def test_long_texts_are_cut_between_words(monkeypatch):
     import pyarrow as pa
 
